@@ -26,7 +26,13 @@ from pyspark.sql.window import Window
 
 from ._common import release, remove, stored, work_dir
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+STREAM_CONF = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.noDataMicroBatches.enabled": "false",
+    # many small stores: files grow as they fill instead of by megabytes in advance, and batches upload changes
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
 
 
 def normalised(text: Column) -> Column:
@@ -49,9 +55,9 @@ def run_stream(stream: DataFrame, digest=sha256_digest, locator: Column | None =
     def changed(batch: DataFrame, number: int) -> None:
         batch.select("digest", F.col("top.doc_id").alias("keep_id"), F.col("top.at").alias("at"), "seen", F.lit(number).alias("batch")).write.mode("overwrite").parquet(f"{top}/changes/batch={number}")
 
-    before = {k: spark.conf.get(k, None) for k in ("spark.sql.streaming.stateStore.providerClass", "spark.sql.streaming.noDataMicroBatches.enabled")}
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
+    before = {k: spark.conf.get(k, None) for k in STREAM_CONF}
+    for k, v in STREAM_CONF.items():
+        spark.conf.set(k, v)
     try:
         query = state.writeStream.outputMode("update").option("checkpointLocation", f"{top}/checkpoint").trigger(availableNow=True).foreachBatch(changed).start()
         query.awaitTermination()
