@@ -28,6 +28,7 @@ from ..plans.enumeration import plan
 from ..plans.kinds import MAX_SAFE, Schema, check_overrides, registry, to_schema
 
 LIMIT = 1024
+ORDINAL = "__ordinal"  # a name that no field has: a field's alias of the same name would be read instead of the row's number
 SEED_VARIABLES = ("TESSERAE_SEED", "SEED", "RANDOM_SEED")
 
 
@@ -206,7 +207,7 @@ class Fabricator:
     def fabricate(self, n: int = 1, overrides: dict | None = None, partitions: int | None = None) -> DataFrame:
         """n rows, without a shuffle: row i is a function of i alone."""
         rows = self.instance.spark.range(0, n, 1, partitions) if partitions else self.instance.spark.range(n)
-        return rows.select(*self.columns(self.compile(F.col("id"), F.col("id") + 1, overrides)))
+        return rows.toDF(ORDINAL).select(*self.columns(self.compile(F.col(ORDINAL), F.col(ORDINAL) + 1, overrides)))
 
     def fabricate_onto(self, df: DataFrame, key: str, overrides: dict | None = None, keep: list[str] | None = None) -> DataFrame:
         """A row for each row of df, drawn by its unique key; `keep` names columns to keep, the key if unset."""
@@ -215,7 +216,7 @@ class Fabricator:
             df = with_dense_rank(df, key, "__sequence")
             sequence = F.col("__sequence")
         kept = [F.col(c) for c in (keep if keep is not None else [key])]
-        return df.select(*kept, *self.columns(self.compile(F.col(key), sequence, overrides)))
+        return df.withColumn(ORDINAL, F.col(key)).select(*kept, *self.columns(self.compile(F.col(ORDINAL), sequence, overrides)))
 
 
 def _has_sequence(s: Schema) -> bool:
@@ -294,8 +295,8 @@ class Instance:
     def _rows(self, schema: Schema, axis, name: str) -> DataFrame:
         config = self._active().config
         made = Fabricator(self, schema, trace=Trace((*config.seed, name), config.clock, kind=schema.kind))
-        out = made.compile(F.col("id"), F.col("id") + 1, pin=axis.decode(F.col("id")))
-        return self.spark.range(axis.width).select(*made.columns(out))
+        out = made.compile(F.col(ORDINAL), F.col(ORDINAL) + 1, pin=axis.decode(F.col(ORDINAL)))
+        return self.spark.range(axis.width).toDF(ORDINAL).select(*made.columns(out))
 
 
 def initialize(spark: SparkSession, seed=None, clock=None, algorithm="md5", attribution=None, limits=None, types=None) -> Instance:

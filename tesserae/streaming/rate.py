@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.instance import Fabricator
+from ..operators.instance import ORDINAL, Fabricator
 
 
 def fabricate_stream(fabricator: Fabricator, rows_per_second: int = 10) -> DataFrame:
@@ -15,5 +15,5 @@ def fabricate_stream(fabricator: Fabricator, rows_per_second: int = 10) -> DataF
 
 
 def fabricate_on_stream(fabricator: Fabricator, stream: DataFrame, key: str, keep: list[str] | None = None) -> DataFrame:
-    out = fabricator.compile(F.col(key), F.col(key) + 1 if dict(stream.dtypes)[key] in ("bigint", "int") else None)
-    return stream.select(*[F.col(c) for c in (keep or [key])], *fabricator.columns(out))
+    out = fabricator.compile(F.col(ORDINAL), F.col(ORDINAL) + 1 if dict(stream.dtypes)[key] in ("bigint", "int") else None)
+    return stream.withColumn(ORDINAL, F.col(key)).select(*[F.col(c) for c in (keep or [key])], *fabricator.columns(out))
