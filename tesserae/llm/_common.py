@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 import numpy as np
@@ -138,12 +139,15 @@ def small_batches(spark: SparkSession, rows: int = 2000) -> None:
         spark.conf.set(key, str(rows))
 
 
+_own_dirs: dict[str, str] = {}  # by application, for tests
+
+
 def work_dir(spark: SparkSession, name: str) -> str:
     """A new folder below spark.checkpoint.dir, which driver and executors share; where unset (tests), a folder of our own."""
     top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not top:
-        top = tempfile.mkdtemp(prefix="tesserae-")
-        spark.conf.set("spark.checkpoint.dir", top)
+        top = _own_dirs.setdefault(spark.sparkContext.applicationId, "") or tempfile.mkdtemp(prefix="tesserae-")
+        _own_dirs[spark.sparkContext.applicationId] = top
     return f"{top.rstrip('/')}/tesserae/{name}-{uuid.uuid4().hex[:12]}"
 
 
@@ -160,8 +164,10 @@ def remove(spark: SparkSession, path: str) -> None:
 
 def release(spark: SparkSession) -> None:
     """Lets Spark's cleaner drop shuffle files that no live frame needs."""
-    gc.collect()
-    spark._jvm.System.gc()
+    for _ in range(2):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
