@@ -12,6 +12,10 @@ set are skipped. Positions are numerous enough that empty ones can be skipped as
 well; the rare sets with more empty positions than that are listed under empty
 positions too, which keeps the join exact.
 
+Before any set travels, the members of a cell are compared by bitmaps: the parity of
+the number of hashes in each of 512 ranges. Two bitmaps differ in no more bits than
+their sets do, so a member whose bitmap is too far from all others leaves the cell.
+
 Answers. The first set of a list leads it. A set joins the cell of each leader of its
 lists, so two similar sets meet in a cell. Within a cell members are compared with
 the leader first. Those similar to it take its answers as theirs: they are in
@@ -47,6 +51,7 @@ from ._common import U64, Words, by_ids, mix, release, remove, small_batches, st
 
 CELL_ROWS = 2048
 CELL_ITEMS = 2_000_000
+BITMAP = 512
 
 
 def shingle_sets(data: np.ndarray, off: np.ndarray, n: int):
@@ -128,6 +133,17 @@ class Positions:
         return np.concatenate(out)
 
 
+def bitmap(s: np.ndarray) -> np.ndarray:
+    """Whether each of BITMAP ranges holds an odd number of the set's hashes."""
+    odd = np.bincount((mix(s) >> U64(64 - BITMAP.bit_length() + 1)).astype(np.int64), minlength=BITMAP) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
+    at = np.concatenate([[0], np.cumsum([len(x) for x in arrays])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(arrays) if arrays else np.zeros(0, np.int64)))
+
+
 def _node(s: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(s.tobytes()) >> 1
 
@@ -225,11 +241,12 @@ def _describe(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
         for batch in batches:
             ids = batch.column("doc_id")
             for row, data, off in text_chunks(batch.column("text")):
-                sizes, nodes, sigs = [], [], []
+                sizes, nodes, sigs, maps = [], [], [], []
                 for s in shingle_sets(data, off, n):
                     node = _node(s) if len(s) else None
                     sizes.append(len(s))
                     nodes.append(node)
+                    maps.append(bitmap(s) if node is not None else np.zeros(BITMAP // 64, np.int64))
                     if node is None or node in seen:
                         sigs.append(np.zeros(0, np.int64))
                     else:
@@ -237,12 +254,11 @@ def _describe(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
                             seen.clear()  # then some come twice, which changes nothing
                         seen.add(node)
                         sigs.append(positions.signatures(s).view(np.int64))
-                at = np.concatenate([[0], np.cumsum([len(x) for x in sigs])]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(row, len(off) - 1), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(sigs)))], names=["doc_id", "n_shingles", "node", "sigs"]
+                    [ids.slice(row, len(off) - 1), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), _lists(sigs), _lists(maps)], names=["doc_id", "n_shingles", "node", "sigs", "bits"]
                 )
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, node long, sigs array<long>")
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, node long, sigs array<long>, bits array<long>")
 
 
 def _sets_of(docs: DataFrame, n: int) -> DataFrame:
@@ -257,44 +273,91 @@ def _sets_of(docs: DataFrame, n: int) -> DataFrame:
     return docs.mapInArrow(run, "node long, items array<long>")
 
 
+def _by_task(batches, column: str, finish, names: list[str]):
+    """Gathers the rows of each (leader, i, j), which come one after another, and yields the pairs that finish() makes of them."""
+
+    def batch(pairs):
+        return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], names=names)
+
+    now, rows, out = None, {}, []
+    for b in batches:
+        keys = list(zip(*(b.column(c).to_pylist() for c in ("leader", "i", "j")), strict=True))
+        side, node, size = (b.column(c).to_pylist() for c in ("side", "node", "n_shingles"))
+        flat = np.asarray(b.column(column).flatten()).view(np.uint64)
+        at = np.concatenate([[0], np.cumsum(np.asarray(b.column(column).value_lengths()))])
+        for k, key in enumerate(keys):
+            if key != now:
+                out += finish(now[0], rows) if len(rows) > 1 else ()
+                now, rows = key, {}
+            rows.setdefault(node[k], (flat[at[k] : at[k + 1]].copy(), side[k], size[k]))  # a set that comes again counts once
+        if len(out) >= 10_000:
+            yield batch(out)
+            out = []
+    out += finish(now[0], rows) if len(rows) > 1 else ()
+    if out:
+        yield batch(out)
+
+
 def _cell_links(members: DataFrame, num: int, den: int) -> DataFrame:
-    """Links found in cells; members: leader, i, j, side, node, items, in order of (leader, i, j)."""
-
-    def finish(key, rows):
-        leader = key[0]
-        nodes, sets, side = [], [], []
-        for node, items, s in rows:
-            nodes.append(node)
-            sets.append(items)
-            side.append(s)
-        if leader not in nodes or len(nodes) < 2:
+    """Links found in cells; members: leader, i, j, side, node, n_shingles, items, in order of (leader, i, j)."""
+
+    def finish(leader, rows):
+        if leader not in rows:
             return []
-        return Cell(nodes, sets, np.array(side), leader, num, den).run()
+        return Cell(list(rows), [r[0] for r in rows.values()], np.array([r[1] for r in rows.values()]), leader, num, den).run()
+
+    return members.mapInArrow(lambda batches: _by_task(batches, "items", finish, ["a", "b"]), "a long, b long")
 
-    def run(batches):
-        now, rows, a, b = None, [], [], []
-        for batch in batches:
-            keys = list(zip(*(batch.column(c).to_pylist() for c in ("leader", "i", "j")), strict=True))
-            side, node = batch.column("side").to_pylist(), batch.column("node").to_pylist()
-            flat = np.asarray(batch.column("items").flatten()).view(np.uint64)
-            at = np.concatenate([[0], np.cumsum(np.asarray(batch.column("items").value_lengths()))])
-            for k, key in enumerate(keys):
-                if key != now:
-                    for x, y in finish(now, rows) if rows else ():
-                        a.append(x)
-                        b.append(y)
-                    now, rows = key, []
-                rows.append((node[k], flat[at[k] : at[k + 1]].copy(), side[k]))
-            if len(a) >= 10_000:
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-                a, b = [], []
-        for x, y in finish(now, rows) if rows else ():
-            a.append(x)
-            b.append(y)
-        if a:
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-    return members.mapInArrow(run, "a long, b long")
+
+def near_bitmaps(bits: np.ndarray, size: np.ndarray, side: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Which members' bitmaps and sizes allow a similar one; with two chunks, across them."""
+    cut = bool((side == 1).any())
+    out = np.zeros(len(bits), dtype=bool)
+    step = max(1, (1 << 21) // max(1, len(bits)))
+    for a in range(0, len(bits), step):
+        rows = slice(a, a + step)
+        differ = np.zeros((len(bits[rows]), len(bits)), dtype=np.int64)
+        for k in range(bits.shape[1]):
+            differ += np.bitwise_count(bits[rows, k, None] ^ bits[None, :, k])
+        ok = differ * (den + num) <= (size[rows, None] + size[None, :]) * (den - num)
+        ok &= (size[rows, None] * den >= num * size[None, :]) & (size[None, :] * den >= num * size[rows, None])
+        ok[np.arange(len(ok)), np.arange(a, a + len(ok))] = False
+        if cut:
+            ok &= side[rows, None] != side[None, :]
+        out[rows] = ok.any(axis=1)
+    return out
+
+
+def _near_members(members: DataFrame, num: int, den: int) -> DataFrame:
+    """leader, node: the members that the bitmaps leave, and their leaders."""
+
+    def finish(leader, rows):
+        bits, side, size = (np.array([r[k] for r in rows.values()]) for k in range(3))
+        near = near_bitmaps(bits, size, side, num, den)
+        return [(leader, n) for n, ok in zip(rows, near.tolist(), strict=True) if ok or (n == leader and near.any())]
+
+    return members.mapInArrow(lambda batches: _by_task(batches, "bits", finish, ["leader", "node"]), "leader long, node long").distinct()
+
+
+def _dealt(cells: DataFrame, facts: DataFrame, cell_rows: int, cell_items: int) -> DataFrame:
+    """leader, i, j, side, node, n_shingles: which tasks get which members.
+
+    With one chunk a member goes to one task; else to each pair of chunks that holds its own, and the leader to all.
+    """
+    sized = cells.join(facts.select("node", "n_shingles"), "node")
+    spread = sized.groupBy("leader").agg(F.count(F.lit(1)).alias("rows"), F.sum("n_shingles").alias("held"))
+    chunks = F.greatest(F.lit(1), F.ceil(F.col("rows") / cell_rows), F.ceil(F.col("held") / cell_items)).cast("int")
+    dealt = sized.join(spread.select("leader", chunks.alias("chunks")), "leader").withColumn("c", F.pmod(F.xxhash64("node", "leader"), F.col("chunks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
+    own = dealt.filter("node <> leader").select("leader", "node", "n_shingles", "c", other.alias("o")).select(
+        "leader", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"), F.when(F.col("c") <= F.col("o"), 0).otherwise(1).alias("side"), "node", "n_shingles"
+    )
+    heads = dealt.filter("node = leader").select("leader", "node", "n_shingles", "chunks", other.alias("i")).select("leader", "node", "n_shingles", "i", F.explode(F.sequence(F.col("i"), F.col("chunks") - 1)).alias("j"))
+    return own.unionByName(heads.select("leader", "i", "j", F.lit(2).alias("side"), "node", "n_shingles"))
+
+
+def _together(members: DataFrame, column: str) -> DataFrame:
+    return members.repartition("leader", "i", "j").sortWithinPartitions("leader", "i", "j").select("leader", "i", "j", "side", "node", "n_shingles", column)
 
 
 def connected_components(links: DataFrame, top: str, rounds: int = 60) -> DataFrame:
@@ -339,27 +402,23 @@ def jaccard_components(docs: DataFrame, n: int, num: int, den: int, cell_rows: i
     led = listed.withColumn("leader", F.min("node").over(lists)).withColumn("_last", F.max("node").over(lists)).filter("leader <> _last")
     cells = stored(led.select("leader", "node").distinct(), f"{top}/cells")
     plain = stored(base.select("doc_id", "n_shingles", "node"), f"{top}/plain")
+    facts = stored(base.filter("node IS NOT NULL").groupBy("node", "n_shingles").agg(F.min("doc_id").alias("doc_id"), F.first("bits").alias("bits")), f"{top}/facts")
     base = listed = led = None
     remove(spark, f"{top}/base")
     release(spark)
 
-    # the sets that share a list with another set, from one document each
-    wanted = cells.select("node").distinct()
-    source = plain.join(wanted, "node").groupBy("node", "n_shingles").agg(F.min("doc_id").alias("_d"))
-    sets = stored(_sets_of(by_ids(docs, source.select("_d"), "left_semi").select("text"), n).join(wanted, "node").dropDuplicates(["node"]), f"{top}/sets")
+    # by bitmaps alone; beyond a bound of rows a cell is cut, as below
+    mapped = _dealt(cells, facts, cell_rows, cell_items * 1000).join(facts.select("node", "bits"), "node")
+    cells = stored(_near_members(_together(mapped, "bits"), num, den), f"{top}/near")
+    mapped = None
     release(spark)
 
-    spread = cells.join(source.select("node", "n_shingles"), "node").groupBy("leader").agg(F.count(F.lit(1)).alias("rows"), F.sum("n_shingles").alias("held"))
-    chunks = F.greatest(F.lit(1), F.ceil(F.col("rows") / cell_rows), F.ceil(F.col("held") / cell_items)).cast("int")
-    dealt = cells.join(spread.select("leader", chunks.alias("chunks")), "leader").withColumn("c", F.pmod(F.xxhash64("node", "leader"), F.col("chunks")).cast("int"))
-    # with one chunk a member goes to one task; else to each pair of chunks that holds its own, and the leader to all
-    mates = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
-    met = dealt.select("leader", "node", "c", "chunks", mates.alias("o")).select("leader", "node", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"), F.when(F.col("c") <= F.col("o"), 0).otherwise(1).alias("side"), "chunks", "c")
-    own = met.filter("node <> leader").select("leader", "i", "j", "side", "node")
-    heads = dealt.filter("node = leader").select("leader", "node", "chunks", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("i")).select("leader", "node", "i", F.explode(F.sequence(F.col("i"), F.col("chunks") - 1)).alias("j"))
-    members = own.unionByName(heads.select("leader", "i", "j", F.lit(2).alias("side"), "node")).join(sets, "node")
-    grouped = members.repartition("leader", "i", "j").sortWithinPartitions("leader", "i", "j").select("leader", "i", "j", "side", "node", "items")
+    # the sets of the members that are left, from one document each
+    source = facts.join(cells.select("node").distinct(), "node", "left_semi").select("doc_id")
+    sets = stored(_sets_of(by_ids(docs, source, "left_semi").select("text"), n), f"{top}/sets")
+    grouped = _together(_dealt(cells, facts, cell_rows, cell_items).join(sets, "node"), "items")
     links = stored(_cell_links(grouped, num, den), f"{top}/found")
+    grouped = sets = None
     remove(spark, f"{top}/sets")
     release(spark)
 
