@@ -98,7 +98,7 @@ def _mix_brute(rows, weights=(5, 2, 1)):
         fixed |= over
 
 
-def test_mixing(spark, docs):
+def test_mixing(spark, docs, monkeypatch):
     total, target = _mix_brute([(r[0], r[1], r[3]) for r in ROWS])
     for per_bucket in (1, 20_000):
         out = mixing.mix_sources(docs, rows_per_bucket=per_bucket).collect()
@@ -109,6 +109,11 @@ def test_mixing(spark, docs):
             by[r["source"]] += r["taken"]
         assert all(abs(by[s] - target[s]) <= 1 for s in total)
     assert mixing.mix_sources(none_of(docs)).count() == 0
+    plain = sorted(map(str, mixing.mix_sources(docs, rows_per_bucket=1).collect()))
+    assert sorted(map(str, mixing.mix_sources(docs, rows_per_bucket=20_000).collect())) == plain  # buckets don't change the order
+    with monkeypatch.context() as m:
+        m.setattr(mixing, "MOST_BROADCAST", 0)  # as with very many sources
+        assert sorted(map(str, mixing.mix_sources(docs, rows_per_bucket=1).collect())) == plain
     kept = mixing.mixed_documents(docs)
     assert kept.columns == docs.columns and kept.filter("doc_id = 4").count() == 1
 
