@@ -225,24 +225,38 @@ def _has_sequence(s: Schema) -> bool:
     return s.kind == "sequence" or any(_has_sequence(c) for c in children(s))
 
 
-def with_dense_rank(df: DataFrame, key: str, name: str, buckets: int = 64) -> DataFrame:
+ROWS_PER_BUCKET, MOST_BUCKETS = 1_000_000, 16_384
+
+
+def with_dense_rank(df: DataFrame, key: str, name: str, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
     """Adds the row's number from 1 in the order of key, without sorting everything in one task.
 
-    Quantiles of the key cut the rows into buckets of similar size; counts of buckets (one row each) give their starts.
+    Quantiles of the key cut the rows into buckets of similar size, whose number follows the number of rows;
+    counts of buckets (one row each, `MOST_BUCKETS` at most) give their starts.
     """
-    cuts = df.agg(F.percentile_approx(key, [k / buckets for k in range(1, buckets)], 10_000).alias("c")).first()["c"] or []
+    buckets = min(MOST_BUCKETS, max(64, -(-df.select(key).count() // rows_per_bucket)))
+    cuts = df.agg(F.percentile_approx(key, [k / buckets for k in range(1, buckets)], max(10_000, 4 * buckets)).alias("c")).first()["c"] or []
     bounds = sorted(set(cuts))
-    bucket = F.lit(0)
-    for b in bounds:
-        bucket = bucket + (F.col(key) > F.lit(b)).cast("int")
-    dealt = df.withColumn("__bucket", bucket)
-    counts = {r["__bucket"]: r["count"] for r in dealt.groupBy("__bucket").count().collect()}  # at most `buckets` rows
+    dealt = df.withColumn("__bucket", _bounds_below(F.col(key), bounds))
+    counts = {r["__bucket"]: r["count"] for r in dealt.groupBy("__bucket").count().collect()}
     start, run = [], 0
     for k in range(len(bounds) + 1):
         start.append(run)
         run += counts.get(k, 0)
-    offset = F.get(F.array(*[F.lit(s).cast("long") for s in start]), F.col("__bucket"))
-    return dealt.withColumn(name, F.row_number().over(Window.partitionBy("__bucket").orderBy(key)) + offset).drop("__bucket")
+    offset = F.get(F.lit(start), F.col("__bucket"))
+    return dealt.withColumn(name, F.row_number().over(Window.partitionBy("__bucket").orderBy(key)) + offset.cast("long")).drop("__bucket")
+
+
+def _bounds_below(value: Column, bounds: list) -> Column:
+    """How many of the sorted bounds are below value (0 for null), by halving: an expression as short for many bounds as for few."""
+    if not bounds:
+        return F.lit(0)
+    array = F.lit(bounds)
+    steps = F.sequence(F.lit(1), F.lit(len(bounds).bit_length()))
+    middle = lambda s: ((s["low"] + s["high"]) / 2).cast("int")
+    below = lambda s: (s["low"] < s["high"]) & F.coalesce(F.get(array, middle(s)) < value, F.lit(False))
+    halved = lambda s, _: F.struct(F.when(below(s), middle(s) + 1).otherwise(s["low"]).alias("low"), F.when(below(s), s["high"]).otherwise(middle(s)).alias("high"))
+    return F.aggregate(steps, F.struct(F.lit(0).alias("low"), F.lit(len(bounds)).alias("high")), halved, lambda s: s["low"])
 
 
 class Instance:

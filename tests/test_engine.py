@@ -177,9 +177,13 @@ def test_adapters(spark, world):
 
 
 def test_dense_rank_without_one_sort(spark):
-    df = spark.range(1000).selectExpr("id * 7 % 1009 AS k")
-    got = [r["n"] for r in with_dense_rank(df, "k", "n", buckets=8).orderBy("k").collect()]
-    assert got == list(range(1, 1001))
+    df = spark.range(1000).selectExpr("id * 7 % 1000 AS k")
+    for rows_per_bucket in (1_000_000, 3):
+        got = [r["n"] for r in with_dense_rank(df, "k", "n", rows_per_bucket).orderBy("k").collect()]
+        assert got == list(range(1, 1001))
+    ties = spark.createDataFrame([(3,), (3,), (None,), (1,)], "k long")
+    assert sorted((r["n"], r["k"]) for r in with_dense_rank(ties, "k", "n", 1).collect()) == [(1, None), (2, 1), (3, 3), (4, 3)]
+    assert with_dense_rank(ties.filter("k > 9"), "k", "n").count() == 0
 
 
 def test_vocabulary(world):
