@@ -23,8 +23,10 @@ its component, and nothing is left to find among them. Only the rest are looked
 the members ordered by size, of which the blocks outside the size bound and, by the triangle
 inequality of the Jaccard distance, those too near or too far from the leader are
 skipped, and so is whatever is in the same component already. A cell yields a link for each two
-components it joins, never all pairs. Large cells are cut into chunks, and each two
-chunks meet in a task of bounded size.
+components it joins, never all pairs. Large cells are cut into chunks. Their members are compared
+with the leader first, each once; those similar to it meet only chunks of the rest, in tasks of
+bounded size, so a large group of near copies costs as many rows as it has members. Lists that are
+very long get their leader from partial minima instead of being gathered.
 
 Components come from the links by star contractions on the cluster; each round's
 links are written to the shared folder. Documents with equal sets are one node
@@ -47,11 +49,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._common import U64, Words, by_ids, mix, release, remove, small_batches, stored, text_chunks, work_dir
+from ._common import U64, Words, by_ids, mix, release, remove, row_sums, small_batches, stored, text_chunks, work_dir
 
 CELL_ROWS = 2048
 CELL_ITEMS = 2_000_000
 BITMAP = 512
+LONG_LIST = 200_000  # rows
+SAMPLED = 64  # one node in so many tells which lists are long; this decides the plan, never a result
+MOST_BROADCAST = 1_000_000  # lists
 
 
 def shingle_sets(data: np.ndarray, off: np.ndarray, n: int):
@@ -174,12 +179,13 @@ class Cell:
     def similar(self, common: np.ndarray, i: int, others: np.ndarray) -> np.ndarray:
         return self.den * common >= self.num * (self.size[i] + self.size[others] - common)
 
-    def run(self) -> list[tuple[int, int]]:
+    def run(self, known: bool = False) -> list[tuple[int, int]]:
+        """The links; not those with the leader if they are known."""
         m = len(self.nodes)
         everyone = np.arange(m)
         if m == 2:
             common = np.array([len(np.intersect1d(self.sets[0], self.sets[1], assume_unique=True))])
-            if self.similar(common, 0, np.array([1]))[0]:
+            if not known and self.similar(common, 0, np.array([1]))[0]:
                 self.join(0, 1)
             return self.links
         items = np.concatenate(self.sets)
@@ -193,6 +199,8 @@ class Cell:
         near = self.similar(common, self.leader, everyone)
         for j in np.flatnonzero(near):
             self.join(self.leader, int(j))
+        if known:
+            self.links.clear()
         distance = 1 - common / np.maximum(self.size + self.size[self.leader] - common, 1)
         bound = 1 - self.num / self.den + 1e-9
         place_lo = np.searchsorted(sorted_items, sorted_items)  # list of each item
@@ -287,13 +295,13 @@ def _by_task(batches, column: str, finish, names: list[str]):
         at = np.concatenate([[0], np.cumsum(np.asarray(b.column(column).value_lengths()))])
         for k, key in enumerate(keys):
             if key != now:
-                out += finish(now[0], rows) if len(rows) > 1 else ()
+                out += finish(now, rows) if len(rows) > 1 else ()
                 now, rows = key, {}
             rows.setdefault(node[k], (flat[at[k] : at[k + 1]].copy(), side[k], size[k]))  # a set that comes again counts once
         if len(out) >= 10_000:
             yield batch(out)
             out = []
-    out += finish(now[0], rows) if len(rows) > 1 else ()
+    out += finish(now, rows) if len(rows) > 1 else ()
     if out:
         yield batch(out)
 
@@ -301,10 +309,27 @@ def _by_task(batches, column: str, finish, names: list[str]):
 def _cell_links(members: DataFrame, num: int, den: int) -> DataFrame:
     """Links found in cells; members: leader, i, j, side, node, n_shingles, items, in order of (leader, i, j)."""
 
-    def finish(leader, rows):
-        if leader not in rows:
+    def finish(key, rows):
+        if key[0] not in rows:
             return []
-        return Cell(list(rows), [r[0] for r in rows.values()], np.array([r[1] for r in rows.values()]), leader, num, den).run()
+        # tasks of large cells are numbered above 0 if they have members similar to the leader, whose links are known
+        return Cell(list(rows), [r[0] for r in rows.values()], np.array([r[1] for r in rows.values()]), key[0], num, den).run(key[2] > 0)
+
+    return members.mapInArrow(lambda batches: _by_task(batches, "items", finish, ["a", "b"]), "a long, b long")
+
+
+def _star_links(members: DataFrame, num: int, den: int) -> DataFrame:
+    """Links between leaders and the members similar to them; members as above, a chunk and its leader in a task."""
+
+    def finish(key, rows):
+        if key[0] not in rows:
+            return []
+        lead, nodes = rows[key[0]][0], list(rows)
+        sizes = np.array([len(r[0]) for r in rows.values()], dtype=np.int64)
+        items = np.concatenate([r[0] for r in rows.values()])
+        same = lead[np.minimum(np.searchsorted(lead, items), len(lead) - 1)] == items
+        common = row_sums(same.astype(np.float64), np.concatenate([[0], np.cumsum(sizes)])).astype(np.int64)
+        return [(key[0], nodes[k]) for k in np.flatnonzero(den * common >= num * (sizes + len(lead) - common)) if nodes[k] != key[0]]
 
     return members.mapInArrow(lambda batches: _by_task(batches, "items", finish, ["a", "b"]), "a long, b long")
 
@@ -331,29 +356,70 @@ def near_bitmaps(bits: np.ndarray, size: np.ndarray, side: np.ndarray, num: int,
 def _near_members(members: DataFrame, num: int, den: int) -> DataFrame:
     """leader, node: the members that the bitmaps leave, and their leaders."""
 
-    def finish(leader, rows):
+    def finish(key, rows):
         bits, side, size = (np.array([r[k] for r in rows.values()]) for k in range(3))
         near = near_bitmaps(bits, size, side, num, den)
-        return [(leader, n) for n, ok in zip(rows, near.tolist(), strict=True) if ok or (n == leader and near.any())]
+        return [(key[0], n) for n, ok in zip(rows, near.tolist(), strict=True) if ok or (n == key[0] and near.any())]
 
     return members.mapInArrow(lambda batches: _by_task(batches, "bits", finish, ["leader", "node"]), "leader long, node long").distinct()
 
 
-def _dealt(cells: DataFrame, facts: DataFrame, cell_rows: int, cell_items: int) -> DataFrame:
-    """leader, i, j, side, node, n_shingles: which tasks get which members.
+def _chunks(rows, held, cell_rows: int, cell_items: int):
+    return F.greatest(F.ceil(rows / cell_rows), F.ceil(held / cell_items)).cast("int")
 
-    With one chunk a member goes to one task; else to each pair of chunks that holds its own, and the leader to all.
-    """
-    sized = cells.join(facts.select("node", "n_shingles"), "node")
+
+def _large(sized: DataFrame, cell_rows: int, cell_items: int) -> DataFrame:
+    """leader, chunks of the cells that need more than one; sized: leader, node, n_shingles."""
     spread = sized.groupBy("leader").agg(F.count(F.lit(1)).alias("rows"), F.sum("n_shingles").alias("held"))
-    chunks = F.greatest(F.lit(1), F.ceil(F.col("rows") / cell_rows), F.ceil(F.col("held") / cell_items)).cast("int")
-    dealt = sized.join(spread.select("leader", chunks.alias("chunks")), "leader").withColumn("c", F.pmod(F.xxhash64("node", "leader"), F.col("chunks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
-    own = dealt.filter("node <> leader").select("leader", "node", "n_shingles", "c", other.alias("o")).select(
+    return spread.select("leader", _chunks(F.col("rows"), F.col("held"), cell_rows, cell_items).alias("chunks")).filter("chunks > 1")
+
+
+def _once(sized: DataFrame, large: DataFrame) -> DataFrame:
+    """leader, i, j, side, node, n_shingles: each member of a large cell in one chunk, with the leader in all."""
+    cut = sized.join(large, "leader")
+    own = cut.filter("node <> leader").withColumn("i", F.pmod(F.xxhash64("node", "leader"), F.col("chunks")).cast("int")).withColumn("side", F.lit(0))
+    heads = cut.filter("node = leader").withColumn("i", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("side", F.lit(2))
+    return own.unionByName(heads).select("leader", "i", F.col("i").alias("j"), "side", "node", "n_shingles")
+
+
+def _dealt(cells: DataFrame, cell_rows: int, cell_items: int) -> DataFrame:
+    """leader, i, j, side, node, n_shingles: which tasks get which members of cells (leader, node, n_shingles, near).
+
+    Chunks of near members, which need no comparison with each other, come first. A near member goes to each pair
+    of its chunk and one of the rest, any other member to each pair that holds its chunk, and the leader to all.
+    In a cell of one chunk no member is near, so a member goes to one task.
+    """
+    some = lambda of: (F.coalesce(F.count_if(of), F.lit(0)), F.coalesce(F.sum(F.when(of, F.col("n_shingles"))), F.lit(0)))
+    member = F.col("node") != F.col("leader")
+    spread = cells.groupBy("leader").agg(
+        _chunks(*some(member & F.col("near")), cell_rows, cell_items).alias("n"), _chunks(*some(member & ~F.col("near")), cell_rows, cell_items).alias("f")
+    )
+    dealt = cells.join(spread.filter("f > 0"), "leader")
+    draw, last = F.xxhash64("node", "leader"), F.col("n") + F.col("f") - 1
+    chunk = F.when(F.col("near"), F.pmod(draw, F.greatest("n", F.lit(1)))).otherwise(F.col("n") + F.pmod(draw, F.col("f"))).cast("int")
+    other = F.explode(F.sequence(F.when(F.col("near"), F.col("n")).otherwise(0), last))
+    own = dealt.filter(member).select("leader", "node", "n_shingles", chunk.alias("c"), other.alias("o")).select(
         "leader", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"), F.when(F.col("c") <= F.col("o"), 0).otherwise(1).alias("side"), "node", "n_shingles"
     )
-    heads = dealt.filter("node = leader").select("leader", "node", "n_shingles", "chunks", other.alias("i")).select("leader", "node", "n_shingles", "i", F.explode(F.sequence(F.col("i"), F.col("chunks") - 1)).alias("j"))
-    return own.unionByName(heads.select("leader", "i", "j", F.lit(2).alias("side"), "node", "n_shingles"))
+    heads = dealt.filter(~member).select("leader", "node", "n_shingles", "n", last.alias("last"), F.explode(F.sequence(F.lit(0), last)).alias("i"))
+    heads = heads.select("leader", "i", F.explode(F.sequence(F.greatest("i", "n"), F.col("last"))).alias("j"), F.lit(2).alias("side"), "node", "n_shingles")
+    return own.unionByName(heads)
+
+
+def _led(base: DataFrame, top: str, long_list: int) -> DataFrame:
+    """leader, node for each list of two sets or more; the rows of a very long list are not gathered."""
+    listed = base.filter(F.size("sigs") > 0).select("node", F.explode("sigs").alias("sig"))
+    some = base.filter((F.size("sigs") > 0) & (F.pmod(F.xxhash64("node"), F.lit(SAMPLED)) == 0)).select(F.explode("sigs").alias("sig"))
+    long = stored(some.groupBy("sig").count().filter(F.col("count") >= max(2, long_list // SAMPLED)).select("sig"), f"{top}/long")
+    n = long.count()
+    few = F.broadcast if n <= MOST_BROADCAST else lambda df: df
+    lists = Window.partitionBy("sig")
+    rest = listed.join(few(long), "sig", "left_anti") if n else listed
+    led = rest.withColumn("leader", F.min("node").over(lists)).withColumn("_last", F.max("node").over(lists))
+    if n:
+        ends = listed.join(few(long), "sig", "left_semi").groupBy("sig").agg(F.min("node").alias("leader"), F.max("node").alias("_last"))
+        led = led.unionByName(listed.join(few(stored(ends, f"{top}/ends")), "sig"))
+    return led.filter("leader <> _last").select("leader", "node").distinct()
 
 
 def _together(members: DataFrame, column: str) -> DataFrame:
@@ -389,7 +455,7 @@ def connected_components(links: DataFrame, top: str, rounds: int = 60) -> DataFr
     return now.select(F.col("a").alias("node"), F.col("b").alias("component"))
 
 
-def jaccard_components(docs: DataFrame, n: int, num: int, den: int, cell_rows: int = CELL_ROWS, cell_items: int = CELL_ITEMS) -> DataFrame:
+def jaccard_components(docs: DataFrame, n: int, num: int, den: int, cell_rows: int = CELL_ROWS, cell_items: int = CELL_ITEMS, long_list: int = LONG_LIST) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of docs; two documents link when den * |x & y| >= num * |x | y|."""
     spark = docs.sparkSession
     small_batches(spark)
@@ -397,35 +463,55 @@ def jaccard_components(docs: DataFrame, n: int, num: int, den: int, cell_rows: i
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     base = stored(_describe(docs, n, num, den), f"{top}/base")
 
-    listed = base.filter(F.size("sigs") > 0).select("node", F.explode("sigs").alias("sig"))
-    lists = Window.partitionBy("sig")
-    led = listed.withColumn("leader", F.min("node").over(lists)).withColumn("_last", F.max("node").over(lists)).filter("leader <> _last")
-    cells = stored(led.select("leader", "node").distinct(), f"{top}/cells")
+    cells = stored(_led(base, top, long_list), f"{top}/cells")
     plain = stored(base.select("doc_id", "n_shingles", "node"), f"{top}/plain")
     facts = stored(base.filter("node IS NOT NULL").groupBy("node", "n_shingles").agg(F.min("doc_id").alias("doc_id"), F.first("bits").alias("bits")), f"{top}/facts")
-    base = listed = led = None
+    base = None
     remove(spark, f"{top}/base")
     release(spark)
-
-    # by bitmaps alone; beyond a bound of rows a cell is cut, as below
-    mapped = _dealt(cells, facts, cell_rows, cell_items * 1000).join(facts.select("node", "bits"), "node")
-    cells = stored(_near_members(_together(mapped, "bits"), num, den), f"{top}/near")
+    size = facts.select("node", "n_shingles")
+
+    # by bitmaps alone; a cell is cut beyond a bound of rows, and members that may be similar to its leader stay
+    sized = cells.join(size, "node")
+    large = stored(_large(sized, cell_rows, cell_items * 1000), f"{top}/large-by-bitmap")
+    cut = not large.isEmpty()
+    marked = sized.withColumn("near", F.lit(False))
+    if cut:
+        lead = facts.select(F.col("node").alias("leader"), F.col("n_shingles").alias("_n"), F.col("bits").alias("_bits"))
+        differ = F.aggregate(F.zip_with("bits", "_bits", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda a, x: a + x)
+        able = differ * (den + num) <= (F.col("n_shingles") + F.col("_n")) * (den - num)
+        members = sized.join(large.select("leader"), "leader", "left_semi").join(facts.select("node", "bits"), "node").join(lead, "leader")
+        members = stored(members.select("leader", "node", "n_shingles", able.alias("near")), f"{top}/near-by-bitmap")
+        marked = marked.join(large.select("leader"), "leader", "left_anti").unionByName(members)
+    mapped = _dealt(marked, cell_rows, cell_items * 1000).join(facts.select("node", "bits"), "node")
+    left = _near_members(_together(mapped, "bits"), num, den)
+    cells = stored(left.unionByName(members.filter("near").select("leader", "node")).distinct() if cut else left, f"{top}/near")
     mapped = None
     release(spark)
 
     # the sets of the members that are left, from one document each
     source = facts.join(cells.select("node").distinct(), "node", "left_semi").select("doc_id")
     sets = stored(_sets_of(by_ids(docs, source, "left_semi").select("text"), n), f"{top}/sets")
-    grouped = _together(_dealt(cells, facts, cell_rows, cell_items).join(sets, "node"), "items")
-    links = stored(_cell_links(grouped, num, den), f"{top}/found")
+    sized = cells.join(size, "node")
+    large = stored(_large(sized, cell_rows, cell_items), f"{top}/large")
+    cut = not large.isEmpty()
+    marked = sized.withColumn("near", F.lit(False))
+    if cut:
+        star = stored(_star_links(_together(_once(sized, large).join(sets, "node"), "items"), num, den).distinct(), f"{top}/star")
+        near = star.select(F.col("a").alias("leader"), F.col("b").alias("node"), F.lit(True).alias("near"))
+        members = sized.join(large.select("leader"), "leader", "left_semi").join(near, ["leader", "node"], "left").withColumn("near", F.coalesce("near", F.lit(False)))
+        marked = marked.join(large.select("leader"), "leader", "left_anti").unionByName(members)
+    grouped = _together(_dealt(marked, cell_rows, cell_items).join(sets, "node"), "items")
+    links = stored(_cell_links(grouped, num, den).unionByName(star) if cut else _cell_links(grouped, num, den), f"{top}/found")
     grouped = sets = None
     remove(spark, f"{top}/sets")
     release(spark)
 
     component = connected_components(links, top)
     least = plain.filter("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least")).join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    named = least.withColumn("component_id", F.min("least").over(Window.partitionBy("component"))).select("node", "component_id")
-    named = stored(named, f"{top}/named")
+    # partial minima, then a join that Spark can split: a component may hold any share of the nodes
+    smallest = least.groupBy("component").agg(F.min("least").alias("component_id"))
+    named = stored(least.join(smallest, "component").select("node", "component_id"), f"{top}/named")
     return plain.join(named, "node", "left").select("doc_id", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 

@@ -290,11 +290,14 @@ def _near_copies(rng, groups=6, copies=12):
     return rows
 
 
-@pytest.mark.parametrize("n, num, den, cell", [(3, 90, 100, 2048), (2, 6, 10, 5)])
-def test_jaccard_join(spark, docs, n, num, den, cell):
+@pytest.mark.parametrize("n, num, den, cell, long_list, broadcast", [(3, 90, 100, 2048, 200_000, 1_000_000), (2, 6, 10, 5, 200_000, 1_000_000), (3, 8, 10, 4, 2, 1_000_000), (2, 7, 10, 7, 2, 0)])
+def test_jaccard_join(spark, docs, monkeypatch, n, num, den, cell, long_list, broadcast):
+    """Also with cells cut into chunks, and with lists led without gathering them."""
+    monkeypatch.setattr(jaccard_join, "SAMPLED", 64 if long_list > 2 else 1)
+    monkeypatch.setattr(jaccard_join, "MOST_BROADCAST", broadcast)
     rows = [(r[0], r[1]) for r in ROWS] + _near_copies(random.Random(n))
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("node", F.lit(1)).withColumn("leader", F.lit("x"))
-    out = jaccard_join.jaccard_components(df, n, num, den, cell_rows=cell).collect()
+    out = jaccard_join.jaccard_components(df, n, num, den, cell_rows=cell, long_list=long_list).collect()
     assert sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"])) for r in out) == _components_brute(rows, n, num, den)
 
 
