@@ -7,7 +7,7 @@ then also locate the sentences that made a document toxic.
 
 Defined results: null and empty texts have no sentence and score 0. Repeated rows
 score alike. Labels that are null are ignored; of several labels of a document the
-largest counts. Without both classes among the training labels every score is 0.
+largest counts, and of several texts the greatest by code point. Without both classes among the training labels every score is 0.
 """
 
 from __future__ import annotations
@@ -142,9 +142,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, held_out: C
     if not ids:
         return [], np.zeros(0)
     chosen = docs.sparkSession.createDataFrame(sorted(ids.items()), "doc_id long, y int")
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").collect()
-    once = {r["doc_id"]: r for r in rows}  # repeated rows count once
-    rows = [once[k] for k in sorted(once)]
+    # of rows that repeat a doc_id, however many, the greatest text by code point counts
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y").agg(F.max("text").alias("text")).collect()
+    rows.sort(key=lambda r: r["doc_id"])
     return [r["text"] or "" for r in rows], np.array([r["y"] for r in rows], dtype=np.float64)
 
 

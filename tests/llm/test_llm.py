@@ -57,6 +57,10 @@ def test_toxicity(spark, docs, labels):
     assert all(r["held_out"] == (zlib.crc32(str("" if r["doc_id"] is None else r["doc_id"]).encode()) % 5 == 0) for r in out)
     assert toxicity.score_documents(none_of(docs), none_of(labels)).count() == 0
     assert toxicity.drop_toxic(docs, labels).columns == docs.columns
+    again = spark.createDataFrame([(2, "b", "x"), (2, "a", "x"), (2, None, "x"), (2, "c", "y"), (7, None, "x")], "doc_id long, text string, lang string")
+    for df in (again, again.orderBy(F.desc("text"))):  # repeated ids give one text, in whatever order they come
+        texts, y = toxicity.labelled_sample(df, spark.createDataFrame([(2, 1), (7, 0)], "doc_id long, toxic int"), "toxic", F.lit(False), 5)
+        assert texts == ["c", ""] and y.tolist() == [1, 0]
 
 
 @pytest.mark.skipif(not SF.exists(), reason="no test tables")
