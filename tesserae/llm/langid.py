@@ -8,7 +8,8 @@ SVMs between each two languages of the family the second.
 
 Defined results: texts that are null or have no letter are `und` with score 0, as is
 every text when nothing could be learned. Repeated rows are predicted alike. Training
-rows without lang or doc_id are ignored. Of tied votes the greater summed margin wins, then the
+rows without lang or doc_id are ignored; of rows that repeat a doc_id the first lang and its
+greatest text by code point count. Of tied votes the greater summed margin wins, then the
 first language by code point.
 """
 
@@ -177,15 +178,14 @@ def predict(column: pa.Array, model: LanguageModel) -> tuple[list[str], np.ndarr
 
 def fit(docs: DataFrame, per_language: int = 300) -> LanguageModel:
     """Learns from at most per_language documents of each language, the first by a hash of doc_id, outside the held-out quarter."""
-    known = docs.select("doc_id", "lang").filter(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & (crc_mod(F.col("doc_id"), 4) != 2)).dropDuplicates(["doc_id"])
+    known = docs.filter(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & (crc_mod(F.col("doc_id"), 4) != 2)).groupBy("doc_id").agg(F.min("lang").alias("lang"))
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     ids = {r["doc_id"]: r["lang"] for r in known.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= per_language).collect()}
     if not ids:
         return LanguageModel([])
     chosen = docs.sparkSession.createDataFrame(sorted(ids.items()), "doc_id long, _lang string")  # languages x per_language rows
-    rows = docs.select("doc_id", "lang", "text").join(F.broadcast(chosen), "doc_id").filter("lang = _lang").collect()
-    once = {r["doc_id"]: r for r in rows}
-    rows = [once[k] for k in sorted(once)]
+    rows = docs.select("doc_id", "lang", "text").join(F.broadcast(chosen), "doc_id").filter("lang = _lang").groupBy("doc_id", "lang").agg(F.max("text").alias("text")).collect()
+    rows.sort(key=lambda r: r["doc_id"])
     return train([r["text"] or "" for r in rows], [r["lang"] for r in rows])
 
 
