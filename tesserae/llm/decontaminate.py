@@ -16,7 +16,8 @@ documents for each block, and documents never move between tasks.
 
 Defined results: null and empty texts have no words and no hits. Items without words
 or with null item_id match nothing; rows that repeat an item_id are one item. Repeated
-documents get a row each.
+documents get a row each. A row is dropped or cut for its own text, whatever other rows
+have its doc_id or none.
 """
 
 from __future__ import annotations
@@ -26,11 +27,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import ALNUM, U64, Words, by_ids, small_batches, text_chunks
+from ._common import ALNUM, U64, Words, by_rows, small_batches, stored, text_chunks, text_key, work_dir
 
 PHRASE = 13
 BLOCK_WORDS = 2_000_000
@@ -247,7 +247,7 @@ class Shard:
         quick[(block.vocabulary >> U64(48)).astype(np.int64)] = True
         self.quick, self.least = quick, block.shortest()
 
-    def add(self, ids: pa.Array, data: np.ndarray, off: np.ndarray) -> None:
+    def add(self, ids: pa.Array, data: np.ndarray, off: np.ndarray, keys: pa.Array | None = None) -> None:
         words = Words(data, off, ALNUM)
         h = words.hashes()[0]
         near = np.flatnonzero(self.quick[(h >> U64(48)).astype(np.int64)]) if len(self.block.vocabulary) else np.zeros(0, np.int64)
@@ -260,8 +260,7 @@ class Shard:
         size = np.diff(np.append(np.flatnonzero(new), len(at)))
         keep = np.repeat(size >= self.least, size)
         self.parts.append((symbol[keep], doc[keep] + self.rows, (at - words.at[doc])[keep], new[keep]))
-        digest = [xxhash.xxh3_64_intdigest(data[off[i] : off[i + 1]].tobytes()) >> 1 for i in range(len(off) - 1)]
-        self.columns.append((ids, words.counts(), digest))
+        self.columns.append((ids, words.counts(), pa.nulls(len(off) - 1, pa.int64()) if keys is None else keys))
         self.rows += len(off) - 1
         self.symbols += int(keep.sum())
         self.bytes += len(data)
@@ -308,14 +307,14 @@ class Shard:
         rows = np.arange(self.rows + 1)
         at, item_at = np.searchsorted(of, rows).astype(np.int32), np.searchsorted(doc, rows).astype(np.int32)
         long_lists = lambda x, a: pa.ListArray.from_arrays(pa.array(a), pa.array(x, pa.int64()))
-        ids = pa.concat_arrays([c[0] for c in self.columns])
+        ids, keys = (pa.concat_arrays([c[k] for c in self.columns]) for k in (0, 2))
         return pa.RecordBatch.from_arrays(
-            [ids, pa.array(np.concatenate([c[1] for c in self.columns]), pa.int64()), pa.array(sum((c[2] for c in self.columns), []), pa.int64()), long_lists(start, at), long_lists(end, at), long_lists(item, item_at)],
-            names=["doc_id", "n_words", "digest", "starts", "ends", "items"],
+            [ids, pa.array(np.concatenate([c[1] for c in self.columns]), pa.int64()), keys, long_lists(start, at), long_lists(end, at), long_lists(item, item_at)],
+            names=["doc_id", "n_words", "key", "starts", "ends", "items"],
         )
 
 
-_SCHEMA = "doc_id long, n_words long, digest long, starts array<long>, ends array<long>, items array<long>"
+_SCHEMA = "doc_id long, n_words long, key long, starts array<long>, ends array<long>, items array<long>"
 
 
 def _pass(docs: DataFrame, block: Block) -> DataFrame:
@@ -324,16 +323,16 @@ def _pass(docs: DataFrame, block: Block) -> DataFrame:
     def run(batches):
         shard = Shard(shared.value)
         for batch in batches:
-            ids = batch.column("doc_id")
+            ids, keys = batch.column("doc_id"), batch.column("key")
             for row, data, off in text_chunks(batch.column("text")):
-                shard.add(ids.slice(row, len(off) - 1), data, off)
+                shard.add(ids.slice(row, len(off) - 1), data, off, keys.slice(row, len(off) - 1))
                 if shard.full():
                     yield shard.result()
                     shard = Shard(shared.value)
         if shard.rows:
             yield shard.result()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, _SCHEMA)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", text_key(F.col("text")).alias("key")).mapInArrow(run, _SCHEMA)
 
 
 def _merge(a, b):
@@ -343,33 +342,88 @@ def _merge(a, b):
     return F.when((F.size(a) > 0) & (F.try_element_at(a, F.lit(-1))["e"] >= b["s"]), joined).otherwise(F.concat(a, F.array(b)))
 
 
-def removal_spans(docs: DataFrame, benchmark: DataFrame, phrase: int = PHRASE, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """doc_id, n_words, starts, ends (merged word ranges to remove), items (item_ids that occur), a row for each row of docs."""
+def _spans(docs: DataFrame, benchmark: DataFrame, phrase: int, block_words: int) -> DataFrame:
+    """What removal_spans() gives, with the key of the row's text."""
     small_batches(docs.sparkSession)
     passes = [_pass(docs, b) for b in blocks(benchmark, phrase, block_words)]
     if len(passes) == 1:
-        return passes[0].drop("digest")
+        return passes[0]
     # the same row comes once from each pass; equal rows have equal results, so they are merged together and counted
     every = passes[0]
     for p in passes[1:]:
         every = every.unionAll(p)
     spans = F.array_sort(F.flatten(F.collect_list(F.arrays_zip(F.col("starts").alias("s"), F.col("ends").alias("e")))))
-    merged = every.groupBy("doc_id", "n_words", "digest").agg(
+    merged = every.groupBy("doc_id", "n_words", "key").agg(
         F.aggregate(spans, F.array().cast("array<struct<s:bigint,e:bigint>>"), _merge).alias("m"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), (F.count(F.lit(1)) / len(passes)).cast("int").alias("n")
     )
-    return merged.select("doc_id", "n_words", F.col("m.s").alias("starts"), F.col("m.e").alias("ends"), "items", F.explode(F.array_repeat(F.lit(0), F.col("n"))).alias("_n")).drop("_n")
+    return merged.select("doc_id", "n_words", "key", F.col("m.s").alias("starts"), F.col("m.e").alias("ends"), "items", F.explode(F.array_repeat(F.lit(0), F.col("n"))).alias("_n")).drop("_n")
+
+
+def removal_spans(docs: DataFrame, benchmark: DataFrame, phrase: int = PHRASE, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """doc_id, n_words, starts, ends (merged word ranges to remove), items (item_ids that occur), a row for each row of docs."""
+    return _spans(docs, benchmark, phrase, block_words).drop("key")
+
+
+def _n_hit():
+    return F.aggregate(F.zip_with("ends", "starts", lambda e, s: e - s), F.lit(0).cast("long"), lambda a, x: a + x)
+
+
+def _contaminated(n_hit):
+    return (n_hit > 0) & (20 * n_hit >= F.col("n_words"))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, phrase: int = PHRASE, block_words: int = BLOCK_WORDS) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated for every row of docs."""
     spans = removal_spans(docs, benchmark, phrase, block_words)
-    hit = F.aggregate(F.zip_with("ends", "starts", lambda e, s: e - s), F.lit(0).cast("long"), lambda a, x: a + x)
     names = F.array_join(F.array_sort(F.transform("items", lambda x: x.cast("string"))), ",")
     return spans.select(
-        "doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(names.cast("binary"), 256).alias("items_sha256")
-    ).withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
-
-
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, phrase: int = PHRASE) -> DataFrame:
-    """The rows of docs, all columns, that are not contaminated; rows go by doc_id, so of rows with one doc_id all go if one is."""
-    return by_ids(docs, contamination(docs, benchmark, phrase).filter("contaminated").select("doc_id"), "left_anti")
+        "doc_id", "n_words", _n_hit().alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(names.cast("binary"), 256).alias("items_sha256")
+    ).withColumn("contaminated", _contaminated(F.col("n_hit")))
+
+
+def cut_words(text: str, starts: list[int], ends: list[int]) -> str:
+    """The text without the words [start, end) of each span and what lies between them; what stands before and after a span stays."""
+    raw = text.encode()
+    words = Words(np.frombuffer(raw, dtype=np.uint8), np.array([0, len(raw)]), ALNUM)
+    out, at = [], 0
+    for s, e in zip(starts, ends, strict=True):
+        out.append(raw[at : words.start[s]])
+        at = int(words.end[e - 1])
+    return b"".join([*out, raw[at:]]).decode()
+
+
+def _without_spans(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of docs that `found` names (doc_id, key, starts, ends), cut; n_chars, if it's there, follows the text."""
+
+    @F.arrow_udf("string")
+    def cut_text(text: pa.Array, starts: pa.Array, ends: pa.Array) -> pa.Array:
+        return pa.array([cut_words(*row) for row in zip(text.to_pylist(), starts.to_pylist(), ends.to_pylist(), strict=True)], pa.string())
+
+    added = {"starts": "_starts", "ends": "_ends"}
+    cut = by_rows(docs, found.select("doc_id", "key", *added).withColumnsRenamed(added), "inner").withColumn("text", cut_text("text", "_starts", "_ends"))
+    if "n_chars" in docs.columns:
+        cut = cut.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
+    return cut.select(docs.columns)
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, phrase: int = PHRASE, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """The rows of docs, all columns, without those that are contaminated; from the others every span is cut, so no phrase is left.
+
+    Rows without a hit stay as they are. Where a cut brings words together that make a phrase, it is cut as well.
+    """
+    top = work_dir(docs.sparkSession, "leaks")
+
+    def hits(of: DataFrame, name: str) -> DataFrame:
+        found = _spans(of, benchmark, phrase, block_words).filter(F.size("starts") > 0).dropDuplicates(["doc_id", "key"])
+        return stored(found.select("doc_id", "key", "starts", "ends", _contaminated(_n_hit()).alias("gone")), f"{top}/{name}")
+
+    found = hits(docs, "hits")
+    out = by_rows(docs, found.select("doc_id", "key"), "left_anti")
+    rest, k = _without_spans(docs, found.filter("NOT gone")), 0
+    while True:
+        rest = stored(rest, f"{top}/cut-{k}")
+        found = hits(rest, f"hits-{k}")
+        out = out.unionByName(by_rows(rest, found.select("doc_id", "key"), "left_anti"))
+        if found.isEmpty():
+            return out
+        rest, k = _without_spans(rest, found), k + 1

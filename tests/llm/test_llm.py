@@ -257,6 +257,43 @@ def test_contamination(spark, docs, block_words):
     assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {None, 3, 4, 5, 6}
 
 
+@pytest.mark.parametrize("block_words", [3, 1 << 20])
+def test_spans_below_the_share_are_cut(spark, block_words):
+    item = [f"w{k}" for k in range(20)]
+    bench = spark.createDataFrame([(1, " ".join(item)), (2, "tiny item")], "item_id long, text string")
+    filler = lambda n, of: " ".join(f"{of}{k}" for k in range(n))
+    inside = ", ".join(item[:7]) + " - " + ", ".join(item[:13]) + " ... " + ", ".join(item[7:13])  # cut once, the outer words are a phrase
+    rows = [
+        (1, f"É {filler(500, 'a')}.  ({' '.join(item).upper()})!\n{filler(400, 'b')}\t", "en", "a", 0), (2, f"{inside} {filler(700, 'c')} Tiny, ITEM", "en", "a", 0),
+        (3, " ".join(item), "en", "a", 0), (4, " \n clean  É\t" + " ".join(item[:12]), "en", "a", 7), (5, None, "en", None, None),
+    ]
+    docs = spark.createDataFrame(rows, DOCS).withColumn("starts", F.lit("mine"))
+    out = decontaminate.drop_contaminated(docs, bench, 13, block_words)
+    assert out.columns == docs.columns
+    got = {r["doc_id"]: r for r in out.collect()}
+    assert sorted(got) == [1, 2, 4, 5]
+    assert got[1]["text"] == f"É {filler(500, 'a')}.  ()!\n{filler(400, 'b')}\t" and got[1]["n_chars"] == len(got[1]["text"])
+    assert got[2]["text"].split() == filler(700, "c").split()
+    assert tuple(got[4])[:5] == rows[3] and tuple(got[5])[:5] == rows[4]
+    assert {r["starts"] for r in got.values()} == {"mine"}
+
+
+@pytest.mark.skipif(not SF.exists(), reason="no test tables")
+def test_no_benchmark_window_is_left_by_the_stage(spark):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(str(SF / "documents.parquet"))
+    items = [(r["item_id"], r["text"]) for r in spark.read.parquet(str(SF / "benchmark.parquet")).collect()]
+    words = [f"v{k}" for k in range(2000)]
+    late = spark.createDataFrame([(-k, " ".join([*words[: 50 * k], items[k][1], *words]), "en", "a", 0) for k in range(1, 9)], docs.schema)
+    before = {r["doc_id"]: r["text"] for r in docs.unionByName(late).collect()}
+    after = {r["doc_id"]: r["text"] for r in corpus_pipeline.drop_contaminated(spark, docs.unionByName(late), str(SF)).collect()}
+    leaks = dict(zip(before, _leaks_brute(before.values(), items, 13), strict=True))
+    assert set(after) == {d for d, (w, h, _) in leaks.items() if not (h > 0 and 20 * h >= w)} and set(range(-8, 0)) <= set(after)
+    assert all(h == 0 for _, h, _ in _leaks_brute(after.values(), items, 13))
+    assert all(t == before[d] for d, t in after.items() if leaks[d][1] == 0)
+
+
 def _components_brute(rows, n, num, den):
     sets = []
     for _, t in rows:
