@@ -174,14 +174,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def by_ids(docs: DataFrame, ids: DataFrame, how: str, most: int = 250_000) -> DataFrame:
-    """Semi or anti join of docs with one column of doc_ids (null equals null); ids are broadcast only if they are `most` at most."""
-    spark = docs.sparkSession
-    ids = stored(ids.select(ids[ids.columns[0]].cast("long").alias("_id")).distinct(), work_dir(spark, "ids"))
-    few = ids.count() <= most
-    return docs.join(F.broadcast(ids) if few else ids, docs["doc_id"].cast("long").eqNullSafe(ids["_id"]), how)
-
-
 def text_key(text: Column) -> Column:
     """With doc_id, what tells a row's decision from another's: two texts of one doc_id have equal keys with 2**-64."""
     return F.xxhash64(text)
@@ -189,7 +181,8 @@ def text_key(text: Column) -> Column:
 
 def by_rows(docs: DataFrame, keys: DataFrame, how: str, most: int = 250_000) -> DataFrame:
     """Join of docs (semi, anti or inner) with distinct stored rows of doc_id, key (see text_key) and whatever an inner join adds; null equals null. The rows are broadcast only if they are `most` at most."""
-    keys = keys.withColumnsRenamed({"doc_id": "_id", "key": "_key"})
+    keys = keys.withColumnsRenamed({"doc_id": "_row_id", "key": "_row_key"})
     few = keys.count() <= most
-    same = docs["doc_id"].cast("long").eqNullSafe(keys["_id"]) & (text_key(docs["text"]) == keys["_key"])
-    return docs.join(F.broadcast(keys) if few else keys, same, how).drop("_id", "_key")
+    same = docs["doc_id"].cast("long").eqNullSafe(keys["_row_id"]) & (text_key(docs["text"]) == keys["_row_key"])
+    out = docs.join(F.broadcast(keys) if few else keys, same, how)
+    return out.drop(keys["_row_id"], keys["_row_key"]) if how == "inner" else out

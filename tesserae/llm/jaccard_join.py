@@ -49,7 +49,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._common import U64, Words, by_ids, mix, release, remove, row_sums, small_batches, stored, text_chunks, work_dir
+from ._common import U64, Words, by_rows, mix, release, remove, row_sums, small_batches, stored, text_chunks, text_key, work_dir
 
 CELL_ROWS = 2048
 CELL_ITEMS = 2_000_000
@@ -242,12 +242,12 @@ class Cell:
 
 
 def _describe(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """doc_id, n_shingles, node, sigs; of equal sets that a task meets again, the signatures come once."""
+    """doc_id, key, n_shingles, node, sigs, bits; of equal sets that a task meets again, the signatures come once."""
 
     def run(batches):
         positions, seen = Positions(num, den), set()
         for batch in batches:
-            ids = batch.column("doc_id")
+            ids, keys = batch.column("doc_id"), batch.column("key")
             for row, data, off in text_chunks(batch.column("text")):
                 sizes, nodes, sigs, maps = [], [], [], []
                 for s in shingle_sets(data, off, n):
@@ -263,10 +263,10 @@ def _describe(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
                         seen.add(node)
                         sigs.append(positions.signatures(s).view(np.int64))
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(row, len(off) - 1), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), _lists(sigs), _lists(maps)], names=["doc_id", "n_shingles", "node", "sigs", "bits"]
+                    [ids.slice(row, len(off) - 1), keys.slice(row, len(off) - 1), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), _lists(sigs), _lists(maps)], names=["doc_id", "key", "n_shingles", "node", "sigs", "bits"]
                 )
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, node long, sigs array<long>, bits array<long>")
+    return docs.mapInArrow(run, "doc_id long, key long, n_shingles long, node long, sigs array<long>, bits array<long>")
 
 
 def _sets_of(docs: DataFrame, n: int) -> DataFrame:
@@ -455,17 +455,17 @@ def connected_components(links: DataFrame, top: str, rounds: int = 60) -> DataFr
     return now.select(F.col("a").alias("node"), F.col("b").alias("component"))
 
 
-def jaccard_components(docs: DataFrame, n: int, num: int, den: int, cell_rows: int = CELL_ROWS, cell_items: int = CELL_ITEMS, long_list: int = LONG_LIST) -> DataFrame:
-    """doc_id, n_shingles, component_id for every row of docs; two documents link when den * |x & y| >= num * |x | y|."""
+def _rows_in_components(docs: DataFrame, n: int, num: int, den: int, cell_rows: int, cell_items: int, long_list: int) -> DataFrame:
+    """doc_id, key (of the text), n_shingles, component_id, first (whether doc_id and text are those of its component's first row) for every row of docs."""
     spark = docs.sparkSession
     small_batches(spark)
     top = work_dir(spark, "jaccard")
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", text_key(F.col("text")).alias("key"))
     base = stored(_describe(docs, n, num, den), f"{top}/base")
 
     cells = stored(_led(base, top, long_list), f"{top}/cells")
-    plain = stored(base.select("doc_id", "n_shingles", "node"), f"{top}/plain")
-    facts = stored(base.filter("node IS NOT NULL").groupBy("node", "n_shingles").agg(F.min("doc_id").alias("doc_id"), F.first("bits").alias("bits")), f"{top}/facts")
+    plain = stored(base.select("doc_id", "key", "n_shingles", "node"), f"{top}/plain")
+    facts = stored(base.filter("node IS NOT NULL").groupBy("node", "n_shingles").agg(F.min(F.struct("doc_id", "key")).alias("one"), F.first("bits").alias("bits")), f"{top}/facts")
     base = None
     remove(spark, f"{top}/base")
     release(spark)
@@ -490,8 +490,8 @@ def jaccard_components(docs: DataFrame, n: int, num: int, den: int, cell_rows: i
     release(spark)
 
     # the sets of the members that are left, from one document each
-    source = facts.join(cells.select("node").distinct(), "node", "left_semi").select("doc_id")
-    sets = stored(_sets_of(by_ids(docs, source, "left_semi").select("text"), n), f"{top}/sets")
+    source = facts.join(cells.select("node").distinct(), "node", "left_semi").select("one.*")
+    sets = stored(_sets_of(by_rows(docs, stored(source, f"{top}/source"), "left_semi").select("text"), n), f"{top}/sets")
     sized = cells.join(size, "node")
     large = stored(_large(sized, cell_rows, cell_items), f"{top}/large")
     cut = not large.isEmpty()
@@ -508,15 +508,33 @@ def jaccard_components(docs: DataFrame, n: int, num: int, den: int, cell_rows: i
     release(spark)
 
     component = connected_components(links, top)
-    least = plain.filter("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least")).join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    # the first row of a component has its least doc_id (null after all others) and of those its least key
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
+    least = plain.filter("node IS NOT NULL").groupBy("node").agg(F.min(order).alias("least")).join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
     # partial minima, then a join that Spark can split: a component may hold any share of the nodes
-    smallest = least.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = stored(least.join(smallest, "component").select("node", "component_id"), f"{top}/named")
-    return plain.join(named, "node", "left").select("doc_id", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    smallest = least.groupBy("component").agg(F.min("least").alias("least"))
+    named = stored(least.drop("least").join(smallest, "component").select("node", F.col("least.doc_id").alias("component_id"), F.col("least.key").alias("_key")), f"{top}/named")
+    return plain.join(named, "node", "left").select(
+        "doc_id", "key", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
+        (F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("key") == F.col("_key"))).alias("first"),
+    )
+
+
+def jaccard_components(docs: DataFrame, n: int, num: int, den: int, cell_rows: int = CELL_ROWS, cell_items: int = CELL_ITEMS, long_list: int = LONG_LIST) -> DataFrame:
+    """doc_id, n_shingles, component_id for every row of docs; two documents link when den * |x & y| >= num * |x | y|."""
+    return _rows_in_components(docs, n, num, den, cell_rows, cell_items, long_list).select("doc_id", "n_shingles", "component_id")
 
 
 def keep_one(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10) -> DataFrame:
-    """The rows of docs, all columns, one of each component: that of its least doc_id. Rows without words stay; rows with one doc_id are one document."""
-    groups = jaccard_components(docs, n, num, den)
-    gone = groups.filter("n_shingles > 0 AND doc_id <> component_id").select("doc_id")
-    return by_ids(docs, gone, "left_anti")
+    """The rows of docs, all columns, one of each component: of its least doc_id (a null one only if all are) and, where texts share that, one text. Rows without words stay."""
+    rows = _rows_in_components(docs, n, num, den, CELL_ROWS, CELL_ITEMS, LONG_LIST).filter("n_shingles > 0")
+    listed = rows.groupBy("doc_id", "key").agg(F.first("first").alias("first"), F.count(F.lit(1)).alias("n")).filter("NOT first OR n > 1")
+    listed = stored(listed, f"{work_dir(docs.sparkSession, 'kept')}/listed")
+    out = by_rows(docs, listed.select("doc_id", "key"), "left_anti")
+    copies = listed.filter("first").select("doc_id", "key")
+    if copies.isEmpty():
+        return out
+    # of first rows that repeat doc_id and text, one; partial minima, so that a row's copies needn't meet
+    whole = F.struct(*docs.columns)
+    one = by_rows(docs, copies, "left_semi").groupBy(F.col("doc_id").alias("_row_id"), text_key(F.col("text")).alias("_row_key")).agg(F.min_by(whole, F.to_json(whole)).alias("_row"))
+    return out.unionByName(one.select("_row.*"))

@@ -348,6 +348,22 @@ def test_jaccard_join_of_nothing_and_keep_one(spark, docs):
     assert kept.columns == docs.columns and sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(["1", "3", "4", "None", "None", "5", "6", "7", "8"])
 
 
+def test_row_decisions_with_null_and_repeated_ids(spark):
+    text = lambda of, n=40: " ".join(f"{of}{k}" for k in range(n))
+    a, b, c, d = (text(x) for x in "abcd")
+    rows = [(None, a), (None, a), (None, a + " more"), (None, b), (5, c), (5, c), (5, d), (4, d + " more"), (7, text("e")), (7, text("e") + " more"), (None, text("e")), (None, None), (8, "")]
+    docs = spark.createDataFrame([(i, t, "en", "a", k) for k, (i, t) in enumerate(rows)], DOCS).withColumn("_id", F.lit("mine")).withColumn("key", F.lit("mine"))
+    kept = jaccard_join.keep_one(docs, 5, 8, 10)
+    assert kept.columns == docs.columns
+    got = [(r["doc_id"], (r["text"] or "")[:1]) for r in kept.collect()]
+    assert sorted(map(str, got)) == sorted(map(str, [(None, "a"), (None, "b"), (5, "c"), (4, "d"), (7, "e"), (None, ""), (8, "")]))
+
+    bench = spark.createDataFrame([(1, text("a", 13)), (2, text("c", 13))], "item_id long, text string")
+    clean = decontaminate.drop_contaminated(docs, bench)
+    assert clean.columns == docs.columns
+    assert sorted(r["n_chars"] for r in clean.collect()) == [3, *range(6, 13)]
+
+
 def test_similar_sets_always_share_a_list():
     rng = np.random.default_rng(5)
     for num, den in ((90, 100), (8, 10), (1, 2)):
