@@ -3,13 +3,13 @@
 from .errors import EngineError
 from .functions.distributions import Custom, Logarithmic, Multi, Normal, Skew, Triangular, Uniform
 from .operators.adapters import Adapter, conforms, drive, to_constraints, to_json_schema, to_struct_type
-from .operators.instance import Fabricator, Instance, Layered, initialize, layer
+from .operators.instance import Maker, Instance, Layered, initialize, layer
 from .plans.bounds import Bound, effective_discrete, exclusive, to_bound
 from .plans.compiler import ProduceContext, Trace
 from .plans.kinds import OMITTED, Registry, Schema, registry
 
 __all__ = [
-    "OMITTED", "Adapter", "Bound", "Custom", "EngineError", "Fabricator", "Instance", "Layered", "Logarithmic", "Multi", "Normal", "ProduceContext", "Registry",
+    "OMITTED", "Adapter", "Bound", "Custom", "EngineError", "Maker", "Instance", "Layered", "Logarithmic", "Multi", "Normal", "ProduceContext", "Registry",
     "Schema", "Skew", "Trace", "Triangular", "Uniform", "conforms", "drive", "effective_discrete", "exclusive", "initialize", "layer", "registry", "to_bound", "to_constraints",
     "to_json_schema", "to_struct_type",
 ]

@@ -36,4 +36,4 @@ InvalidDistributionBoundError = _kind("InvalidDistributionBoundError", "A bound
 InvalidWeightError = _kind("InvalidWeightError", "A weight that is negative or not finite.")
 NoDrawableOutcomesError = _kind("NoDrawableOutcomesError", "All weights are zero.")
 TraceKindMismatchError = _kind("TraceKindMismatchError", "A replayed trace belongs to another kind.")
-NoActiveScopeError = _kind("NoActiveScopeError", "A vocabulary builder outside of a fabrication.")
+NoActiveScopeError = _kind("NoActiveScopeError", "A vocabulary builder outside of a generation.")

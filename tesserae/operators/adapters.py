@@ -116,7 +116,7 @@ def to_json_schema(schema) -> dict:
 
 @dataclass
 class Constraints:
-    """Predicates over columns that hold a fabricated object: V(column) -> list of (name, Column)."""
+    """Predicates over columns that hold a made object: V(column) -> list of (name, Column)."""
 
     key: str = "constraints"
 
@@ -170,7 +170,7 @@ class Constraints:
 
 
 def to_constraints(schema, column: Column | None = None) -> list[tuple[str, Column]]:
-    """Named predicates over the columns of a frame (or a struct column); all hold for what the schema fabricates."""
+    """Named predicates over the columns of a frame (or a struct column); all hold for what the schema makes."""
     return drive(Constraints(), schema, {"column": column, "name": "value"})
 
 
@@ -181,9 +181,9 @@ def conforms(schema, column: Column | None = None) -> Column:
     return out
 
 
-def to_struct_type(fabricator) -> T.StructType:
-    """The types of the columns that a fabricator makes."""
-    return fabricator.data_type()
+def to_struct_type(maker) -> T.StructType:
+    """The types of the columns that a maker makes."""
+    return maker.data_type()
 
 
 __all__ = ["MAX_SAFE", "MAX_TIME", "Adapter", "Constraints", "JsonSchema", "conforms", "drive", "numeric_bound", "to_const", "to_constraints", "to_json_schema", "to_struct_type"]

@@ -1,4 +1,4 @@
-"""Instances: seed, clock, algorithm, attribution and limits; fork, wrap, fabricate, enumerate."""
+"""Instances: seed, clock, algorithm, attribution and limits; fork, wrap, make, enumerate."""
 
 from __future__ import annotations
 
@@ -149,8 +149,8 @@ class _Source:
 _frames: ContextVar[tuple[tuple[int, _Source], ...]] = ContextVar("tesserae_frames", default=())
 
 
-class Fabricator:
-    """A built schema: fabricate(n), fabricate_onto(df, key)."""
+class Maker:
+    """A built schema: make(n), make_onto(df, key)."""
 
     def __init__(self, instance: Instance, schema, seed=None, clock=None, trace: Trace | None = None):
         self.schema = to_schema(schema)
@@ -175,9 +175,9 @@ class Fabricator:
         return self.schema.meta
 
     @property
-    def children(self) -> dict[str, Fabricator]:
+    def children(self) -> dict[str, Maker]:
         named = self.schema.meta["fields"].items() if self.schema.kind == "object" else ((str(i), s) for i, s in enumerate(self.schema.meta.get("slots", ())))
-        return {k: Fabricator(self.instance, c, trace=replace(self.trace, path=(*self.trace.path, k), kind=c.kind)) for k, c in named}
+        return {k: Maker(self.instance, c, trace=replace(self.trace, path=(*self.trace.path, k), kind=c.kind)) for k, c in named}
 
     def compile(self, ordinal: Column, sequence: Column | None = None, overrides: dict | None = None, pin=None) -> Out:
         schema = self.schema
@@ -204,12 +204,12 @@ class Fabricator:
         out = self.compile(F.lit("0"), F.lit(1))
         return self.instance.spark.range(0).select(*self.columns(out)).schema
 
-    def fabricate(self, n: int = 1, overrides: dict | None = None, partitions: int | None = None) -> DataFrame:
+    def make(self, n: int = 1, overrides: dict | None = None, partitions: int | None = None) -> DataFrame:
         """n rows, without a shuffle: row i is a function of i alone."""
         rows = self.instance.spark.range(0, n, 1, partitions) if partitions else self.instance.spark.range(n)
         return rows.toDF(ORDINAL).select(*self.columns(self.compile(F.col(ORDINAL), F.col(ORDINAL) + 1, overrides)))
 
-    def fabricate_onto(self, df: DataFrame, key: str, overrides: dict | None = None, keep: list[str] | None = None) -> DataFrame:
+    def make_onto(self, df: DataFrame, key: str, overrides: dict | None = None, keep: list[str] | None = None) -> DataFrame:
         """A row for each row of df, drawn by its unique key; `keep` names columns to keep, the key if unset."""
         sequence = None
         if _has_sequence(self.schema):
@@ -260,7 +260,7 @@ def _bounds_below(value: Column, bounds: list) -> Column:
 
 
 class Instance:
-    """An isolated world of builders and fabricators."""
+    """An isolated world of builders and makers."""
 
     def __init__(self, spark: SparkSession, config: Config, types=None):
         self.spark, self._source = spark, _Source(config)
@@ -289,8 +289,8 @@ class Instance:
         finally:
             _frames.reset(token)
 
-    def Fabricator(self, schema, **options) -> Fabricator:  # noqa: N802  the public name
-        return Fabricator(self, schema, **options)
+    def Maker(self, schema, **options) -> Maker:  # noqa: N802  the public name
+        return Maker(self, schema, **options)
 
     def combinatorial(self, schema) -> DataFrame:
         """Every combination of the schema's finite choices, in mixed radix, the last field fastest."""
@@ -308,7 +308,7 @@ class Instance:
 
     def _rows(self, schema: Schema, axis, name: str) -> DataFrame:
         config = self._active().config
-        made = Fabricator(self, schema, trace=Trace((*config.seed, name), config.clock, kind=schema.kind))
+        made = Maker(self, schema, trace=Trace((*config.seed, name), config.clock, kind=schema.kind))
         out = made.compile(F.col(ORDINAL), F.col(ORDINAL) + 1, pin=axis.decode(F.col(ORDINAL)))
         return self.spark.range(axis.width).toDF(ORDINAL).select(*made.columns(out))
 

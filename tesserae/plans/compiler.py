@@ -183,7 +183,7 @@ def _integer(s, ctx, pin):
 
 def _sequence(s, ctx, pin):
     if ctx.sequence is None:
-        raise EmptyRangeError("a sequence needs a dense ordinal: fabricate(n), or fabricate_onto a key")
+        raise EmptyRangeError("a sequence needs a dense ordinal: make(n), or make_onto a key")
     return Out(ctx.sequence.cast("long"), T.LongType())
 
 

@@ -89,7 +89,7 @@ def deep_merge(a: dict, b: dict) -> dict:
 
 
 def to_schema(x) -> Schema:
-    """A schema, builder or built fabricator as inert data."""
+    """A schema, builder or built maker as inert data."""
     if isinstance(x, Schema):
         return x
     inner = getattr(x, "schema", None)

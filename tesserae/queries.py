@@ -35,7 +35,7 @@ def world(spark: SparkSession) -> Instance:
 def on(table: str, key: str, schema, overrides=None) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         s = schema() if callable(schema) else schema
-        return world(spark).Fabricator(s, seed="q").fabricate_onto(read_table(spark, sf_dir, table), key, overrides)
+        return world(spark).Maker(s, seed="q").make_onto(read_table(spark, sf_dir, table), key, overrides)
 
     return run
 
@@ -123,7 +123,7 @@ def _sum_axis(spark, sf_dir):
 
 def _override_from_table(spark, sf_dir):
     schema = T.object({"price": T.number.integer.whereby(1, 100), "status": T.enum.uniform(["new", "old"])})
-    return world(spark).Fabricator(schema, seed="q").fabricate_onto(read_table(spark, sf_dir, "orders"), O, {"status": F.when(F.col("o_orderstatus") == "F", F.lit("final"))})
+    return world(spark).Maker(schema, seed="q").make_onto(read_table(spark, sf_dir, "orders"), O, {"status": F.when(F.col("o_orderstatus") == "F", F.lit("final"))})
 
 
 def _constraints(spark, sf_dir):
@@ -138,17 +138,17 @@ def _constraints_events(spark, sf_dir):
 
 def _replay(spark, sf_dir):
     """A nested field replayed from its trace: the same values as inside its object."""
-    whole_object = world(spark).Fabricator(T.object({"a": T.number.integer.whereby(0, 999), "b": T.object({"c": T.number.integer.whereby(0, 999)})}), seed="q")
+    whole_object = world(spark).Maker(T.object({"a": T.number.integer.whereby(0, 999), "b": T.object({"c": T.number.integer.whereby(0, 999)})}), seed="q")
     child = whole_object.children["b"].children["c"]
-    again = world(spark).Fabricator(child.schema, trace=child.trace)
-    return again.fabricate_onto(read_table(spark, sf_dir, "orders"), O).withColumnRenamed("value", "c")
+    again = world(spark).Maker(child.schema, trace=child.trace)
+    return again.make_onto(read_table(spark, sf_dir, "orders"), O).withColumnRenamed("value", "c")
 
 
 def _vocabulary_counts(spark, sf_dir):
     every = [n for n in names() if rule_of(n).split(" ")[0] not in ("=", "object", "int", "float", "flag", "date", "dates", "list", "pair", "bin", "oct", "pick")]
     at_name = lambda n: _entry(n)
     schema = T.object({n.replace(".", "_"): at_name(n) for n in every})
-    wide = world(spark).Fabricator(schema, seed="q").fabricate_onto(read_table(spark, sf_dir, "part"), P)
+    wide = world(spark).Maker(schema, seed="q").make_onto(read_table(spark, sf_dir, "part"), P)
     pairs = F.array(*[F.struct(F.lit(n).alias("entry"), F.col(n.replace(".", "_")).alias("value")) for n in every])
     return wide.select(F.explode(pairs).alias("x")).groupBy("x.entry", "x.value").agg(F.count(F.lit(1)).alias("n"))
 

@@ -5,15 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.instance import ORDINAL, Fabricator
+from ..operators.instance import ORDINAL, Maker
 
 
-def fabricate_stream(fabricator: Fabricator, rows_per_second: int = 10) -> DataFrame:
+def make_stream(maker: Maker, rows_per_second: int = 10) -> DataFrame:
     """timestamp, and a row for each tick of the rate source."""
-    ticks = fabricator.instance.spark.readStream.format("rate").option("rowsPerSecond", rows_per_second).load()
-    return fabricate_on_stream(fabricator, ticks, "value", ["timestamp"])
+    ticks = maker.instance.spark.readStream.format("rate").option("rowsPerSecond", rows_per_second).load()
+    return make_on_stream(maker, ticks, "value", ["timestamp"])
 
 
-def fabricate_on_stream(fabricator: Fabricator, stream: DataFrame, key: str, keep: list[str] | None = None) -> DataFrame:
-    out = fabricator.compile(F.col(ORDINAL), F.col(ORDINAL) + 1 if dict(stream.dtypes)[key] in ("bigint", "int") else None)
-    return stream.withColumn(ORDINAL, F.col(key)).select(*[F.col(c) for c in (keep or [key])], *fabricator.columns(out))
+def make_on_stream(maker: Maker, stream: DataFrame, key: str, keep: list[str] | None = None) -> DataFrame:
+    out = maker.compile(F.col(ORDINAL), F.col(ORDINAL) + 1 if dict(stream.dtypes)[key] in ("bigint", "int") else None)
+    return stream.withColumn(ORDINAL, F.col(key)).select(*[F.col(c) for c in (keep or [key])], *maker.columns(out))

@@ -13,7 +13,7 @@ from tesserae.operators.instance import derive_clock, relativize, with_dense_ran
 from tesserae.plans.bounds import Bound, effective_discrete
 from tesserae.plans.compiler import Trace
 from tesserae.plans.kinds import registry as T
-from tesserae.streaming.rate import fabricate_on_stream
+from tesserae.streaming.rate import make_on_stream
 
 
 @pytest.fixture(scope="module")
@@ -22,7 +22,7 @@ def world(spark):
 
 
 def rows(f, n, **kw):
-    return [r.asDict() for r in f.fabricate(n, **kw).collect()]
+    return [r.asDict() for r in f.make(n, **kw).collect()]
 
 
 def test_encoding_and_paths():
@@ -35,23 +35,23 @@ def test_encoding_and_paths():
 
 def test_same_seed_same_rows_whatever_the_partitions(world):
     s = T.object({"n": T.number(), "s": T.string.whereby((0, 9), {"lowercase": 1}), "l": T.array(T.number()).whereby((0, 5))})
-    f = world.Fabricator(s, seed="x")
+    f = world.Maker(s, seed="x")
     one, many = rows(f, 50, partitions=1), rows(f, 50, partitions=7)
     assert sorted(map(str, one)) == sorted(map(str, many))
-    assert rows(world.Fabricator(s, seed="y"), 5) != one[:5]
+    assert rows(world.Maker(s, seed="y"), 5) != one[:5]
 
 
 def test_siblings_do_not_depend_on_each_other(world):
-    a = rows(world.Fabricator(T.object({"name": T.string.whereby(8), "age": T.number()}), seed="x"), 5)
-    b = rows(world.Fabricator(T.object({"age": T.number(), "id": T.bigint.whereby(9), "name": T.string.whereby(8)}), seed="x"), 5)
+    a = rows(world.Maker(T.object({"name": T.string.whereby(8), "age": T.number()}), seed="x"), 5)
+    b = rows(world.Maker(T.object({"age": T.number(), "id": T.bigint.whereby(9), "name": T.string.whereby(8)}), seed="x"), 5)
     assert [(r["name"], r["age"]) for r in a] == [(r["name"], r["age"]) for r in b]
-    c = rows(world.Fabricator(T.object({"name": T.string.whereby(8), "age": T.number()}).override({"name": "k"}), seed="x"), 5)
+    c = rows(world.Maker(T.object({"name": T.string.whereby(8), "age": T.number()}).override({"name": "k"}), seed="x"), 5)
     assert [r["age"] for r in a] == [r["age"] for r in c] and {r["name"] for r in c} == {"k"}
 
 
 def test_proportions(world):
     s = T.object({"i": T.number.integer.whereby(0, 3), "o": T.optional(T.always(1)), "u": T.omittable(T.undefinable(T.always(1))), "k": T.number.integer.whereby(0, 99, Skew(3))})
-    got = [r.asDict() for r in world.Fabricator(s, seed="x").fabricate(20_000).collect()]
+    got = [r.asDict() for r in world.Maker(s, seed="x").make(20_000).collect()]
     for k in range(4):
         assert 0.7 < sum(r["i"] == k for r in got) / 5000 < 1.3
     shares = [sum(r["o__presence"] == p for r in got) / 20_000 for p in ("omitted", "undefined", "value")]
@@ -62,12 +62,12 @@ def test_proportions(world):
 
 def test_distributions_stay_in_bounds(world):
     for d in (None, Skew(2), Triangular(3), Normal(), Normal(5, 0.5), Logarithmic(), Multi(((1, Skew(2)), (2, Normal()))), Custom(lambda u: u * 3 - 1)):
-        got = [r["x"] for r in rows(world.Fabricator(T.object({"x": T.number.whereby(1, 9, d)}), seed="d"), 500)]
+        got = [r["x"] for r in rows(world.Maker(T.object({"x": T.number.whereby(1, 9, d)}), seed="d"), 500)]
         assert all(1 <= x <= 9 for x in got) and len(set(got)) > 1
 
 
 def test_strings_count_utf16_units(world):
-    got = rows(world.Fabricator(T.object({"s": T.string.whereby(3), "e": T.string.whereby((0, 1))}), seed="s"), 300)
+    got = rows(world.Maker(T.object({"s": T.string.whereby(3), "e": T.string.whereby((0, 1))}), seed="s"), 300)
     assert all(len(r["s"].encode("utf-16-le")) == 6 for r in got)
     assert {len(r["e"].encode("utf-16-le")) for r in got} == {0, 2}
 
@@ -75,48 +75,48 @@ def test_strings_count_utf16_units(world):
 def test_records_tuples_and_recursion(world):
     tree = T.recursive(lambda me: T.object({"v": T.number.integer.whereby(0, 9), "kids": T.array(me).whereby((0, 2))})).whereby({"max": 2})
     s = T.object({"m": T.record(T.string.whereby(1, {((97, 98),): 1}), T.number()).whereby({"max": 6, "min_tried": 2}), "t": T.tuple([T.boolean(), T.null]), "tree": tree})
-    got = [r for r in world.Fabricator(s, seed="r").fabricate(200).collect()]
+    got = [r for r in world.Maker(s, seed="r").make(200).collect()]
     assert all(1 <= len(r["m"]) <= 2 for r in got)
     depth = lambda v: 0 if not hasattr(v, "kids") else 1 + max([0, *(depth(k) for k in v.kids)])
     assert max(depth(r["tree"]) for r in got) == 3
     with pytest.raises(errors.UnterminableRecursiveError):
         T.recursive(lambda me: T.choice.uniform([me])).whereby(1)
-    assert rows(world.Fabricator(T.object({"x": T.recursive(lambda me: T.nullable(me)).whereby(0)}), seed="r"), 1)[0]["x"] is None
+    assert rows(world.Maker(T.object({"x": T.recursive(lambda me: T.nullable(me)).whereby(0)}), seed="r"), 1)[0]["x"] is None
 
 
 def test_derivation(world):
     base = T.object({"a": T.always(1), "b": T.object({"c": T.always(2), "d": T.always(3)})})
-    got = rows(world.Fabricator(base.override({"b": {"c": 9}}), seed="x"), 1)[0]
+    got = rows(world.Maker(base.override({"b": {"c": 9}}), seed="x"), 1)[0]
     assert (got["b"]["c"], got["b"]["d"]) == (9, 3)
     more = base.extend(lambda f: {"b": T.always("x")}).refine({"e": T.compute(T.bigint.whereby(9)).as_(lambda f: f["a"] + 1)})
-    got = rows(world.Fabricator(more, seed="x"), 1)[0]
+    got = rows(world.Maker(more, seed="x"), 1)[0]
     assert got["b"] == "x" and got["e"] == 2
-    assert rows(world.Fabricator(base, seed="x"), 1, overrides={"a": 7})[0]["a"] == 7
+    assert rows(world.Maker(base, seed="x"), 1, overrides={"a": 7})[0]["a"] == 7
     made = T.object({"a": T.number()}).as_(lambda c: F.struct(F.lit(1.5).alias("a"), F.lit("z").alias("z")), "struct<a:double,z:string>")
-    assert rows(world.Fabricator(made, seed="x"), 1, overrides={"a": 2.0})[0] == {"a": 2.0, "z": "z"}
+    assert rows(world.Maker(made, seed="x"), 1, overrides={"a": 2.0})[0] == {"a": 2.0, "z": "z"}
 
 
 def test_trace_replays_nested_fields(world):
-    f = world.Fabricator(T.object({"a": T.object({"b": T.number()})}), seed="x")
+    f = world.Maker(T.object({"a": T.object({"b": T.number()})}), seed="x")
     child = f.children["a"].children["b"]
-    assert [r["value"] for r in rows(world.Fabricator(child.schema, trace=child.trace), 5)] == [r["a"]["b"] for r in rows(f, 5)]
+    assert [r["value"] for r in rows(world.Maker(child.schema, trace=child.trace), 5)] == [r["a"]["b"] for r in rows(f, 5)]
     with pytest.raises(errors.TraceKindMismatchError):
-        world.Fabricator(T.boolean(), trace=child.trace)
+        world.Maker(T.boolean(), trace=child.trace)
 
 
 def test_instances_fork_wrap_and_layer(spark, world):
     s = T.object({"n": T.number()})
-    a = rows(world.fork(seed="k").Fabricator(s), 3)
-    assert a == rows(initialize(spark, seed="k", clock=datetime(2024, 1, 1)).Fabricator(s), 3)
+    a = rows(world.fork(seed="k").Maker(s), 3)
+    assert a == rows(initialize(spark, seed="k", clock=datetime(2024, 1, 1)).Maker(s), 3)
     with world.wrap(seed="k"):
         assert world.context.seed == ("k",)
         with world.wrap(seed=layer("deep")):
             assert world.context.seed == ("k", "deep")
-        assert rows(world.Fabricator(s), 3) == a
+        assert rows(world.Maker(s), 3) == a
     assert world.context.seed == ("w",)
     first, second = world.fork(seed="z"), world.fork(seed="z")
-    assert rows(first.Fabricator(s), 2) == rows(second.Fabricator(s), 2) != rows(first.Fabricator(s), 2)
-    here = initialize(spark, seed="k", clock=0, attribution="call site").Fabricator(s)
+    assert rows(first.Maker(s), 2) == rows(second.Maker(s), 2) != rows(first.Maker(s), 2)
+    here = initialize(spark, seed="k", clock=0, attribution="call site").Maker(s)
     assert here.trace.file == "test_engine.py"
 
 
@@ -148,7 +148,7 @@ def test_errors_of_builders(make, error):
 
 
 def test_errors_of_plans(spark, world):
-    build = lambda s: world.Fabricator(s, seed="x").fabricate(1)
+    build = lambda s: world.Maker(s, seed="x").make(1)
     for schema, error in (
         (T.compute(T.number()).as_(lambda f: 1), errors.DetachedComputeError), (T.object({"a": T.number.whereby(0, 1, Logarithmic())}), errors.InvalidDistributionBoundError),
         (T.object({}).refine({"a": T.compute(T.number()).as_(lambda f: "x")}), errors.ComputeResultMismatchError), (T.object({"d": T.date.past(datetime(2030, 1, 1))}), errors.EmptyRangeError),
@@ -167,13 +167,13 @@ def test_adapters(spark, world):
     s = T.object({"n": T.number.whereby(exclusive(0), 5), "e": T.enum.uniform(["a", "b"]), "o": T.omittable(T.boolean()), "s": T.string.whereby((1, 3), {"digit": 1}), "d": T.nullable(T.number.integer.whereby(1, 2))})
     j = to_json_schema(s)
     assert j["properties"]["n"] == {"type": "number", "exclusiveMinimum": 0, "maximum": 5} and j["required"] == ["n", "e", "s", "d"]
-    assert world.Fabricator(s, seed="a").fabricate(200).filter(~conforms(s)).count() == 0
+    assert world.Maker(s, seed="a").make(200).filter(~conforms(s)).count() == 0
     assert spark.createDataFrame([(0.0, "a", None, "x", None)], "n double, e string, o boolean, s string, d long").filter(conforms(s)).count() == 0
     assert len(to_constraints(s)) >= 6
     twice = T.string.whereby(1).adapt(JsonSchema(), lambda s, m, below: {**below(), "x": 1}).adapt(JsonSchema(), lambda s, m, below: {**below(), "y": 2})
     assert drive(JsonSchema(), twice) == {"type": "string", "minLength": 1, "maxLength": 1, "x": 1, "y": 2}
     assert json.dumps(to_json_schema(T.recursive(lambda me: T.nullable(me)).whereby(1)))
-    assert world.Fabricator(s, seed="a").data_type().fieldNames() == ["n", "e", "o", "o__presence", "s", "d", "d__presence"]
+    assert world.Maker(s, seed="a").data_type().fieldNames() == ["n", "e", "o", "o__presence", "s", "d", "d__presence"]
 
 
 def test_dense_rank_without_one_sort(spark):
@@ -189,15 +189,15 @@ def test_dense_rank_without_one_sort(spark):
 def test_vocabulary(world):
     assert len(names()) == 251
     t = T.extend(vocabulary)
-    f = world.Fabricator(T.object({"e": t.vocab.internet.email(), "u": t.vocab.string.uuid(), "g": t.vocab.color.rgb.channels(), "x": t.vocab.use.string(lambda c: F.lit("k")), "y": builder("person.fullName")()}), seed="v")
+    f = world.Maker(T.object({"e": t.vocab.internet.email(), "u": t.vocab.string.uuid(), "g": t.vocab.color.rgb.channels(), "x": t.vocab.use.string(lambda c: F.lit("k")), "y": builder("person.fullName")()}), seed="v")
     for r in rows(f, 20):
         assert "@" in r["e"] and len(r["u"]) == 36 and len(r["g"]) == 3 and " " in r["y"]
 
 
 def test_streams_make_the_same_rows(spark, world, tmp_path):
-    f = world.Fabricator(T.object({"a": T.number.integer.whereby(0, 9), "q": T.number.integer.sequence()}), seed="st")
+    f = world.Maker(T.object({"a": T.number.integer.whereby(0, 9), "q": T.number.integer.sequence()}), seed="st")
     spark.range(20).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema("id long").parquet(str(tmp_path / "in"))
-    query = fabricate_on_stream(f, stream, "id").writeStream.format("memory").queryName("made").trigger(availableNow=True).start()
+    query = make_on_stream(f, stream, "id").writeStream.format("memory").queryName("made").trigger(availableNow=True).start()
     query.awaitTermination()
     assert [r["a"] for r in spark.table("made").orderBy("id").collect()] == [r["a"] for r in rows(f, 20)]
