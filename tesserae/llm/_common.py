@@ -9,6 +9,7 @@ computed for all words of a chunk at once from one running sum.
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import time
 import uuid
@@ -21,6 +22,7 @@ from pyspark.sql import functions as F
 
 U64 = np.uint64
 CHUNK = 1 << 20
+BATCH_BYTES = 32 << 20
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -132,20 +134,22 @@ def crc_mod(column: Column, modulus: int) -> Column:
 
 
 def small_batches(spark: SparkSession, rows: int = 2000) -> None:
-    """Arrow batches of whole texts stay small; a smaller setting of the session is kept."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(key, "10000"))
-    if now <= 0 or now > rows:
-        spark.conf.set(key, str(rows))
+    """Arrow batches of whole texts stay small in rows and bytes, for this and later queries of the session; smaller settings are kept."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = int(re.sub(r"[^0-9-]", "", spark.conf.get(key, str(most + 1))))
+        if now <= 0 or now > most:
+            spark.conf.set(key, str(most))
 
 
 _own_dirs: dict[str, str] = {}  # by application, for tests
 
 
 def work_dir(spark: SparkSession, name: str) -> str:
-    """A new folder below spark.checkpoint.dir, which driver and executors share; where unset (tests), a folder of our own."""
+    """A new folder below spark.checkpoint.dir, which driver and executors share. Only a local session, whose executors are the driver itself, may leave it unset."""
     top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not top:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         top = _own_dirs.setdefault(spark.sparkContext.applicationId, "") or tempfile.mkdtemp(prefix="tesserae-")
         _own_dirs[spark.sparkContext.applicationId] = top
     return f"{top.rstrip('/')}/tesserae/{name}-{uuid.uuid4().hex[:12]}"

@@ -407,6 +407,12 @@ def _without_spans(docs: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, phrase: int = PHRASE, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """The rows of docs, all columns, in which no phrase occurs, byte for byte; a row with any span to remove goes whole."""
+    found = _spans(docs, benchmark, phrase, block_words).filter(F.size("starts") > 0).select("doc_id", "key").distinct()
+    return by_rows(docs, stored(found, work_dir(docs.sparkSession, "leaks")), "left_anti")
+
+
+def cut_contaminated(docs: DataFrame, benchmark: DataFrame, phrase: int = PHRASE, block_words: int = BLOCK_WORDS) -> DataFrame:
     """The rows of docs, all columns, without those that are contaminated; from the others every span is cut, so no phrase is left.
 
     Rows without a hit stay as they are. Where a cut brings words together that make a phrase, it is cut as well.
