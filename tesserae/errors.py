@@ -36,4 +36,8 @@ InvalidDistributionBoundError = _kind("InvalidDistributionBoundError", "A bound
 InvalidWeightError = _kind("InvalidWeightError", "A weight that is negative or not finite.")
 NoDrawableOutcomesError = _kind("NoDrawableOutcomesError", "All weights are zero.")
 TraceKindMismatchError = _kind("TraceKindMismatchError", "A replayed trace belongs to another kind.")
-NoActiveScopeError = _kind("NoActiveScopeError", "A vocabulary builder outside of a generation.")
+NoActiveScopeError = _kind("NoActiveScopeError", "A vocabulary builder called for a value outside of a generation.")
+InvalidClockError = _kind("InvalidClockError", "A clock beyond the range of dates.")
+PlanTooLargeError = _kind("PlanTooLargeError", "A schema that unrolls to more nodes than a plan may have.")
+MissingOrdinalError = _kind("MissingOrdinalError", "A sequence where no dense ordinal is known.")
+ClashingNameError = _kind("ClashingNameError", "Two columns of one name.")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -58,6 +59,9 @@ def check_weights(weights, label: str = "") -> None:
         raise NoDrawableOutcomesError(f"{label}: no weight is above 0", label=label)
 
 
+MANY = 16  # constants beyond which a pick is a look-up instead of a chain of cases
+
+
 def weighted(outcomes: list[tuple[float, Column]], u: Column) -> Column:
     """Drops weights of zero; the first cumulative weight above u * total wins."""
     live = [(w, c) for w, c in outcomes if w > 0]
@@ -71,6 +75,39 @@ def weighted(outcomes: list[tuple[float, Column]], u: Column) -> Column:
     return out.otherwise(live[-1][1])
 
 
+def weighted_index(weights: list[float], u: Column) -> Column:
+    """The number of the outcome that weighted() picks, for weights above 0, by halving an array of cumulative weights."""
+    total = float(sum(weights))
+    if all(w == weights[0] for w in weights):
+        return F.least(F.lit(len(weights) - 1), F.floor(u * F.lit(float(len(weights)))).cast("int"))
+    ends, run = [], 0.0
+    for w in weights[:-1]:
+        run += w
+        ends.append(run)
+    return bounds_below(u * F.lit(total), ends, True)
+
+
+def bounds_below(value: Column, bounds: list, or_equal: bool = False) -> Column:
+    """How many of the sorted bounds are below value (or equal to it; 0 for null), by halving: an expression as short for many bounds as for few."""
+    if not bounds:
+        return F.lit(0)
+    array = constant_array(bounds)
+    steps = F.sequence(F.lit(1), F.lit(len(bounds).bit_length()))
+    middle = lambda s: ((s["low"] + s["high"]) / 2).cast("int")
+    under = (lambda x: x <= value) if or_equal else (lambda x: x < value)
+    below = lambda s: (s["low"] < s["high"]) & F.coalesce(under(F.get(array, middle(s))), F.lit(False))
+    halved = lambda s, _: F.struct(F.when(below(s), middle(s) + 1).otherwise(s["low"]).alias("low"), F.when(below(s), s["high"]).otherwise(middle(s)).alias("high"))
+    return F.aggregate(steps, F.struct(F.lit(0).alias("low"), F.lit(len(bounds)).alias("high")), halved, lambda s: s["low"])
+
+
+def constant_array(values: list) -> Column:
+    """One literal for many plain values: text that constant folding parses once."""
+    kind = {str: "string", int: "bigint", float: "double", bool: "boolean"}.get(type(values[0]))
+    if kind is None or len(values) <= MANY or any(type(v) is not type(values[0]) for v in values):
+        return F.lit(list(values))
+    return F.from_json(F.lit(json.dumps(values, ensure_ascii=False)), f"array<{kind}>")
+
+
 def at(u: Column, low: float, high: float) -> Column:
     """Never forms high - low, which could overflow."""
     return (F.lit(1.0) - u) * F.lit(float(low)) + u * F.lit(float(high))

@@ -8,24 +8,46 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-Algorithm = Callable[[Column], Column]
 SPAN = 4294967296.0
 
 
-def md5_draw(key: Column) -> Column:
-    """The default: also computable, bit by bit, by other SQL engines."""
-    return F.conv(F.substring(F.md5(key.cast("binary")), 1, 8), 16, 10).cast("double") / F.lit(SPAN)
+@dataclass(frozen=True)
+class Algorithm:
+    """digest(key) is one hash, from which lane(hash, i) takes `lanes` independent draws."""
 
+    digest: Callable[[Column], Column]
+    lane: Callable[[Column, int | Column], Column]
+    lanes: int = 1
 
-def xxhash_draw(key: Column) -> Column:
-    """The fast path."""
-    return F.shiftrightunsigned(F.xxhash64(key), 32).cast("double") / F.lit(SPAN)
+    def __call__(self, key: Column) -> Column:
+        return self.lane(self.digest(key), 0)
 
 
+def to_algorithm(given) -> Algorithm:
+    """A name, an Algorithm, or a function from key to a draw in [0, 1)."""
+    if isinstance(given, str):
+        return ALGORITHMS[given]
+    return given if isinstance(given, Algorithm) else Algorithm(given, lambda u, i: u)
+
+
+def _eight_digits(digest: Column, i: int | Column) -> Column:
+    place = F.lit(8 * i + 1) if isinstance(i, int) else (i * 8 + 1).cast("int")
+    return F.conv(F.substring(digest, place, F.lit(8)), 16, 10).cast("double") / F.lit(SPAN)
+
+
+def _half(digest: Column, i: int | Column) -> Column:
+    high = F.shiftrightunsigned(digest, 32)
+    low = digest.bitwiseAND(F.lit(0xFFFFFFFF).cast("long"))
+    return (F.when(i == 0, high).otherwise(low) if isinstance(i, Column) else (low if i else high)).cast("double") / F.lit(SPAN)
+
+
+md5_draw = Algorithm(lambda key: F.md5(key.cast("binary")), _eight_digits, 4)  # the default: also computable, bit by bit, by other SQL engines
+xxhash_draw = Algorithm(lambda key: F.xxhash64(key), _half, 2)  # the fast path
 ALGORITHMS: dict[str, Algorithm] = {"md5": md5_draw, "xxhash64": xxhash_draw}
 
 
@@ -50,6 +72,10 @@ class Stream:
     def u(self, k: str | int | Column = 0) -> Column:
         return self.algorithm(self.key(k))
 
+    def digest(self, k: str | int | Column) -> Column:
+        """For several draws: lanes of algorithm.lane()."""
+        return self.algorithm.digest(self.key(k))
+
     def under(self, sub: str) -> Stream:
         return Stream(self.prefix, self.ordinal, self.algorithm, F.lit(sub) if self.sub is None else F.concat(self.sub, F.lit("." + sub)))
 

@@ -13,22 +13,23 @@ import time
 from contextlib import contextmanager
 from contextvars import ContextVar
 from dataclasses import dataclass, replace
-from pathlib import PurePath
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from ..errors import CombinatorialLimitExceededError, InvalidAttributionRootError, InvalidCombinatorialLimitError, TraceKindMismatchError, UnknownKindError
-from ..functions.draws import ALGORITHMS, Algorithm, DriverStream, driver_draw, md5_draw, shuffled
+from ..errors import ClashingNameError, CombinatorialLimitExceededError, InvalidAttributionRootError, InvalidClockError, InvalidCombinatorialLimitError, TraceKindMismatchError, UnknownKindError
+from ..functions.distributions import bounds_below, constant_array
+from ..functions.draws import Algorithm, DriverStream, driver_draw, md5_draw, shuffled, to_algorithm
 from ..plans.bounds import MAX_TIME, epoch_ms
-from ..plans.compiler import Context, Out, Trace, compile_node
+from ..plans.compiler import Context, Out, Trace, check_types, compile_node, has_computed
 from ..plans.enumeration import plan
-from ..plans.kinds import MAX_SAFE, Schema, check_overrides, registry, to_schema
+from ..plans.kinds import MAX_SAFE, RESERVED, Schema, check_overrides, children, registry, to_schema
 
 LIMIT = 1024
-ORDINAL = "__ordinal"  # a name that no field has: a field's alias of the same name would be read instead of the row's number
+NULL_KEY = "\u2205"  # stands for a null key in a draw's name, so that null keys draw like any other
 SEED_VARIABLES = ("TESSERAE_SEED", "SEED", "RANDOM_SEED")
 
 
@@ -70,12 +71,12 @@ def resolve_clock(clock, seed: tuple[str, ...]) -> int:
         return derive_clock(seed)
     ms = epoch_ms(clock)
     if abs(ms) > MAX_TIME:
-        raise InvalidCombinatorialLimitError("a clock beyond the range of dates")
+        raise InvalidClockError("a clock beyond the range of dates", clock=ms)
     return ms
 
 
 def normalize_location(path: str) -> str:
-    path = re.sub(r"^file://", "", path).replace("\\", "/")
+    path = (unquote(path[7:]) if path.startswith("file://") else path).replace("\\", "/")
     return path[0].upper() + path[1:] if re.match(r"^[a-z]:/", path) else path
 
 
@@ -121,17 +122,17 @@ def overlay(base: Config | None, seed=_UNSET, clock=_UNSET, algorithm=_UNSET, at
     if algorithm is _UNSET:
         draw = base.algorithm if base else md5_draw
     else:
-        draw = ALGORITHMS[algorithm] if isinstance(algorithm, str) else algorithm
-    if attribution is _UNSET:
-        root = base.root if base else None
+        draw = to_algorithm(algorithm)
+    if attribution is _UNSET and base:
+        root = base.root
     elif attribution in (None, "none"):
         root = None
-    elif attribution == "call site":
+    elif attribution in (_UNSET, "call site"):
         root = os.path.dirname(caller_file())
     else:
-        if not PurePath(attribution).is_absolute():
-            raise InvalidAttributionRootError(f"{attribution!r} isn't absolute", root=attribution)
         root = normalize_location(attribution)
+        if not posixpath.isabs(root) and not re.match(r"^[A-Z]:/", root):
+            raise InvalidAttributionRootError(f"{attribution!r} isn't absolute", root=attribution)
     return Config(parts, now, draw, root, base.limit if limits is _UNSET and base else _limit(None if limits is _UNSET else limits))
 
 
@@ -146,28 +147,37 @@ class _Source:
         return n
 
 
-_frames: ContextVar[tuple[tuple[int, _Source], ...]] = ContextVar("tesserae_frames", default=())
+_frames: ContextVar[tuple[tuple[object, _Source], ...]] = ContextVar("tesserae_frames", default=())
 
 
 class Maker:
-    """A built schema: make(n), make_onto(df, key)."""
+    """A built schema: make(n), make_onto(df, key).
+
+    A construction's stream is that of its file and its number among the file's constructions, unless a seed is given.
+    Pins take the place of what would be found: file (which keeps its own count), ordinal, clock, path; with root, file and ordinal are
+    taken as they stand. kind must be the schema's. A trace pins all.
+    """
 
-    def __init__(self, instance: Instance, schema, seed=None, clock=None, trace: Trace | None = None):
+    def __init__(self, instance: Instance, schema, seed=None, clock=None, trace: Trace | None = None, *, root: str | None = None, file: str | None = None, path=(), kind: str | None = None, ordinal: int | None = None):
         self.schema = to_schema(schema)
         self.instance = instance
+        if trace is not None:
+            seed, clock, root, file, path, kind, ordinal = trace.seed, trace.clock, trace.root, trace.file, trace.path, trace.kind, trace.ordinal
+        if kind not in (None, self.schema.kind):
+            raise TraceKindMismatchError(f"the trace is of a {kind}, the schema a {self.schema.kind}", expected=self.schema.kind, received=kind)
         source = instance._active()
         config = source.config
-        if trace is not None:
-            if trace.kind not in (None, self.schema.kind):
-                raise TraceKindMismatchError(f"the trace is of a {trace.kind}, the schema a {self.schema.kind}", expected=self.schema.kind, received=trace.kind)
-            self.trace = replace(trace, kind=self.schema.kind)
-        elif seed:
-            parts = config.seed + seed.parts if isinstance(seed, Layered) else normalize_seed(seed)
-            self.trace = Trace(parts, config.clock if clock is None else resolve_clock(clock, parts), kind=self.schema.kind)
+        if isinstance(seed, Layered):
+            parts = config.seed + seed.parts
         else:
-            file = relativize(config.root, caller_file()) if config.root is not None else None
-            parts = config.seed or (random_seed(),) if not config.seed else config.seed
-            self.trace = Trace(parts, config.clock if clock is None else resolve_clock(clock, parts), "attributed", file, (), self.schema.kind, source.ordinal(file))
+            parts = normalize_seed(seed) if seed or trace is not None else config.seed or (random_seed(),)
+        now = config.clock if clock is None else resolve_clock(clock, parts)
+        place = root or ("unattributed" if seed else "attributed")
+        if root is None and file is None and place == "attributed" and config.root is not None:
+            file = relativize(config.root, caller_file())
+        if root is None and ordinal is None and place == "attributed":
+            ordinal = source.ordinal(file)
+        self.trace = Trace(parts, now, place, file, tuple(path), self.schema.kind, ordinal)
         self.algorithm = config.algorithm
 
     @property
@@ -176,18 +186,40 @@ class Maker:
 
     @property
     def children(self) -> dict[str, Maker]:
-        named = self.schema.meta["fields"].items() if self.schema.kind == "object" else ((str(i), s) for i, s in enumerate(self.schema.meta.get("slots", ())))
+        """Makers of the nodes below, each by its step of the path. What stands in an array or record draws by the row's ordinal, a dot and its index."""
+        m = self.schema.meta
+        steps = {"array": {"element": "inner"}, "record": {"key": "key", "value": "value"}}.get(self.schema.kind, {"definition": "inner"} if "inner" in m else {})
+        named = m["fields"].items() if self.schema.kind == "object" else [(step, m[name]) for step, name in steps.items()]
+        if self.schema.kind in ("choice", "tuple"):
+            named = [(str(i), c) for i, c in enumerate(children(self.schema))]
         return {k: Maker(self.instance, c, trace=replace(self.trace, path=(*self.trace.path, k), kind=c.kind)) for k, c in named}
 
-    def compile(self, ordinal: Column, sequence: Column | None = None, overrides: dict | None = None, pin=None) -> Out:
+    def compile(self, ordinal: Column, sequence: Column | None = None, overrides: dict | None = None, pin=None, validate: bool = True, raw: bool = False) -> Out:
         schema = self.schema
         if overrides:
             if schema.kind != "object":
                 raise UnknownKindError("only objects take overrides", kind=schema.kind)
-            plain = {k: v for k, v in overrides.items() if not isinstance(v, Column)}
-            check_overrides(schema, plain)
-            schema = replace(schema, meta={**schema.meta, "fixed": {**schema.meta.get("fixed", {}), **overrides}}, produce=schema.produce)
-        return compile_node(schema, Context(replace(self.trace, kind=None), ordinal.cast("string"), sequence, self.algorithm), pin)
+            if validate:
+                check_overrides(schema, {k: v for k, v in overrides.items() if not isinstance(v, Column)})
+            known = {k: v for k, v in overrides.items() if k in schema.meta["fields"] and k not in RESERVED}
+            schema = replace(schema, meta={**schema.meta, "fixed": {**schema.meta.get("fixed", {}), **known}}, produce=schema.produce)
+        key = F.coalesce(ordinal.cast("string"), F.lit(NULL_KEY))
+        return compile_node(schema, Context(replace(self.trace, kind=None), key, sequence, self.algorithm, raw=raw), pin)
+
+    def _select(self, df: DataFrame, kept: list[str], compiled) -> DataFrame:
+        """df with its kept columns and those that compiled(raw) makes; the types of computed fields are checked on the analysed plan."""
+        out = compiled(False)
+        columns = self.columns(out)
+        made = df.select(*[F.col(f"`{c}`") for c in kept], *columns)
+        names = made.columns
+        if twice := sorted({c for c in names if names.count(c) > 1}):
+            raise ClashingNameError(f"two columns of the name {', '.join(twice)}; rename the key or leave it out with keep=[]", names=twice)
+        if has_computed(self.schema) and self.schema.produce is None:
+            raw = df.select(*self.columns(compiled(True))).schema
+            wanted = T.StructType(made.schema.fields[len(kept) :])
+            inside = (raw, wanted) if self.schema.kind == "object" else (raw["value"].dataType, wanted["value"].dataType)
+            check_types(self.schema, *inside)
+        return made
 
     def columns(self, out: Out) -> list[Column]:
         if out.fields is None:
@@ -201,73 +233,87 @@ class Maker:
         return columns
 
     def data_type(self) -> T.StructType:
-        out = self.compile(F.lit("0"), F.lit(1))
-        return self.instance.spark.range(0).select(*self.columns(out)).schema
+        return self.make(0).schema
 
-    def make(self, n: int = 1, overrides: dict | None = None, partitions: int | None = None) -> DataFrame:
-        """n rows, without a shuffle: row i is a function of i alone."""
+    def make(self, n: int = 1, overrides: dict | None = None, partitions: int | None = None, validate: bool = True) -> DataFrame:
+        """n rows, without a shuffle: row i is a function of i alone. With validate=False overrides go unchecked, and those of no field are ignored."""
         rows = self.instance.spark.range(0, n, 1, partitions) if partitions else self.instance.spark.range(n)
-        return rows.toDF(ORDINAL).select(*self.columns(self.compile(F.col(ORDINAL), F.col(ORDINAL) + 1, overrides)))
-
-    def make_onto(self, df: DataFrame, key: str, overrides: dict | None = None, keep: list[str] | None = None) -> DataFrame:
-        """A row for each row of df, drawn by its unique key; `keep` names columns to keep, the key if unset."""
+        return self.over(rows, "id", overrides, validate=validate)
+
+    def over(self, rows: DataFrame, ordinal: str, overrides: dict | None = None, pin=None, validate: bool = True) -> DataFrame:
+        """A row for each row of a frame whose only column is a dense ordinal from 0."""
+        name = _fresh(["_row"], [ordinal, *self.names()])  # an alias of the same name would be read instead of the row's number
+        row = F.col(name)
+        return self._select(rows.toDF(name), [], lambda raw: self.compile(row, row + 1, overrides, pin, validate, raw))
+
+    def make_onto(self, df: DataFrame, key: str, overrides: dict | None = None, keep: list[str] | None = None, validate: bool = True) -> DataFrame:
+        """A row for each row of df, drawn by its key, which should be unique: rows of one key are alike, null keys too. `keep` names columns to keep, the key if unset."""
+        taken = [*df.columns, *self.names()]
+        row, rank = _fresh(["_row", "_rank"], taken)
         sequence = None
         if _has_sequence(self.schema):
-            df = with_dense_rank(df, key, "__sequence")
-            sequence = F.col("__sequence")
-        kept = [F.col(c) for c in (keep if keep is not None else [key])]
-        return df.withColumn(ORDINAL, F.col(key)).select(*kept, *self.columns(self.compile(F.col(ORDINAL), sequence, overrides)))
+            df = with_dense_rank(df, key, rank)
+            sequence = F.col(rank)
+        kept = keep if keep is not None else [key]
+        return self._select(df.withColumn(row, F.col(f"`{key}`")), kept, lambda raw: self.compile(F.col(row), sequence, overrides, None, validate, raw))
 
+    def names(self) -> list[str]:
+        return [*self.schema.meta.get("fields", {})] if self.schema.kind == "object" else ["value"]
+
+
+def _fresh(names: list[str], taken: list[str]):
+    """The names, lengthened until none is taken; one alone as itself."""
+    low = {t.lower() for t in taken}
+    out = []
+    for n in names:
+        while n.lower() in low:
+            n += "_"
+        out.append(n)
+    return out[0] if len(out) == 1 else out
 
-def _has_sequence(s: Schema) -> bool:
-    from ..plans.kinds import children
 
+def _has_sequence(s: Schema) -> bool:
     return s.kind == "sequence" or any(_has_sequence(c) for c in children(s))
 
 
-ROWS_PER_BUCKET, MOST_BUCKETS = 1_000_000, 16_384
+ROWS_PER_BUCKET, MOST_BUCKETS, SAMPLED_PER_BUCKET = 1_000_000, 16_384, 16
 
 
 def with_dense_rank(df: DataFrame, key: str, name: str, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
-    """Adds the row's number from 1 in the order of key, without sorting everything in one task.
+    """Adds the row's number from 1 in the order of key (null first), of any type that sorts, without sorting everything in one task.
 
-    Quantiles of the key cut the rows into buckets of similar size, whose number follows the number of rows;
-    counts of buckets (one row each, `MOST_BUCKETS` at most) give their starts.
+    A sample of keys, taken by their hash, cuts the rows into buckets of similar size, whose number follows the number of rows;
+    at most MOST_BUCKETS * SAMPLED_PER_BUCKET keys or so and a count for each bucket come to the driver. Equal keys are numbered in any order.
     """
-    buckets = min(MOST_BUCKETS, max(64, -(-df.select(key).count() // rows_per_bucket)))
-    cuts = df.agg(F.percentile_approx(key, [k / buckets for k in range(1, buckets)], max(10_000, 4 * buckets)).alias("c")).first()["c"] or []
-    bounds = sorted(set(cuts))
-    dealt = df.withColumn("__bucket", _bounds_below(F.col(key), bounds))
-    counts = {r["__bucket"]: r["count"] for r in dealt.groupBy("__bucket").count().collect()}
-    start, run = [], 0
+    value = F.hex(f"`{key}`") if df.schema[key].dataType == T.BinaryType() else F.col(f"`{key}`")
+    rows = df.select(value.alias("k")).count()
+    buckets = min(MOST_BUCKETS, max(8, -(-rows // rows_per_bucket)))
+    share = max(1, rows // (buckets * SAMPLED_PER_BUCKET))
+    picked = df.select(value.alias("k")).filter((F.pmod(F.xxhash64("k"), F.lit(share)) == 0) & F.col("k").isNotNull()).distinct()
+    keys = sorted(r["k"] for r in picked.collect())
+    bounds = sorted({keys[len(keys) * k // buckets] for k in range(1, buckets)}) if keys else []
+    bucket, start = _fresh(["_bucket", "_start"], [*df.columns, name])
+    dealt = df.withColumn(bucket, bounds_below(value, bounds))
+    counts = {r[bucket]: r["count"] for r in dealt.groupBy(bucket).count().collect()}
+    starts, run = [], 0
     for k in range(len(bounds) + 1):
-        start.append(run)
+        starts.append(run)
         run += counts.get(k, 0)
-    offset = F.get(F.lit(start), F.col("__bucket"))
-    return dealt.withColumn(name, F.row_number().over(Window.partitionBy("__bucket").orderBy(key)) + offset.cast("long")).drop("__bucket")
-
-
-def _bounds_below(value: Column, bounds: list) -> Column:
-    """How many of the sorted bounds are below value (0 for null), by halving: an expression as short for many bounds as for few."""
-    if not bounds:
-        return F.lit(0)
-    array = F.lit(bounds)
-    steps = F.sequence(F.lit(1), F.lit(len(bounds).bit_length()))
-    middle = lambda s: ((s["low"] + s["high"]) / 2).cast("int")
-    below = lambda s: (s["low"] < s["high"]) & F.coalesce(F.get(array, middle(s)) < value, F.lit(False))
-    halved = lambda s, _: F.struct(F.when(below(s), middle(s) + 1).otherwise(s["low"]).alias("low"), F.when(below(s), s["high"]).otherwise(middle(s)).alias("high"))
-    return F.aggregate(steps, F.struct(F.lit(0).alias("low"), F.lit(len(bounds)).alias("high")), halved, lambda s: s["low"])
+    offset = F.get(constant_array(starts), F.col(bucket)).cast("long")
+    return dealt.withColumn(name, F.row_number().over(Window.partitionBy(bucket).orderBy(value)) + offset).drop(bucket)
 
 
 class Instance:
-    """An isolated world of builders and makers."""
+    """An isolated world of builders and makers. Instances forked from one another share a stack of frames."""
 
-    def __init__(self, spark: SparkSession, config: Config, types=None):
-        self.spark, self._source = spark, _Source(config)
+    def __init__(self, spark: SparkSession, config: Config, types=None, lineage: object | None = None, source: _Source | None = None):
+        self.spark, self._source = spark, source if source is not None else _Source(config)
         self.T = types if types is not None else registry
+        self._lineage = lineage if lineage is not None else object()
 
     def _active(self) -> _Source:
-        return next((s for who, s in reversed(_frames.get()) if who == id(self)), self._source)
+        """The innermost frame of the lineage, or the instance's own."""
+        return next((s for of, s in reversed(_frames.get()) if of is self._lineage), self._source)
 
     @property
     def seed(self) -> tuple[str, ...]:
@@ -277,15 +323,17 @@ class Instance:
     def context(self) -> Config:
         return self._active().config
 
-    def fork(self, **over) -> Instance:
-        return Instance(self.spark, overlay(self._active().config, **over), self.T)
+    def fork(self, types=None, **over) -> Instance:
+        """An instance of its own, laid over this one's configuration, whatever frame is active."""
+        return Instance(self.spark, overlay(self._source.config, **over), types if types is not None else self.T, self._lineage)
 
     @contextmanager
-    def wrap(self, **over):
-        """Within the block, this instance builds by the overlay; blocks nest."""
-        token = _frames.set((*_frames.get(), (id(self), _Source(overlay(self._active().config, **over)))))
+    def wrap(self, types=None, **over):
+        """Within the block, all instances of the lineage build by the overlay, which lies over the innermost frame; yields an instance of the frame."""
+        source = _Source(overlay(self._active().config, **over))
+        token = _frames.set((*_frames.get(), (self._lineage, source)))
         try:
-            yield self
+            yield Instance(self.spark, source.config, types if types is not None else self.T, self._lineage, source)
         finally:
             _frames.reset(token)
 
@@ -309,9 +357,9 @@ class Instance:
     def _rows(self, schema: Schema, axis, name: str) -> DataFrame:
         config = self._active().config
         made = Maker(self, schema, trace=Trace((*config.seed, name), config.clock, kind=schema.kind))
-        out = made.compile(F.col(ORDINAL), F.col(ORDINAL) + 1, pin=axis.decode(F.col(ORDINAL)))
-        return self.spark.range(axis.width).toDF(ORDINAL).select(*made.columns(out))
+        row = _fresh(["_row"], made.names())
+        return made._select(self.spark.range(axis.width).toDF(row), [], lambda raw: made.compile(F.col(row), F.col(row) + 1, pin=axis.decode(F.col(row)), raw=raw))
 
 
-def initialize(spark: SparkSession, seed=None, clock=None, algorithm="md5", attribution=None, limits=None, types=None) -> Instance:
+def initialize(spark: SparkSession, seed=None, clock=None, algorithm="md5", attribution="call site", limits=None, types=None) -> Instance:
     return Instance(spark, overlay(None, seed=seed, clock=clock, algorithm=algorithm, attribution=attribution, limits=limits), types)

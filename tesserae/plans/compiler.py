@@ -16,11 +16,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..errors import ComputeResultMismatchError, DetachedComputeError, DetachedSelfError, EmptyRangeError, UnknownKindError
-from ..functions.distributions import sampler, weighted
+from ..errors import ComputeResultMismatchError, DetachedComputeError, DetachedSelfError, EmptyRangeError, MissingOrdinalError, PlanTooLargeError, UnknownKindError
+from ..functions.distributions import MANY, constant_array, sampler, weighted, weighted_index
 from ..functions.draws import Algorithm, Stream, md5_draw
 from .bounds import MAX_TIME, constrain_continuous, epoch_ms
-from .kinds import OMITTED, OUTCOMES, Schema, contains_self
+from .kinds import OMITTED, OUTCOMES, Schema, children, contains_self
 
 MAX_NODES = 20_000
 YEAR_1, YEAR_9999 = -62_135_596_800_000, 253_402_300_799_999
@@ -48,6 +48,7 @@ class Out:
     dtype: T.DataType
     presence: Column | None = None
     fields: list[tuple[str, Out]] | None = None  # of objects
+    undefined: bool = False  # whether it may be undefined or omitted, which a null alone can't tell
 
 
 @dataclass
@@ -64,6 +65,7 @@ class Context:
     algorithm: Algorithm = md5_draw
     expansions: dict = field(default_factory=dict)
     budget: list = field(default_factory=lambda: [MAX_NODES])
+    raw: bool = False  # computed fields keep the type that their resolver gives
 
     def at(self, *path: str) -> Context:
         return replace(self, trace=replace(self.trace, path=(*self.trace.path, *path)))
@@ -134,14 +136,11 @@ def unify(outs: list[Out]) -> tuple[list[Column], T.DataType]:
     return [o.value.cast(dtype) if o.dtype != dtype else o.value for o in outs], dtype
 
 
-Pin = Callable[[list[str]], Column] | None
-
-
 def compile_node(s: Schema, ctx: Context, pin=None) -> Out:
     """pin: an axis decoder (see enumeration) or None where the node is drawn."""
     ctx.budget[0] -= 1
     if ctx.budget[0] < 0:
-        raise EmptyRangeError(f"the schema unrolls to more than {MAX_NODES} nodes; lower its depth")
+        raise PlanTooLargeError(f"the schema unrolls to more than {MAX_NODES} nodes; lower its depth")
     if s.produce is not None and s.kind != "object":
         return _produced(s, ctx)
     try:
@@ -183,28 +182,49 @@ def _integer(s, ctx, pin):
 
 def _sequence(s, ctx, pin):
     if ctx.sequence is None:
-        raise EmptyRangeError("a sequence needs a dense ordinal: make(n), or make_onto a key")
+        raise MissingOrdinalError("a sequence needs a dense ordinal: make(n), make_onto() a key, or a stream whose key is dense")
     return Out(ctx.sequence.cast("long"), T.LongType())
 
 
+BIG = T.DecimalType(38, 0)
+WIDE_TRIES = 16
+
+
 def _bigint(s, ctx, pin):
+    """Whole numbers of as many random bits as the span needs, drawn again while they are too great; those beyond a decimal are text."""
     low, high = s.meta["low"], s.meta["high"]
     span, stream = high - low + 1, ctx.stream("bigint")
-    bits = max(1, (span - 1).bit_length())
-    big = T.DecimalType(38, 0)
-
-    def part(attempt: Column, which: str, n: int) -> Column:
-        digest = F.md5(stream.key(F.concat(F.lit("a"), attempt.cast("string"), F.lit("." + which))).cast("binary"))
-        return F.conv(F.substring(digest, 1, 15), 16, 10).cast("long").bitwiseAND(F.lit((1 << n) - 1).cast("long"))
-
-    def attempt(a: Column) -> Column:
-        if bits <= 60:
-            return part(a, "b0", bits).cast(big)
-        return part(a, "b1", bits - 60).cast(big) * F.lit(1 << 60).cast(T.DecimalType(19, 0)) + part(a, "b0", 60).cast(big)
-
-    tries = F.transform(F.sequence(F.lit(0), F.lit(63)), attempt)
-    found = F.element_at(F.filter(tries, lambda x: x < F.lit(str(span)).cast(big)), 1)
-    return Out((found + F.lit(str(low)).cast(big)).cast(big), big)
+    bits = (span - 1).bit_length()
+    wide = bits > 120 or max(abs(low), abs(high)) >= 10**37
+    sizes = [32] * (bits // 32) + ([bits % 32] if bits % 32 else [])  # of the chunks, the lowest first
+    lanes = ctx.algorithm.lanes
+
+    def chunks(attempt: Column) -> list[Column]:
+        key = F.concat(F.lit("a"), attempt.cast("string"), F.lit("."))
+        return [F.floor(ctx.algorithm.lane(stream.digest(F.concat(key, F.lit(str(i // lanes)))), i % lanes) * F.lit(float(1 << n))).cast("long") for i, n in enumerate(sizes)]
+
+    if wide:
+        @F.udf("string", useArrow=True)
+        def add_up(tries):
+            found = [sum(c << (32 * i) for i, c in enumerate(t)) for t in tries]
+            return str(low + next((v for v in found if v < span), found[-1] % span))
+
+        return Out(add_up(F.array(*[F.array(*chunks(F.lit(k))) for k in range(WIDE_TRIES)])), T.StringType())
+    if not bits:
+        return Out(F.lit(str(low)).cast(BIG), BIG)
+    if bits <= 62:
+        value = lambda a: sum((c * F.lit(1 << (32 * i)).cast("long") for i, c in enumerate(chunks(a))), F.lit(0).cast("long"))
+        limit, none = F.lit(span).cast("long"), F.lit(None).cast("long")
+    else:
+        value = lambda a: sum((c.cast(T.DecimalType(10, 0)) * F.lit(str(1 << (32 * i))).cast(T.DecimalType(len(str(1 << (32 * i))), 0)) for i, c in enumerate(chunks(a))), F.lit(0).cast(BIG)).cast(BIG)
+        limit, none = F.lit(str(span)).cast(BIG), F.lit(None).cast(BIG)
+    if span == 1 << bits:
+        found = value(F.lit(0))
+    else:  # coalesce() stops at the first attempt that is small enough
+        below = lambda x: F.get(F.transform(F.array(x), lambda v: F.when(v < limit, v)), F.lit(0))
+        found = F.aggregate(F.sequence(F.lit(0), F.lit(63)), none, lambda acc, a: F.coalesce(acc, below(value(a))))
+        found = F.coalesce(found, limit - limit)
+    return Out((found.cast(BIG) + F.lit(str(low)).cast(BIG)).cast(BIG), BIG)
 
 
 def _boolean(s, ctx, pin):
@@ -267,12 +287,31 @@ def _string(s, ctx, pin):
     top = max((b for _, r in parts for _, b in r), default=0)
     indices = F.when(length > 0, F.sequence(F.lit(0).cast("long"), length - 1)).otherwise(F.array().cast("array<bigint>"))
 
+    lane, lanes, need = ctx.algorithm.lane, ctx.algorithm.lanes, 1 if len(parts) == 1 else 2  # draws a character
+
+    def character(which: Column | None, place: Column) -> Column:
+        if which is None:
+            return _from_ranges(parts[0][1], place)
+        return weighted([(w, _from_ranges(r, place)) for w, r in parts], which)
+
+    if top <= 0xFFFF:
+        # a digest serves as many characters as it has draws for
+        each = max(1, lanes // need)
+        indices = F.when(length > 0, F.sequence(F.lit(0).cast("long"), F.floor((length - 1) / each).cast("long"))).otherwise(F.array().cast("array<bigint>"))
+
+        def block(b: Column) -> Column:
+            k = F.concat(F.lit("c"), b.cast("string"))
+            if lanes < need:
+                return code_point(character(stream.u(F.concat(k, F.lit(".s"))), stream.u(F.concat(k, F.lit(".r")))), top < 128)
+            chars = lambda d: F.concat(*[code_point(character(None if need == 1 else lane(d, j * need), lane(d, j * need + need - 1)), top < 128) for j in range(each)])
+            return F.get(F.transform(F.array(stream.digest(k)), chars), F.lit(0))
+
+        return Out(F.substring(F.array_join(F.transform(indices, block), ""), F.lit(1), length.cast("int")), T.StringType())
+
     def point(i: Column) -> Column:
         k = F.concat(F.lit("c"), i.cast("string"))
-        return weighted([(w, _from_ranges(r, stream.u(F.concat(k, F.lit(".r"))))) for w, r in parts], stream.u(F.concat(k, F.lit(".s"))))
+        return character(None if need == 1 else stream.u(F.concat(k, F.lit(".s"))), stream.u(F.concat(k, F.lit(".r"))))
 
-    if top <= 0xFFFF:
-        return Out(F.array_join(F.transform(indices, lambda i: code_point(point(i), top < 128)), ""), T.StringType())
     # the length counts UTF-16 units: a character of two that doesn't fit the last one gives way to one of the BMP at a random place
     empty = F.struct(F.array().cast("array<string>").alias("t"), F.lit(0).cast("long").alias("n"))
 
@@ -302,7 +341,7 @@ def _null(s, ctx, pin):
 
 
 def _undefined(s, ctx, pin):
-    return Out(F.lit(None), T.NullType(), F.lit("undefined"))
+    return Out(F.lit(None), T.NullType(), F.lit("undefined"), undefined=True)
 
 
 def _always(s, ctx, pin):
@@ -310,11 +349,15 @@ def _always(s, ctx, pin):
 
 
 def _enum(s, ctx, pin):
-    items = s.meta["items"]
-    values, dtype = unify([Out(literal(v), type_of(v)) for _, v in items])
+    live = [(w, v) for w, v in s.meta["items"] if w > 0]
+    plain = {type(v) for _, v in live}
+    if len(live) > MANY and len(plain) == 1 and plain < {str, int, float, bool}:
+        index = pin.index.cast("int") if pin is not None else weighted_index([w for w, _ in live], ctx.stream("enum").u())
+        return Out(F.get(constant_array([v for _, v in live]), index), type_of(live[0][1]))
+    values, dtype = unify([Out(literal(v), type_of(v)) for _, v in s.meta["items"]])
     if pin is not None:
-        return Out(pin.pick([v for (w, _), v in zip(items, values, strict=True) if w > 0]), dtype)
-    return Out(weighted([(w, v) for (w, _), v in zip(items, values, strict=True)], ctx.stream("enum").u()), dtype)
+        return Out(pin.pick([v for (w, _), v in zip(s.meta["items"], values, strict=True) if w > 0]), dtype)
+    return Out(weighted([(w, v) for (w, _), v in zip(s.meta["items"], values, strict=True)], ctx.stream("enum").u()), dtype)
 
 
 def _choice(s, ctx, pin):
@@ -323,7 +366,7 @@ def _choice(s, ctx, pin):
     values, dtype = unify(outs)
     pick = (lambda cs: pin.pick([c for c, (w, _) in zip(cs, items, strict=True) if w > 0])) if pin is not None else (lambda cs: weighted([(w, c) for (w, _), c in zip(items, cs, strict=True)], ctx.stream("choice").u()))
     presence = pick([o.presence if o.presence is not None else F.lit("value") for o in outs]) if any(o.presence is not None for o in outs) else None
-    return Out(pick(values), dtype, presence)
+    return Out(pick(values), dtype, presence, undefined=any(o.undefined for o in outs))
 
 
 def _absent(s, ctx, pin):
@@ -337,13 +380,21 @@ def _absent(s, ctx, pin):
         pick = lambda of: weighted([(w[n], of(n)) for n in names], u)
     value = pick(lambda n: inner.value if n == "value" else none)
     own = inner.presence if inner.presence is not None else F.lit("value")
-    return Out(value, inner.dtype, pick(lambda n: own if n == "value" else F.lit(n)), inner.fields)
+    return Out(value, inner.dtype, pick(lambda n: own if n == "value" else F.lit(n)), undefined=s.kind != "nullable" or inner.undefined)
 
 
 def _deeper(ctx: Context, suffix: Column) -> Context:
     return replace(ctx, ordinal=F.concat(ctx.ordinal, F.lit("."), suffix.cast("string")), sequence=None)
 
 
+def _element(out: Out) -> tuple[Column, T.DataType]:
+    """What stands in an array or map: where it may be undefined, a struct of the value and its presence."""
+    value, dtype = (out.value.cast("string"), T.StringType()) if isinstance(out.dtype, T.NullType) else (out.value, out.dtype)
+    if not out.undefined:
+        return value, dtype
+    return F.struct(value.alias("value"), out.presence.alias("presence")), T.StructType([T.StructField("value", dtype), T.StructField("presence", T.StringType())])
+
+
 def _array(s, ctx, pin):
     low, high = s.meta["low"], s.meta["high"]
     if high == 0 and contains_self(s.meta["inner"]):
@@ -352,9 +403,9 @@ def _array(s, ctx, pin):
     types: list[T.DataType] = []
 
     def element(i: Column) -> Column:
-        out = compile_node(s.meta["inner"], _deeper(ctx.at("element"), i))
-        types.append(out.dtype)
-        return out.value
+        value, dtype = _element(compile_node(s.meta["inner"], _deeper(ctx.at("element"), i)))
+        types.append(dtype)
+        return value
 
     indices = F.when(length > 0, F.sequence(F.lit(0).cast("long"), length - 1)).otherwise(F.array().cast("array<bigint>"))
     return Out(F.transform(indices, element), T.ArrayType(types[0]) if types else T.ArrayType(T.NullType()))
@@ -387,15 +438,15 @@ def _record(s, ctx, pin):
 
     def pair(i: Column) -> Column:
         key = compile_node(s.meta["key"], _deeper(ctx.at("key"), i))
-        value = compile_node(s.meta["value"], _deeper(ctx.at("value"), i))
-        types.append(value.dtype)
-        return F.struct(key.value.cast("string").alias("k"), i.alias("i"), value.value.alias("v"))
+        value, dtype = _element(compile_node(s.meta["value"], _deeper(ctx.at("value"), i)))
+        types.append(dtype)
+        return F.struct(key.value.cast("string").alias("k"), i.alias("i"), value.alias("v"))
 
     indices = F.when(size > 0, F.sequence(F.lit(0).cast("long"), size - 1)).otherwise(F.array().cast("array<bigint>"))
     tries = F.transform(indices, pair)
-    # of equal keys the last try stays
-    last = F.filter(tries, lambda x: ~F.exists(tries, lambda y: (y["k"] == x["k"]) & (y["i"] > x["i"])))
-    entries = F.transform(last, lambda x: F.struct(x["k"], x["v"]))
+    # of equal keys the last try stays; the tries are bound to a name, so that they are drawn once
+    last = lambda t: F.filter(t, lambda x: ~F.exists(t, lambda y: (y["k"] == x["k"]) & (y["i"] > x["i"])))
+    entries = F.get(F.transform(F.array(tries), lambda t: F.transform(last(t), lambda x: F.struct(x["k"], x["v"]))), F.lit(0))
     return Out(F.map_from_entries(entries), T.MapType(T.StringType(), types[0]))
 
 
@@ -443,13 +494,50 @@ def _object(s, ctx, pin, overrides: dict | None = None) -> Out:
         value = c.meta["resolve"]({k: o.value for k, o in made.items() if o is not None})
         source = compile_node(c.meta["source"], ctx.at(name))
         if not isinstance(value, Column):
-            if type_of(value) != source.dtype:
-                raise ComputeResultMismatchError(f"{name} isn't a {c.meta['source'].kind}", field=name, kind=c.meta["source"].kind)
+            check_computed(name, c, type_of(value), source.dtype)
             value = literal(value)
-        made[name] = Out(value, source.dtype)
+        made[name] = Out(value if ctx.raw else value.cast("string" if isinstance(source.dtype, T.NullType) else source.dtype), source.dtype)
     return _struct(list(made.items()))
 
 
+def _shape(dtype: T.DataType) -> str:
+    if isinstance(dtype, T.NumericType):
+        return "number"
+    return "time" if isinstance(dtype, (T.TimestampType, T.TimestampNTZType, T.DateType)) else dtype.typeName().partition("(")[0]
+
+
+def check_computed(name: str, c: Schema, got: T.DataType, wanted: T.DataType) -> None:
+    """A resolver's result has the shape of its source's kind; null fits any."""
+    if not isinstance(got, T.NullType) and not isinstance(wanted, T.NullType) and _shape(got) != _shape(wanted):
+        raise ComputeResultMismatchError(f"{name} is a {got.simpleString()}, not a {c.meta['source'].kind}", field=name, kind=c.meta["source"].kind)
+
+
+def has_computed(s: Schema) -> bool:
+    return s.kind == "compute" or any(has_computed(c) for c in children(s))
+
+
+def check_types(s: Schema, got: T.DataType, wanted: T.DataType) -> None:
+    """Compares what the computed fields of an analysed plan are with what they have to be; both types are of the schema's own tree."""
+    if s.produce is not None:
+        return
+    if s.kind == "object" and isinstance(got, T.StructType):
+        for name, c in s.meta["fields"].items():
+            if name in got.names and name in wanted.names:
+                if c.kind == "compute" and name not in s.meta.get("fixed", {}):
+                    check_computed(name, c, got[name].dataType, wanted[name].dataType)
+                elif c.kind != "compute":
+                    check_types(c, got[name].dataType, wanted[name].dataType)
+    elif s.kind == "tuple" and isinstance(got, T.StructType):
+        for i, c in enumerate(s.meta["slots"]):
+            check_types(c, got[f"_{i}"].dataType, wanted[f"_{i}"].dataType)
+    elif s.kind == "array" and isinstance(got, T.ArrayType):
+        check_types(s.meta["inner"], got.elementType, wanted.elementType)
+    elif s.kind == "record" and isinstance(got, T.MapType):
+        check_types(s.meta["value"], got.valueType, wanted.valueType)
+    elif s.kind in OUTCOMES and "inner" in s.meta:
+        check_types(s.meta["inner"], got, wanted)
+
+
 def _override(c: Schema, ctx: Context, value) -> Out:
     if c.kind == "object" and isinstance(value, dict):
         return _object(c, ctx, None, value)
@@ -464,7 +552,9 @@ def _fixed(c: Schema | None, drawn: Out, value, ctx: Context) -> Out:
     if value is OMITTED or value is None:
         return Out(F.lit(None) if isinstance(drawn.dtype, T.NullType) else F.lit(None).cast(drawn.dtype), drawn.dtype, shown)
     if isinstance(value, Column):
-        return Out(F.coalesce(value.cast(drawn.dtype), drawn.value), drawn.dtype, shown)
+        given = value.cast(drawn.dtype)
+        shown = None if shown is None else F.when(given.isNotNull(), F.lit("value")).otherwise(drawn.presence)
+        return Out(F.coalesce(given, drawn.value), drawn.dtype, shown, undefined=drawn.undefined)
     if isinstance(drawn.dtype, T.TimestampType) and isinstance(value, int):
         return Out(F.timestamp_millis(F.lit(epoch_ms(value))), drawn.dtype, shown)
     if isinstance(drawn.dtype, T.MapType):

@@ -12,7 +12,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..errors import UnpinnableKindError
+from ..errors import EnumerationIndexError, UnpinnableKindError
+from ..functions.distributions import constant_array
 from .kinds import OUTCOMES, Schema
 
 
@@ -27,6 +28,12 @@ class Axis:
     mode: str = "leaf"
     order: list[int] | None = None  # a permutation of range(width), in cycles
 
+    def at(self, i: int) -> int:
+        """The place that row i takes on this axis."""
+        if not 0 <= i < self.width:
+            raise EnumerationIndexError(f"{i} isn't below {self.width}", index=i, width=self.width)
+        return self.order[i] if self.order is not None else i
+
     def decode(self, index: Column) -> Decoder | None:
         return Decoder(self, index) if self.mode != "drawn" else None
 
@@ -37,7 +44,7 @@ class Decoder:
     def __init__(self, axis: Axis, index: Column):
         self.axis = axis
         if axis.order is not None:
-            index = F.get(F.array(*[F.lit(k).cast("long") for k in axis.order]), (index % F.lit(axis.width)).cast("int"))
+            index = F.get(constant_array(axis.order), (index % F.lit(axis.width)).cast("int"))
         self.index, self.names = index, axis.names
 
     def pick(self, values: list[Column]) -> Column:

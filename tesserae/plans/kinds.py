@@ -186,8 +186,6 @@ class _BigInt:
     def whereby(self, max, min=None) -> Schema:
         high = to_bound(max)
         low, high = assert_discrete(to_bound(-high.value if min is None else min), high)
-        if (high - low).bit_length() > 120:
-            raise EmptyRangeError("spans beyond 120 bits don't fit a decimal", minimum=low, maximum=high)
         return Schema("bigint", {"low": low, "high": high})
 
     def as_(self, produce, returns=None) -> Schema:

@@ -6,6 +6,7 @@ The SQL side repeats no compiled expression: it states each draw by its key,
 
 from __future__ import annotations
 
+import hashlib
 import json
 from collections.abc import Callable
 from datetime import datetime
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 
 from .functions.distributions import Custom, Logarithmic, Multi, Normal, Skew, Triangular
 from .functions.draws import Stream, shuffle_column
-from .functions.vocabulary import names, rule_of, vocabulary
+from .functions.vocabulary import builder, head_of, names, vocabulary, words_of
 from .operators.adapters import conforms
 from .operators.instance import Instance, initialize
 from .plans.bounds import exclusive
@@ -73,8 +74,16 @@ def pick(x: str, *cases: tuple[float, str]) -> str:
 
 
 def words(name: str, x: str) -> str:
-    w = rule_of(name).split(" -> ")[0].split("|")
-    return f"([{', '.join(repr(v) for v in w)}])[floor({x} * {len(w)}::DOUBLE)::INT + 1]"
+    return among(words_of(name), x)
+
+
+def among(values: list, x: str) -> str:
+    return f"([{', '.join(repr(v) for v in values)}])[floor({x} * {len(values)}::DOUBLE)::INT + 1]"
+
+
+def lane(kind: str, *path: str, key: str, k: str, i: str, seed=("q",)) -> str:
+    """Draw number i of the digest that k names."""
+    return f"(('0x' || substr(md5('{prefix(kind, *path, seed=seed)}#' || {key} || '#' || {k}), 1 + 8 * ({i}), 8))::BIGINT / 4294967296.0::DOUBLE)"
 
 
 SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
@@ -113,8 +122,7 @@ def _combinatorial(spark, sf_dir):
 
 def _coverage(spark, sf_dir):
     schema = T.object({"segment": T.enum.uniform(SEGMENTS), "type": T.enum.uniform(TYPES[:3]), "flag": T.boolean()})
-    rows = world(spark).coverage(schema)
-    return rows.agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("segment").alias("segments"), F.countDistinct("type").alias("types"), F.countDistinct("flag").alias("flags"))
+    return world(spark).coverage(schema)
 
 
 def _sum_axis(spark, sf_dir):
@@ -145,20 +153,13 @@ def _replay(spark, sf_dir):
 
 
 def _vocabulary_counts(spark, sf_dir):
-    every = [n for n in names() if rule_of(n).split(" ")[0] not in ("=", "object", "int", "float", "flag", "date", "dates", "list", "pair", "bin", "oct", "pick")]
-    at_name = lambda n: _entry(n)
-    schema = T.object({n.replace(".", "_"): at_name(n) for n in every})
+    every = [n for n in names() if head_of(n) in ("word", "enum")]
+    schema = T.object({n.replace(".", "_"): builder(n)() for n in every})
     wide = world(spark).Maker(schema, seed="q").make_onto(read_table(spark, sf_dir, "part"), P)
     pairs = F.array(*[F.struct(F.lit(n).alias("entry"), F.col(n.replace(".", "_")).alias("value")) for n in every])
     return wide.select(F.explode(pairs).alias("x")).groupBy("x.entry", "x.value").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _entry(name: str):
-    from .functions.vocabulary import builder
-
-    return builder(name)()
-
-
 def _tree():
     return T.object({"t": T.recursive(lambda me: T.object({"v": T.number.integer.whereby(0, 9), "kids": T.array(me).whereby((0, 2))})).whereby(1)})
 
@@ -223,8 +224,12 @@ def _chars(kind_path: tuple, key: str, length: str, choose: Callable[[str], str]
 
 
 def _class_char(path: tuple, key: str, i: str, classes: list[tuple[float, int, int]]) -> str:
-    cases = [(w, f"({a} + floor({u('string', *path, key=key, k=f"'c' || {i} || '.r'")} * {float(n)}::DOUBLE)::INT)") for w, a, n in classes]
-    return pick(u("string", *path, key=key, k=f"'c' || {i} || '.s'"), *cases)
+    """A character by its place: with one class a digest makes four, with several two."""
+    each = 4 if len(classes) == 1 else 2
+    k = f"'c' || ({i} // {each})"
+    draw = lambda j: lane("string", *path, key=key, k=k, i=f"({i} % {each}) * {4 // each} + {j}")
+    cases = [(w, f"({a} + floor({draw(4 // each - 1)} * {float(n)}::DOUBLE)::INT)") for w, a, n in classes]
+    return pick(draw(0), *cases)
 
 
 def oracle_sql() -> dict[str, str]:
@@ -232,13 +237,15 @@ def oracle_sql() -> dict[str, str]:
     x = u("number", "x", key=o)
     quantile = _quantile_sql
     big_span, max_time = 1008, 8.64e15
-    attempts = f"list_transform(range(64), lambda a: (('0x' || substr(md5('{prefix('bigint', 'b')}#' || {c} || '#a' || a || '.b0'), 1, 15))::BIGINT & 1023))"
-    email_user = f"{words('person.firstName', u('opaque', 'email', key=c, k="'0.0.0'"))} || '_' || {words('person.lastName', u('opaque', 'email', key=c, k="'0.2.0'"))} || " + " || ".join(f"substr('0123456789', floor({u('opaque', 'email', key=c, k=f"'0.3.{i}'")} * 10.0::DOUBLE)::INT + 1, 1)" for i in range(2))
-    domain = f"{words('word.adjective', u('opaque', 'email', key=c, k="'2.0.0.0'"))} || '-' || {words('word.noun', u('opaque', 'email', key=c, k="'2.0.2.0'"))} || '.' || {words('internet.domainSuffix', u('opaque', 'email', key=c, k="'2.2.0'"))}"
-    every = [n for n in names() if rule_of(n).split(" ")[0] not in ("=", "object", "int", "float", "flag", "date", "dates", "list", "pair", "bin", "oct", "pick")]
+    attempts = f"list_transform(range(64), lambda a: floor({lane('bigint', 'b', key=c, k="'a' || a || '.0'", i='0')} * 1024.0::DOUBLE)::BIGINT)"
+    first_names, last_names = ["Ada", "Bruno", "Chidi", "Dalia", "Emre", "Freya", "Goran", "Hana"], ["Abara", "Bianchi", "Castro", "Dimitrov", "Eriksen", "Fofana"]
+    adjectives, nouns = ["amber", "brisk", "calm", "dusty", "eager", "faint"], ["anchor", "bridge", "candle", "delta", "ember", "forest"]
+    email_user = f"{among(first_names, u('string', 'email', key=c, k="'0.0.0'"))} || '_' || {among(last_names, u('string', 'email', key=c, k="'0.2.0'"))} || " + " || ".join(f"substr('0123456789', floor({u('string', 'email', key=c, k=f"'0.3.{i}'")} * 10.0::DOUBLE)::INT + 1, 1)" for i in range(2))
+    domain = f"{among(adjectives, u('string', 'email', key=c, k="'2.0.0.0'"))} || '-' || {among(nouns, u('string', 'email', key=c, k="'2.0.2.0'"))} || '.' || {among(['com', 'org', 'net', 'io'], u('string', 'email', key=c, k="'2.2.0'"))}"
+    every = [n for n in names() if head_of(n) in ("word", "enum")]
     elem = lambda i, path=("a", "element"): whole(u("number.integer", *path, key=f"{c} || '.' || {i}"), 0, 9)
     slug_name = _chars((), p, "5", lambda i: _class_char(("name",), p, i, [(1, 97, 26)]))
-    tag = lambda j: "array_to_string(list_transform(range(" + whole(u("string", "tags", "element", key=f"{p} || '.' || {j}"), 0, 15) + "), lambda i: chr(" + f"97 + floor({u('string', 'tags', 'element', key=f'{p} || {chr(39)}.{chr(39)} || {j}', k=f'{chr(39)}c{chr(39)} || i || {chr(39)}.r{chr(39)}')} * 26.0::DOUBLE)::INT)), '')"
+    tag = lambda j: _chars((), p, whole(u("string", "tags", "element", key=f"{p} || '.' || {j}"), 0, 15), lambda i: _class_char(("tags", "element"), f"{p} || '.' || {j}", i, [(1, 97, 26)]))
     n_tags = whole(u("array", "tags", key=p), 0, 5)
     return {
         "q_object_basic": f"SELECT {o}, {whole(u('number.integer', 'qty', key=o), 1, 6)} AS qty, {pick(u('enum', 'tier', key=o), (3, "'gold'"), (2, "'silver'"), (1, "'none'"))} AS tier FROM orders",
@@ -253,7 +260,7 @@ def oracle_sql() -> dict[str, str]:
         "q_date_past_future": f"SELECT {o}, trunc({CLOCK}.0::DOUBLE - {u('date', 'p', key=o)} * {float(CLOCK + max_time)!r}::DOUBLE)::BIGINT AS p, trunc({CLOCK}.0::DOUBLE + {u('date', 'f', key=o)} * {float(max_time - CLOCK)!r}::DOUBLE)::BIGINT AS f, trunc((2.0::DOUBLE * {u('date', 'a', key=o)} - 1.0::DOUBLE) * 8.64e15::DOUBLE)::BIGINT AS a FROM orders",
         "q_date_past_from": f"SELECT {o}, {whole(u('date', 'p', key=o), DAY_A, CLOCK)} AS p FROM orders",
         "q_string_class": f"SELECT {p}, {_chars((), p, whole(u('string', 's', key=p), 0, 8), lambda i: _class_char(('s',), p, i, [(3, 97, 26), (1, 48, 10)]))} AS s FROM part",
-        "q_string_wide": f"SELECT {p}, array_to_string(list_transform(list_transform(range(4), lambda i: floor({u('string', 's', key=p, k=f"'c' || i || '.r'")} * 42.0::DOUBLE)::INT), lambda z: chr(CASE WHEN z < 25 THEN 945 + z ELSE 19968 + z - 25 END)), '') AS s FROM part",
+        "q_string_wide": f"SELECT {p}, array_to_string(list_transform(list_transform(range(4), lambda i: floor({lane('string', 's', key=p, k="'c0'", i='i')} * 42.0::DOUBLE)::INT), lambda z: chr(CASE WHEN z < 25 THEN 945 + z ELSE 19968 + z - 25 END)), '') AS s FROM part",
         "q_symbol_constants": f"SELECT {c}, 'Symbol(id)#s#' || {c} AS s, NULL::VARCHAR AS n, 'null' AS n__presence, NULL::VARCHAR AS u, 'undefined' AS u__presence, 'fixed' AS k FROM customer",
         "q_enum_uniform": f"SELECT {c}, {pick(u('enum', 'e', key=c), *[(1, repr(s)) for s in SEGMENTS])} AS e FROM customer",
         "q_choice": f"SELECT {o}, {pick(u('choice', 'c', key=o), (1, whole(u('number.integer', 'c', '0', key=o), 0, 9)), (3, '100'))} AS c FROM orders",
@@ -263,7 +270,7 @@ def oracle_sql() -> dict[str, str]:
         "q_optional_presence": f"SELECT {e}, {pick(u('omittable', 'a', key=e), (1, 'NULL'), (1, "'x'"))} AS a, {pick(u('omittable', 'a', key=e), (1, "'omitted'"), (1, "'value'"))} AS a__presence, {pick(u('optional', 'b', key=e), (1, 'NULL'), (1, 'NULL'), (1, pick(u('enum', 'b', 'definition', key=e), (1, "'p'"), (1, "'q'"))))} AS b, {pick(u('optional', 'b', key=e), (1, "'omitted'"), (1, "'undefined'"), (1, "'value'"))} AS b__presence FROM events",
         "q_array": f"SELECT {c}, {whole(u('array', 'a', key=c), 0, 4)}::INT AS n, coalesce(list_sum(list_transform(range({whole(u('array', 'a', key=c), 0, 4)}), lambda i: {elem('i')})), 0)::BIGINT AS total FROM customer",
         "q_tuple": f"SELECT {o}, {u('boolean', 't', '0', key=o)} * 2.0::DOUBLE < 1.0::DOUBLE AS a, {whole(u('number.integer', 't', '1', key=o), 0, 3)} AS b FROM orders",
-        "q_record_lastwins": f"WITH t AS (SELECT {c}, i, chr(97 + floor({u('string', 'm', 'key', key=f"{c} || '.' || i", k="'c0.r'")} * 3.0::DOUBLE)::INT) AS k, {elem('i', ('m', 'value'))} AS v FROM customer, range(4) r(i) WHERE i < {whole(u('record', 'm', key=c), 1, 4)}), "
+        "q_record_lastwins": f"WITH t AS (SELECT {c}, i, chr(97 + floor({lane('string', 'm', 'key', key=f"{c} || '.' || i", k="'c0'", i='0')} * 3.0::DOUBLE)::INT) AS k, {elem('i', ('m', 'value'))} AS v FROM customer, range(4) r(i) WHERE i < {whole(u('record', 'm', key=c), 1, 4)}), "
         f"l AS (SELECT {c}, k, arg_max(v, i) AS v FROM t GROUP BY ALL) SELECT {c}, count(*)::INT AS n, max(v) FILTER (k = 'a') AS a, max(v) FILTER (k = 'b') AS b, max(v) FILTER (k = 'c') AS c FROM l GROUP BY {c}",
         "q_tree_depth1": f"SELECT {c}, {whole(u('number.integer', 't', '@0', 'v', key=c), 0, 9)} AS v, {whole(u('array', 't', '@0', 'kids', key=c), 0, 2)}::INT AS n, coalesce(list_sum(list_transform(range({whole(u('array', 't', '@0', 'kids', key=c), 0, 2)}), lambda i: {elem('i', ('t', '@0', 'kids', 'element', '@1', 'v'))})), 0)::BIGINT AS total FROM customer",
         "q_extend": f"SELECT {o}, 1::BIGINT AS a, {whole(u('number.integer', 'b', key=o), 0, 3)} AS b, 1::BIGINT AS c FROM orders",
@@ -279,17 +286,35 @@ def oracle_sql() -> dict[str, str]:
         "q_dist_custom": f"WITH d AS (SELECT {o}, least(1.0::DOUBLE, greatest(0.0::DOUBLE, 1.5::DOUBLE * {x} - 0.1::DOUBLE)) AS t FROM orders) SELECT {o}, {at('t', 1, 100)} AS x FROM d",
         "q_shuffle": f"WITH s AS (SELECT {c}, i, unnest.s AS s, (('0x' || substr(md5('{prefix('shuffle')}#' || {c} || '#' || i), 1, 8))::BIGINT) AS d FROM customer, (SELECT unnest({SEGMENTS!r}) AS s, generate_subscripts({SEGMENTS!r}, 1) - 1 AS i) unnest) SELECT {c}, string_agg(s, ',' ORDER BY d, i) AS shuffled FROM s GROUP BY {c}",
         "q_combinatorial": f"SELECT ({SEGMENTS!r})[i // 18 + 1] AS segment, (['F', 'O', 'P'])[(i // 6) % 3 + 1] AS status, (i // 3) % 2 = 0 AS flag, CASE WHEN i % 3 = 2 THEN 'x' END AS note, (['omitted', 'undefined', 'value'])[i % 3 + 1] AS note__presence FROM range(90) r(i)",
-        "q_coverage": "SELECT 5::BIGINT AS rows, 5::BIGINT AS segments, 3::BIGINT AS types, 2::BIGINT AS flags",
+        "q_coverage": _coverage_sql(),
         "q_sum_axis": "SELECT (['x', 'y', 'z', NULL, 'p', 'q'])[i + 1] AS v, CASE WHEN i = 3 THEN 'null' ELSE 'value' END AS v__presence FROM range(6) r(i)",
         "q_constraints_orders": f"SELECT {o} FROM orders WHERE o_totalprice > 10000 AND o_totalprice <= 300000 AND o_orderstatus IN ('F', 'O') AND o_orderdate >= TIMESTAMP '1996-01-01' AND o_orderdate < TIMESTAMP '2000-01-01'",
         "q_constraints_events": f"SELECT {e} FROM events WHERE NOT (length(event_type) BETWEEN 4 AND 5 AND (user_id IS NULL OR user_id BETWEEN 0 AND 500))",
         "q_trace_replay": f"SELECT {o}, {whole(u('number.integer', 'b', 'c', key=o), 0, 999)} AS c FROM orders",
-        "q_vocab_email": f"SELECT {c}, {words('person.firstName', u('opaque', 'first', key=c))} AS first, {email_user} || '@' || {domain} AS email FROM customer",
-        "q_vocab_words": "WITH x AS (" + " UNION ALL ".join(f"SELECT '{n}' AS entry, {words(n, u('opaque', n.replace('.', '_'), key=p))} AS value FROM part" for n in every) + ") SELECT entry, value, count(*) AS n FROM x GROUP BY ALL",
+        "q_vocab_email": f"SELECT {c}, {among(first_names, u('string', 'first', key=c))} AS first, {email_user} || '@' || {domain} AS email FROM customer",
+        "q_vocab_words": "WITH x AS (" + " UNION ALL ".join(f"SELECT '{n}' AS entry, {words(n, u('enum' if head_of(n) == 'enum' else 'string', n.replace('.', '_'), key=p))} AS value FROM part" for n in every) + ") SELECT entry, value, count(*) AS n FROM x GROUP BY ALL",
         "q_flagship": f"SELECT {p}, {_chars((), p, whole(u('string', 'name', key=p), 1, 25), lambda i: _class_char(('name',), p, i, [(9, 97, 26), (1, 32, 1)]))} AS name, {at(u('number', 'price', key=p), 1, 500)} AS price, {u('boolean', 'in_stock', key=p)} * 2.0::DOUBLE < 1.0::DOUBLE AS in_stock, trunc({CLOCK}.0::DOUBLE - {u('date', 'created_ms', key=p)} * {float(CLOCK + max_time)!r}::DOUBLE)::BIGINT AS created_ms, {n_tags}::INT AS n_tags, array_to_string(list_transform(range({n_tags}), lambda j: {tag('j')}), '|') AS tags FROM part",
     }
 
 
+def _shuffled(n: int, draws) -> list[int]:
+    """Places 0 to n-1, each swapped with one at random from itself onwards."""
+    out = list(range(n))
+    for i in range(n - 1):
+        j = i + int(next(draws) * (n - i))
+        out[i], out[j] = out[j], out[i]
+    return out
+
+
+def _coverage_sql() -> str:
+    key = json.dumps([["world", "coverage", "order"], CLOCK, "unattributed", None, [], None, None], separators=(",", ":"))
+    draws = (int(hashlib.md5(f"{key}#0#{k}".encode()).hexdigest()[:8], 16) / 2**32 for k in range(100))
+    segment, kind, flag, whole_order = (_shuffled(n, draws) for n in (5, 3, 2, 5))  # fields in order, then the object itself
+    place = f"({whole_order})[i + 1]"
+    at_place = lambda order: f"({order})[{place} % {len(order)} + 1] + 1"
+    return f"SELECT ({SEGMENTS!r})[{at_place(segment)}] AS segment, ({TYPES[:3]!r})[{at_place(kind)}] AS type, ([true, false])[{at_place(flag)}] AS flag FROM range(5) r(i)"
+
+
 def _quantile_sql(key: str, x: str) -> str:
     from .functions import distributions as d
 

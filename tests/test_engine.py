@@ -198,6 +198,10 @@ def test_streams_make_the_same_rows(spark, world, tmp_path):
     f = world.Maker(T.object({"a": T.number.integer.whereby(0, 9), "q": T.number.integer.sequence()}), seed="st")
     spark.range(20).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema("id long").parquet(str(tmp_path / "in"))
-    query = make_on_stream(f, stream, "id").writeStream.format("memory").queryName("made").trigger(availableNow=True).start()
+    query = make_on_stream(f, stream, "id", dense_from=0).writeStream.format("memory").queryName("made").trigger(availableNow=True).start()
     query.awaitTermination()
-    assert [r["a"] for r in spark.table("made").orderBy("id").collect()] == [r["a"] for r in rows(f, 20)]
+    want = [(k, r["a"], r["q"]) for k, r in enumerate(rows(f, 20))]
+    assert [tuple(r) for r in spark.table("made").orderBy("id").collect()] == want
+    assert sorted(tuple(r) for r in f.make_onto(spark.range(20), "id").collect()) == want
+    with pytest.raises(errors.MissingOrdinalError):
+        make_on_stream(f, stream, "id")
