@@ -83,7 +83,7 @@ RULES: dict[str, dict[str, str]] = {
     "hacker": {"abbreviation": "TCP|SQL|RAM|CSS|API", "adjective": "virtual|wireless|optical|open-source", "ingverb": "parsing|indexing|hashing|copying", "noun": "driver|port|matrix|sensor", "phrase": "= Try {hacker.ingverb} the {hacker.abbreviation} {hacker.noun}", "verb": "parse|index|hash|copy"},
     "image": {
         "avatar": "= https://avatars.example/{string.uuid}.png", "avatarGitHub": "= https://avatars.example/u/########", "dataUri": "= data:image/svg+xml;charset=UTF-8,{color.human}", "personPortrait": "= https://portraits.example/{person.sexType}/##.jpg", "url": "= https://images.example/{_.pixels}/{_.pixels}",
-        "urlPicsumPhotos": "= https://photos.example/seed/~~~~~~/{_.pixels}/{_.pixels}", "urlLoremFlickr": "= https://flickr.example/{_.pixels}/{_.pixels}?lock=####",
+        "urlPicsumPhotos": "= https://photos.example/seed/~~~~~~/{_.pixels}/{_.pixels}", "urlLoremFlickr": "= https://flickr.example/{_.pixels}/{_.pixels}\\?lock=####",
     },
     "internet": {
         "displayName": "= {person.firstName}{_.byte}", "domainName": "= {internet.domainWord}.{internet.domainSuffix}", "domainSuffix": "com|org|net|io", "domainWord": "= {word.adjective}-{word.noun}", "email": "= {internet.username}@{internet.domainName}", "emoji": "😀|🚀|🌿|🎲|🐳", "exampleEmail": "= {internet.username}@example.com",

@@ -200,8 +200,10 @@ class Constraints:
                 return [here("const", c.eqNullSafe(literal(m["value"])))]
             case "array":
                 size = here("items", (F.size(c) >= m["low"]) & (F.size(c) <= m["high"]))
-                return [size, here("each", _each(c, m["inner"], recurse, context))]
+                return [size] if not m["high"] else [size, here("each", _each(c, m["inner"], recurse, context))]
             case "record":
+                if not m["high"]:
+                    return [here("size", F.size(c) == 0)]
                 keys, values = _each(F.map_keys(c), m["key"], recurse, context), _each(F.map_values(c), m["value"], recurse, context)
                 return [here("size", F.size(c) <= m["high"]), here("keys", keys), here("values", values)]
             case "recursive":

@@ -24,7 +24,7 @@ from ..errors import ClashingNameError, CombinatorialLimitExceededError, Invalid
 from ..functions.distributions import bounds_below, constant_array
 from ..functions.draws import Algorithm, DriverStream, driver_draw, md5_draw, shuffled, to_algorithm
 from ..plans.bounds import MAX_TIME, epoch_ms
-from ..plans.compiler import Context, Out, Trace, check_types, compile_node, has_computed
+from ..plans.compiler import Context, Out, Trace, check_size, check_types, compile_node, has_computed
 from ..plans.enumeration import plan
 from ..plans.kinds import MAX_SAFE, RESERVED, Schema, check_overrides, children, registry, to_schema
 
@@ -203,6 +203,7 @@ class Maker:
                 check_overrides(schema, {k: v for k, v in overrides.items() if not isinstance(v, Column)})
             known = {k: v for k, v in overrides.items() if k in schema.meta["fields"] and k not in RESERVED}
             schema = replace(schema, meta={**schema.meta, "fixed": {**schema.meta.get("fixed", {}), **known}}, produce=schema.produce)
+        check_size(schema)
         key = F.coalesce(ordinal.cast("string"), F.lit(NULL_KEY))
         return compile_node(schema, Context(replace(self.trace, kind=None), key, sequence, self.algorithm, raw=raw), pin)
 

@@ -64,7 +64,6 @@ class Context:
     sequence: Column | None = None  # a dense number from 1, where one is known
     algorithm: Algorithm = md5_draw
     expansions: dict = field(default_factory=dict)
-    budget: list = field(default_factory=lambda: [MAX_NODES])
     raw: bool = False  # computed fields keep the type that their resolver gives
 
     def at(self, *path: str) -> Context:
@@ -136,11 +135,37 @@ def unify(outs: list[Out]) -> tuple[list[Column], T.DataType]:
     return [o.value.cast(dtype) if o.dtype != dtype else o.value for o in outs], dtype
 
 
+def plan_size(s: Schema) -> int:
+    """How many nodes a schema unrolls to, without unrolling it: an expansion is counted once for each depth."""
+    known: dict[tuple[int, int], int] = {}
+
+    def expansion(of: Schema, depth: int, inside: dict) -> int:
+        at = (id(of.meta["token"]), depth)
+        if at not in known:
+            body = of.meta["terminal"] if depth >= of.meta["depth"] else of.meta["body"]
+            known[at] = size(body, {**inside, of.meta["token"]: (of, depth)})
+        return known[at]
+
+    def size(n: Schema, inside: dict) -> int:
+        if n.kind == "recursive":
+            return 1 + expansion(n, 0, inside)
+        if n.kind == "self":
+            of, depth = inside.get(n.meta["token"], (None, 0))
+            return 1 if of is None else 1 + expansion(of, depth + 1, inside)
+        if n.kind in ("array", "record") and not n.meta["high"]:
+            return 1
+        return 1 + sum(size(c, inside) for c in children(n))
+
+    return size(s, {})
+
+
+def check_size(s: Schema) -> None:
+    if plan_size(s) > MAX_NODES:
+        raise PlanTooLargeError(f"the schema unrolls to more than {MAX_NODES} nodes; lower its depth")
+
+
 def compile_node(s: Schema, ctx: Context, pin=None) -> Out:
     """pin: an axis decoder (see enumeration) or None where the node is drawn."""
-    ctx.budget[0] -= 1
-    if ctx.budget[0] < 0:
-        raise PlanTooLargeError(f"the schema unrolls to more than {MAX_NODES} nodes; lower its depth")
     if s.produce is not None and s.kind != "object":
         return _produced(s, ctx)
     try:

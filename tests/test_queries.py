@@ -4,7 +4,10 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from tesserae.queries import oracle_sql, queries
+from tesserae import queries as usual
+from tesserae import queries_more
+
+QUERIES, SQL = usual.queries() | queries_more.queries(), usual.oracle_sql() | queries_more.oracle_sql()
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
@@ -24,6 +27,6 @@ def same(spark, sf_dir, query, sql):
 
 
 @pytest.mark.skipif(not Path(SF).exists(), reason="no test tables")
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_equals_its_sql(spark, name):
-    same(spark, SF, queries()[name], oracle_sql()[name])
+    same(spark, SF, QUERIES[name], SQL[name])
