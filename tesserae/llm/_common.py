@@ -152,7 +152,10 @@ def work_dir(spark: SparkSession, name: str) -> str:
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         top = _own_dirs.setdefault(spark.sparkContext.applicationId, "") or tempfile.mkdtemp(prefix="tesserae-")
         _own_dirs[spark.sparkContext.applicationId] = top
-    return f"{top.rstrip('/')}/tesserae/{name}-{uuid.uuid4().hex[:12]}"
+    folder = f"{top.rstrip('/')}/tesserae/{name}-{uuid.uuid4().hex[:12]}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)  # results read from it until the application ends
+    return folder
 
 
 def stored(df: DataFrame, path: str) -> DataFrame:
@@ -167,7 +170,7 @@ def remove(spark: SparkSession, path: str) -> None:
 
 
 def release(spark: SparkSession) -> None:
-    """Lets Spark's cleaner drop shuffle files that no live frame needs."""
+    """Lets Spark's cleaner drop shuffle files that no live frame needs: it acts on what both garbage collectors have freed."""
     for _ in range(2):
         gc.collect()
         spark._jvm.System.gc()

@@ -17,6 +17,7 @@ from tesserae.llm.queries import oracle_sql, queries
 
 SF = Path("/root/testdata/sf0.001")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+DOCS_NAMES = ["doc_id", "text", "lang", "source", "n_chars"]
 ASCII = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 # nulls in every column, empty and long texts, ties, repeated rows
 ROWS = [
@@ -195,16 +196,37 @@ def _dedup_brute(rows):
     return sorted((str(d), str(top[t]), len(groups[t]), hashlib.sha256(t.encode()).hexdigest()) for d, t in norm), len(groups)
 
 
-@pytest.mark.parametrize("digest", [exact_dedup.sha256_digest, lambda t: F.lit("same")])
-def test_exact_dedup(spark, docs, tmp_path, digest):
+def _dedup_rows(out):
+    return sorted((str(r["doc_id"]), str(r["keep_id"]), r["group_size"], r["text_sha256"]) for r in out)
+
+
+@pytest.mark.parametrize("digest, broadcast", [(exact_dedup.sha256_digest, 2_000_000), (exact_dedup.sha256_digest, 0), (lambda t: F.lit("same"), 2_000_000), (lambda t: F.substring(F.sha2(t.cast("binary"), 256), 1, 1), 0)])
+def test_exact_dedup(spark, docs, tmp_path, monkeypatch, digest, broadcast):
+    """Also with digests that stand for several texts, with joined hits, and with groups in parts."""
+    monkeypatch.setattr(exact_dedup, "HITS_BROADCAST", broadcast)
+    monkeypatch.setattr(exact_dedup, "GROUP_ROWS", 2)
     docs.repartition(3).write.parquet(str(tmp_path / "d"))
-    state = exact_dedup.run_stream(exact_dedup.document_stream(spark, str(tmp_path / "d"), 1), digest, F.col("_metadata.file_path"))
-    out = exact_dedup.deduplicate(spark.read.parquet(str(tmp_path / "d")), state, digest).collect()
+    out = exact_dedup.deduplicate_path(spark, str(tmp_path / "d"), 1, digest).collect()
     want, groups = _dedup_brute(ROWS)
-    assert sorted((str(r["doc_id"]), str(r["keep_id"]), r["group_size"], r["text_sha256"]) for r in out) == want
+    assert _dedup_rows(out) == want
     assert sum(r["kept"] for r in out) == groups
 
 
+def test_exact_dedup_goes_on_from_its_state(spark, docs, tmp_path):
+    more = [(9, "NO ID HERE", "en", "b", 10), (10, "new", "en", "b", 3), (1, "The cat sat on the mat.", "en", "a", 23)]
+    path, state = str(tmp_path / "d"), str(tmp_path / "state")
+    docs.select(*DOCS_NAMES).repartition(2).write.parquet(path)
+    assert _dedup_rows(exact_dedup.deduplicate_path(spark, path, 1, state_dir=state).collect()) == _dedup_brute(ROWS)[0]
+    changes = lambda: {p.name for p in (tmp_path / "state" / "changes").iterdir() if p.name.startswith("batch=")}
+    before = changes()
+    spark.createDataFrame(more, DOCS).write.mode("append").parquet(path)
+    out = exact_dedup.deduplicate_path(spark, path, 1, state_dir=state).collect()
+    want, groups = _dedup_brute([*ROWS, *more])
+    assert _dedup_rows(out) == want and sum(r["kept"] for r in out) == groups
+    # the second run saw the three new rows only, and added them to what it had
+    assert sum(spark.read.parquet(str(tmp_path / "state" / "changes" / p)).count() for p in changes() - before) == 3
+
+
 def test_exact_dedup_of_nothing(spark, docs, tmp_path):
     none_of(docs).write.parquet(str(tmp_path / "e"))
     assert exact_dedup.deduplicate_path(spark, str(tmp_path / "e")).count() == 0
