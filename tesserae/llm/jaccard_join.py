@@ -19,10 +19,10 @@ their sets do, so a member whose bitmap is too far from all others leaves the ce
 Answers. The first set of a list leads it. A set joins the cell of each leader of its
 lists, so two similar sets meet in a cell. Within a cell members are compared with
 the leader first. Those similar to it take its answers as theirs: they are in
-its component, and nothing is left to find among them. Only the rest are looked up, in lists over
-the members ordered by size, of which the blocks outside the size bound and, by the triangle
-inequality of the Jaccard distance, those too near or too far from the leader are
-skipped, and so is whatever is in the same component already. A cell yields a link for each two
+its component, and nothing is left to find among them. Only the rest are looked up, in lists of the members' rarest
+items (see Lists), of whose blocks those are skipped whose size or position rules a similar set out. Of what is
+left, sets are skipped that by the triangle inequality of the Jaccard distance are too near or too far from the leader,
+and so is whatever is in the same component already, by the answers of sets before. A cell yields a link for each two
 components it joins, never all pairs. Large cells are cut into chunks. Their members are compared
 with the leader first, each once; those similar to it meet only chunks of the rest, in tasks of
 bounded size, so a large group of near copies costs as many rows as it has members. Lists that are
@@ -153,6 +153,72 @@ def _node(s: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(s.tobytes()) >> 1
 
 
+class Lists:
+    """An inverted index over the prefixes of sets, whose lists are cut into blocks of equal size and position.
+
+    Items are in order of frequency, the rarest first. Two similar sets share an item among the first size - ceil(size * num / den) + 1
+    of each; the first they share stands at a position in either, after which too few may be left for what they must have in common. All
+    entries of a block have one size and one position, so that is decided for a block at once, and no entry of a block that fails is read.
+    """
+
+    def __init__(self, sets: list[np.ndarray], size: np.ndarray, num: int, den: int):
+        self.size, self.num, self.den = size, num, den
+        items, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
+        _, code, count = np.unique(items, return_inverse=True, return_counts=True)
+        rank = np.empty(len(count), dtype=np.int64)
+        rank[np.argsort(count, kind="stable")] = np.arange(len(count))
+        rank = rank[code.reshape(-1)]
+        order = np.lexsort((rank, owner))  # each set's items, the rarest first
+        rank = rank[order]
+        first = np.concatenate([[0], np.cumsum(size)])
+        place = np.arange(len(rank)) - first[owner]
+        prefix = size + num * size // -den + 1  # size - ceil(size * num / den) + 1
+        kept = place < prefix[owner]
+        self.item, self.place, owner = rank[kept], place[kept], owner[kept]
+        self.begin = np.searchsorted(owner, np.arange(len(sets) + 1))
+        by = np.lexsort((owner, self.place, size[owner], self.item))
+        item, place, self.owner = self.item[by], self.place[by], owner[by]
+        new = np.ones(len(by), dtype=bool)
+        new[1:] = (item[1:] != item[:-1]) | (size[self.owner[1:]] != size[self.owner[:-1]]) | (place[1:] != place[:-1])
+        self.block = np.flatnonzero(new)
+        self.block_end = np.append(self.block[1:], len(by))
+        self.block_place, self.block_size = place[self.block], size[self.owner[self.block]]
+        self.wide = int(size.max()) + 1
+        self.block_key = item[self.block] * self.wide + self.block_size  # blocks are in order of item, size and position
+        self.read = self.skipped = 0  # blocks
+
+    def candidates(self, i: int) -> np.ndarray:
+        """Sets that may be similar to set i, in order."""
+        mine = slice(self.begin[i], self.begin[i + 1])
+        item, place, n = self.item[mine], self.place[mine], int(self.size[i])
+        low, high = -(self.num * n // -self.den), n * self.den // self.num  # the sizes that a similar set can have
+        every = np.searchsorted(self.block_key, (item + 1) * self.wide) - np.searchsorted(self.block_key, item * self.wide)
+        at = np.searchsorted(self.block_key, item * self.wide + min(low, self.wide - 1))
+        to = np.maximum(at, np.searchsorted(self.block_key, item * self.wide + min(high, self.wide - 1), side="right"))
+        query = np.repeat(np.arange(len(item)), to - at)
+        block = _ranges(at, to)
+        least = -(self.num * (n + self.block_size[block]) // -(self.num + self.den))
+        block = block[np.minimum(n - place[query], self.block_size[block] - self.block_place[block]) >= least]
+        self.read += len(block)
+        self.skipped += int(every.sum()) - len(block)
+        return np.unique(self.owner[_ranges(self.block[block], self.block_end[block])])
+
+
+def _ranges(at: np.ndarray, to: np.ndarray) -> np.ndarray:
+    """at[0], .., to[0] - 1, at[1], .."""
+    size = to - at
+    if not size.sum():
+        return np.zeros(0, dtype=np.int64)
+    return np.repeat(at - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(int(size.sum()))
+
+
+def _common(x: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """How many items each of the others shares with x; sets are sorted."""
+    items = np.concatenate(others)
+    same = x[np.minimum(np.searchsorted(x, items), len(x) - 1)] == items
+    return row_sums(same.astype(np.float64), np.concatenate([[0], np.cumsum([len(s) for s in others])])).astype(np.int64)
+
+
 class Cell:
     """Members of a cell or of two chunks of one; finds links that join their components."""
 
@@ -164,6 +230,8 @@ class Cell:
         self.leader = self.nodes.index(leader)
         self.parent = np.arange(len(nodes))
         self.links: list[tuple[int, int]] = []
+        self.lists: Lists | None = None
+        self.compared = 0  # pairs of sets
 
     def root(self, i: int) -> int:
         while self.parent[i] != i:
@@ -179,67 +247,43 @@ class Cell:
     def similar(self, common: np.ndarray, i: int, others: np.ndarray) -> np.ndarray:
         return self.den * common >= self.num * (self.size[i] + self.size[others] - common)
 
-    def run(self, known: bool = False) -> list[tuple[int, int]]:
+    def compare(self, i: int, others: np.ndarray) -> np.ndarray:
+        self.compared += len(others)
+        return self.similar(_common(self.sets[i], [self.sets[j] for j in others]), i, others)
+
+    def run(self, known: bool = False, at_once: int = 64) -> list[tuple[int, int]]:
         """The links; not those with the leader if they are known."""
         m = len(self.nodes)
         everyone = np.arange(m)
-        if m == 2:
-            common = np.array([len(np.intersect1d(self.sets[0], self.sets[1], assume_unique=True))])
-            if not known and self.similar(common, 0, np.array([1]))[0]:
-                self.join(0, 1)
-            return self.links
-        items = np.concatenate(self.sets)
-        owner = np.repeat(everyone, self.size)
-        by = np.argsort(items, kind="stable")  # equal items stay in order of size
-        sorted_items, owner = items[by], owner[by]
-        lead = self.sets[self.leader]
-        at = np.searchsorted(sorted_items, lead)
-        to = np.searchsorted(sorted_items, lead, side="right")
-        common = self._count(at, to, owner, m)
+        common = _common(self.sets[self.leader], self.sets)
+        self.compared += m - 1
         near = self.similar(common, self.leader, everyone)
         for j in np.flatnonzero(near):
             self.join(self.leader, int(j))
         if known:
             self.links.clear()
+        if near.all() or m == 2:  # all take the leader's answers
+            return self.links
         distance = 1 - common / np.maximum(self.size + self.size[self.leader] - common, 1)
         bound = 1 - self.num / self.den + 1e-9
-        place_lo = np.searchsorted(sorted_items, sorted_items)  # list of each item
-        place_hi = np.searchsorted(sorted_items, sorted_items, side="right")
-        inverse = np.empty(len(by), dtype=np.int64)
-        inverse[by] = np.arange(len(by))
-        begin = np.concatenate([[0], np.cumsum(self.size)])
         cut = bool((self.side == 1).any())  # two chunks: only pairs across them are due here
-        comp = np.array([self.root(i) for i in range(m)])
+        self.lists = Lists(self.sets, self.size, self.num, self.den)
         for i in np.flatnonzero(~near):
             i = int(i)
-            able = (self.size * self.den >= self.num * self.size[i]) & (self.size[i] * self.den >= self.num * self.size)
-            able &= (np.abs(distance - distance[i]) <= bound) & (comp != comp[i])
-            able &= near | (everyone > i)  # of two that are looked up, the first asks
+            todo = self.lists.candidates(i)
+            todo = todo[(np.abs(distance[todo] - distance[i]) <= bound) & (near[todo] | (todo > i))]  # of two that are looked up, the first asks
             if cut:
-                able &= self.side != self.side[i]
-            todo = np.flatnonzero(able)
-            if not len(todo):
-                continue
-            own = inverse[begin[i] : begin[i + 1]]
-            if len(todo) <= 4:
-                common = np.array([len(np.intersect1d(self.sets[i], self.sets[j], assume_unique=True)) for j in todo])
-            else:
-                common = self._count(place_lo[own], place_hi[own], owner, m)[todo]
-            found = todo[self.similar(common, i, todo)]
-            if len(found):
-                for j in found:
-                    self.join(i, int(j))
-                comp = np.array([self.root(k) for k in range(m)])
+                todo = todo[self.side[todo] != self.side[i]]
+            while len(todo):
+                # what one answer says of a component is said of all its members
+                mine = self.root(i)
+                todo = todo[np.array([self.root(int(j)) != mine for j in todo])]
+                some, todo = todo[:at_once], todo[at_once:]
+                if len(some):
+                    for j in some[self.compare(i, some)]:
+                        self.join(i, int(j))
         return self.links
 
-    @staticmethod
-    def _count(at: np.ndarray, to: np.ndarray, owner: np.ndarray, m: int) -> np.ndarray:
-        size = to - at
-        if not size.sum():
-            return np.zeros(m, dtype=np.int64)
-        shift = np.repeat(at - np.concatenate([[0], np.cumsum(size)[:-1]]), size)
-        return np.bincount(owner[shift + np.arange(int(size.sum()))], minlength=m)
-
 
 def _describe(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """doc_id, key, n_shingles, node, sigs, bits; of equal sets that a task meets again, the signatures come once."""
@@ -326,9 +370,7 @@ def _star_links(members: DataFrame, num: int, den: int) -> DataFrame:
             return []
         lead, nodes = rows[key[0]][0], list(rows)
         sizes = np.array([len(r[0]) for r in rows.values()], dtype=np.int64)
-        items = np.concatenate([r[0] for r in rows.values()])
-        same = lead[np.minimum(np.searchsorted(lead, items), len(lead) - 1)] == items
-        common = row_sums(same.astype(np.float64), np.concatenate([[0], np.cumsum(sizes)])).astype(np.int64)
+        common = _common(lead, [r[0] for r in rows.values()])
         return [(key[0], nodes[k]) for k in np.flatnonzero(den * common >= num * (sizes + len(lead) - common)) if nodes[k] != key[0]]
 
     return members.mapInArrow(lambda batches: _by_task(batches, "items", finish, ["a", "b"]), "a long, b long")
@@ -426,8 +468,8 @@ def _together(members: DataFrame, column: str) -> DataFrame:
     return members.repartition("leader", "i", "j").sortWithinPartitions("leader", "i", "j").select("leader", "i", "j", "side", "node", "n_shingles", column)
 
 
-def connected_components(links: DataFrame, top: str, rounds: int = 60) -> DataFrame:
-    """node, component (its least node) from links a, b, by large-star and small-star rounds; each is written to `top`."""
+def connected_components(links: DataFrame, top: str) -> DataFrame:
+    """node, component (its least node) from links a, b, by large-star and small-star rounds until nothing changes; each is written to `top`."""
     spark = links.sparkSession
 
     def stars(pairs: DataFrame, large: bool) -> DataFrame:
@@ -440,8 +482,9 @@ def connected_components(links: DataFrame, top: str, rounds: int = 60) -> DataFr
         return joined.select(F.col("v").alias("a"), F.col("m").alias("b")).unionAll(least.select(F.col("u").alias("a"), F.col("m").alias("b"))).filter("a <> b").distinct()
 
     now = stored(links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{top}/links-0")
-    before = None
-    for k in range(1, rounds + 1):
+    before, k = None, 0
+    while True:  # each round that changes a link lowers an end of it, so the rounds end
+        k += 1
         big = stars(now, True)
         new = stored(stars(big, False), f"{top}/links-{k}")
         mark = new.select(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0)).alias("h")).first()
@@ -450,8 +493,6 @@ def connected_components(links: DataFrame, top: str, rounds: int = 60) -> DataFr
         if tuple(mark) == before:
             break
         before = tuple(mark)
-    else:
-        raise RuntimeError("components did not settle")
     return now.select(F.col("a").alias("node"), F.col("b").alias("component"))
 
 
