@@ -155,9 +155,18 @@ def test_chat_round_trip():
     texts = NASTY + ["".join(rng.choice(pieces) for _ in range(rng.randrange(12))) for _ in range(500)]
     turns = [(rng.choice(["user", "assistant", "", "a|b\n", "sys tem"]), t) for t in texts]
     made = chat_format.render(turns)
-    assert chat_format.parse(made) == turns
-    spans = chat_format.loss_spans(made)
-    assert len(spans) == sum(r == "assistant" for r, _ in turns)
+    read = chat_format.parse(made)
+    assert [(t.role, t.text) for t in read] == turns
+    learnt = [t for t in read if t.role == "assistant"]
+    assert [made[a:b] for a, b in chat_format.loss_spans(made)] == [t.body for t in learnt] and len(learnt) == sum(r == "assistant" for r, _ in turns)
+    reader, pieces = chat_format.Reader(), []  # cut anywhere
+    at = 0
+    while at < len(made):
+        step = rng.randrange(1, 9)
+        pieces += reader.feed(made[at : at + step])
+        at += step
+    reader.close()
+    assert pieces == read and reader.chars == len(made)
     for bad in ("", "<s>", "<s>x</s>", "<s>[INST]u|\n</s>", "<s>[INST]u|\n[INST][/INST]</s>"):
         with pytest.raises(chat_format.GrammarError):
             chat_format.parse(bad)
@@ -171,6 +180,14 @@ def test_chat_digests(spark):
     assert got[1]["n_turns"] == 3 and got[1]["turns_sha256"] == sha("user\n\nassistant\nb</s>\nassistant\nb</s>\n") and got[1]["loss_chars"] == 10 and got[1]["loss_sha256"] == sha("b</s>b</s>")
     assert got[2]["turns_sha256"] == sha("\nx\nassistant\n\\\n") and got[None]["loss_sha256"] == sha("")
     assert chat_format.conversation_digests(chat_format.format_turns(none_of(df))).count() == 0
+    long = [(7, k, "assistant" if k % 2 else "user", f"</s> {k} " * (3000 if k == 5 else 3)) for k in range(400)]  # a long conversation with a very long text
+    made = chat_format.format_turns(spark.createDataFrame(long, "conv_id long, turn long, role string, text string"))
+    under = {r["turn"]: r["formatted"][r["mask_start"] : r["mask_end"]] for r in made.filter("mask_start IS NOT NULL").collect()}
+    assert sorted(under) == list(range(1, 400, 2)) and all(chat_format.unescape(x) == long[k][3] for k, x in under.items())
+    got = chat_format.conversation_digests(made).collect()
+    loss = "".join(t for _, _, r, t in long if r == "assistant")
+    assert [(r["n_turns"], r["loss_chars"], r["loss_sha256"], r["turns_sha256"]) for r in got] == [(400, len(loss), sha(loss), sha("".join(f"{r}\n{t}\n" for _, _, r, t in long)))]
+    assert got[0]["formatted_chars"] == len(chat_format.render([(r, t) for _, _, r, t in long]))
 
 
 def test_language(spark, docs):
@@ -386,6 +403,38 @@ def test_row_decisions_with_null_and_repeated_ids(spark):
     assert sorted(r["n_chars"] for r in clean.collect()) == [3, *range(6, 13)]
 
 
+@pytest.mark.parametrize("num, den", [(90, 100), (8, 10), (1, 2)])
+def test_cells_skip_blocks_and_lose_no_link(num, den):
+    rng = np.random.default_rng(num)
+    skipped = compared = pairs = 0
+    for _ in range(60):
+        common = rng.integers(0, 2**40, 60, dtype=np.uint64)  # a passage of all members
+        sets = []
+        for _ in range(rng.integers(1, 6)):
+            base = np.union1d(common, rng.integers(0, 2**40, rng.integers(5, 120), dtype=np.uint64))
+            sets += [np.union1d(base[rng.random(len(base)) > rng.random() * 0.2], rng.integers(0, 2**40, rng.integers(0, 4), dtype=np.uint64)) for _ in range(rng.integers(1, 8))]
+        sets = [x for x in sets if len(x)]
+        side = rng.integers(0, 2, len(sets)) if rng.random() < 0.3 else np.zeros(len(sets), dtype=int)
+        side[0] = 2 if side.any() else 0
+        cell = jaccard_join.Cell(list(range(len(sets))), sets, side, 0, num, den)
+        root = list(range(len(sets)))
+        find = lambda i: i if root[i] == i else find(root[i])
+        for i, j in cell.run():
+            root[find(i)] = find(j)
+        for i in range(len(sets)):
+            for j in range(i):
+                both = len(np.intersect1d(sets[i], sets[j]))
+                due = not side.any() or side[i] != side[j]
+                if den * both >= num * (len(sets[i]) + len(sets[j]) - both):
+                    assert not due or find(i) == find(j)
+                elif cell.lists is not None:
+                    pairs += 1
+        if cell.lists is not None:
+            skipped, compared = skipped + cell.lists.skipped, compared + cell.compared
+            assert cell.lists.read + cell.lists.skipped > 0
+    assert skipped > 0 and compared < pairs  # the passage puts all members into a cell, but most pairs are never compared
+
+
 def test_similar_sets_always_share_a_list():
     rng = np.random.default_rng(5)
     for num, den in ((90, 100), (8, 10), (1, 2)):
