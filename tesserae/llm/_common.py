@@ -80,8 +80,8 @@ def text_chunks(column: pa.Array, limit: int = CHUNK):
 class Words:
     """Words of a chunk: byte ranges, the row of each, and the first word of each row (`at`, one longer than rows)."""
 
-    def __init__(self, data: np.ndarray, off: np.ndarray, table: np.ndarray = SPACED):
-        self.data = LOWER[data]
+    def __init__(self, data: np.ndarray, off: np.ndarray, table: np.ndarray = SPACED, lower: bool = True):
+        self.data = LOWER[data] if lower else data
         inside = table[self.data]
         first = inside.copy()
         first[1:] &= ~inside[:-1]

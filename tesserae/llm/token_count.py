@@ -10,6 +10,10 @@ score, a position without a one-character entry gets an unknown piece with the l
 score less 10, adjacent unknown pieces are one, and with byte fallback an unknown
 piece counts its UTF-8 bytes.
 
+Chunks between ASCII white space are found and hashed for a whole Arrow batch at once; each distinct chunk is counted once and
+its count is kept by its 64-bit hash in sorted arrays (equal hashes of different chunks, 2**-64 a pair, would count alike). A row's count is
+a sum over its chunks.
+
 The vocabulary is read from a public sentencepiece file whose path is a parameter. Its
 pieces are ranked; a piece's score is minus the logarithm of its rank plus one, as for words
 whose frequencies follow Zipf's law.
@@ -24,19 +28,19 @@ import math
 import re
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import small_batches
+from ._common import SPACED, Words, row_sums, small_batches, text_chunks
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
 CACHE = 400_000
-# White_Space as Unicode defines it; str.split() would also split at U+001C to U+001F
+# White_Space as Unicode defines it: str.split() would also split at U+001C to U+001F
 _SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
-_ODD = re.compile("[\x1c-\x1f]")
 
 
 def read_vocabulary(path: str = VOCABULARY) -> list[tuple[str, float]]:
@@ -49,7 +53,7 @@ def read_vocabulary(path: str = VOCABULARY) -> list[tuple[str, float]]:
 
 
 class Counter:
-    """Counts of pieces by word; the cache is emptied when it is full, so memory stays bounded."""
+    """Counts of pieces; those of chunks are kept, and forgotten when there are too many, so memory stays bounded."""
 
     def __init__(self, vocabulary: list[tuple[str, float]], byte_fallback: bool = True, unknown: int = 0):
         self.lowest = min((s for _, s in vocabulary), default=0.0) - UNKNOWN_PENALTY
@@ -61,7 +65,7 @@ class Counter:
             if p:
                 self.trie.add_word(p, (len(p), s))
         self.trie.make_automaton()
-        self.cache: dict[str, int] = {}
+        self.hashes, self.counts = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)  # of chunks, by hash
 
     def piece_count(self, word: str) -> int:
         """Pieces of the best path over one pre-tokenized word."""
@@ -102,21 +106,36 @@ class Counter:
             return self.piece_count(word)
         return sum(self.piece_count(MARK + w) for w in word[1:].split(MARK))
 
+    def chunk(self, chunk: str) -> int:
+        """Pieces of a chunk between ASCII white space, within which wider spaces separate as well."""
+        return sum(self.word(w) for w in _SPACE.split(chunk) if w)
+
+    def texts(self, column: pa.Array) -> np.ndarray:
+        """Pieces of each text."""
+        out = np.zeros(len(column), dtype=np.int64)
+        for row, data, off in text_chunks(column):
+            words = Words(data, off, SPACED, lower=False)
+            found, first, at = np.unique(words.hashes()[0], return_index=True, return_inverse=True)
+            place = np.searchsorted(self.hashes, found)
+            known = self.hashes[np.minimum(place, len(self.hashes) - 1)] == found if len(self.hashes) else np.zeros(len(found), dtype=bool)
+            counts = np.empty(len(found), dtype=np.int64)
+            counts[known] = self.counts[place[known]]
+            new = np.flatnonzero(~known)
+            for k in new:
+                word = first[k]
+                counts[k] = self.chunk(data[words.start[word] : words.end[word]].tobytes().decode())
+            if len(new):
+                if len(self.hashes) + len(new) > CACHE:
+                    self.hashes, self.counts = self.hashes[:0], self.counts[:0]
+                    place = np.zeros(len(found), dtype=np.int64)
+                    known = np.zeros(len(found), dtype=bool)
+                    new = np.arange(len(found))[:CACHE]
+                self.hashes, self.counts = np.insert(self.hashes, place[new], found[new]), np.insert(self.counts, place[new], counts[new])
+            out[row : row + len(off) - 1] = row_sums(counts[at.reshape(-1)].astype(np.float64), words.at).astype(np.int64)  # exact below 2**53
+        return out
+
     def text(self, text: str | None) -> int:
-        if not text:
-            return 0
-        words = text.split() if not _ODD.search(text) else [w for w in _SPACE.split(text) if w]
-        cache, total = self.cache, 0
-        for w in words:
-            n = cache.get(w)
-            if n is None:
-                if len(cache) >= CACHE:
-                    cache.clear()
-                n = self.word(w)
-                if len(w) < 64:
-                    cache[w] = n
-            total += n
-        return total
+        return int(self.texts(pa.array([text], pa.large_string()))[0])
 
 
 _counters: dict[tuple, Counter] = {}  # of this worker process
@@ -135,6 +154,6 @@ def count_tokens(docs: DataFrame, path: str = VOCABULARY, byte_fallback: bool =
             _counters.clear()
             _counters[key] = Counter(shared.value, byte_fallback)
         counter = _counters[key]
-        return pa.array([counter.text(t.as_py()) for t in text], pa.int64())
+        return pa.array(counter.texts(text), pa.int64())
 
     return docs.select("doc_id", F.coalesce(F.char_length("text"), F.lit(0)).cast("long").alias("n_chars"), tokens(F.col("text")).alias("n_tokens"))

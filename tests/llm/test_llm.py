@@ -448,7 +448,7 @@ def test_similar_sets_always_share_a_list():
                 assert set(positions.signatures(x).tolist()) & set(positions.signatures(y).tolist())
 
 
-def test_token_counts_equal_the_tokenizers_library(spark, docs):
+def test_token_counts_equal_the_tokenizers_library(spark, docs, monkeypatch):
     from tokenizers import Tokenizer, models, pre_tokenizers
 
     def theirs(vocabulary, byte_fallback):
@@ -462,6 +462,10 @@ def test_token_counts_equal_the_tokenizers_library(spark, docs):
     for fallback in (True, False):
         ours, want = token_count.Counter(vocabulary, fallback), theirs(vocabulary, fallback)
         assert [ours.text(t) for t in texts] == [want(t) for t in texts]
+        assert ours.texts(pa.array([*texts, None, *texts])).tolist() == [*map(want, texts), 0, *map(want, texts)]
+        with monkeypatch.context() as m:
+            m.setattr(token_count, "CACHE", 5)  # chunks are forgotten all the time
+            assert token_count.Counter(vocabulary, fallback).texts(pa.array(texts)).tolist() == [*map(want, texts)]
     for seed in range(20):  # small vocabularies with many ties
         rng.seed(seed)
         small = list({"<unk>": 0.0, **{"".join(rng.choice("▁abc") for _ in range(rng.randrange(1, 4))): -float(rng.randrange(1, 4)) for _ in range(12)}}.items())
