@@ -5,6 +5,9 @@ its words' hashed features; the document's probability is the noisy-or of its
 sentences, 1 - prod(1 - p). Weights are trained from document labels alone and
 then also locate the sentences that made a document toxic.
 
+Training texts are a sample of the labelled documents, bounded in rows and in bytes (see labelled_sample); nothing else
+that the driver holds grows with the data.
+
 Defined results: null and empty texts have no sentence and score 0. Repeated rows
 score alike. Labels that are null are ignored; of several labels of a document the
 largest counts, and of several texts the greatest by code point. Without both classes among the training labels every score is 0.
@@ -18,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ._common import U64, Words, crc_mod, row_sums, small_batches, text_chunks
 
@@ -38,7 +42,7 @@ class ToxicityModel:
 def _sentences(data: np.ndarray, off: np.ndarray):
     """Feature slots of each word, first word of each sentence, first sentence of each row, and sentence byte starts."""
     words = Words(data, off)
-    slots = [(h >> U64(64 - BITS)).astype(np.int64) for h in words.hashes(*CUTS)]
+    slots = [(h >> U64(64 - BITS)).astype(np.int32) for h in words.hashes(*CUTS)]
     n = len(words)
     breaks = np.cumsum(_BREAK[words.data], dtype=np.int64) if n else np.zeros(0, np.int64)
     new = np.ones(n, dtype=bool)
@@ -58,14 +62,34 @@ def _logits(slots: list[np.ndarray], first: np.ndarray, model: ToxicityModel) ->
     return row_sums(per_word, first) + model.bias
 
 
-def score_texts(column: pa.Array, model: ToxicityModel) -> np.ndarray:
+@dataclass
+class Found:
+    """Sentences whose own probability reaches a threshold, row by row: number in the text, byte range of its words, probability."""
+
+    row: np.ndarray
+    sentence: np.ndarray
+    start: np.ndarray
+    end: np.ndarray
+    score: np.ndarray
+
+
+def score_and_locate(column: pa.Array, model: ToxicityModel, least: float = 0.5) -> tuple[np.ndarray, Found]:
     out = np.zeros(len(column))
-    if model.trained:
-        for row, data, off in text_chunks(column):
-            _, slots, first, at = _sentences(data, off)
-            total = row_sums(np.logaddexp(0, _logits(slots, first, model)), at)
-            out[row : row + len(off) - 1] = -np.expm1(-np.maximum(total, 0))
-    return np.clip(out, 0.0, 1.0)
+    parts: list[tuple] = []
+    for row, data, off in text_chunks(column) if model.trained else ():
+        words, slots, first, at = _sentences(data, off)
+        z = _logits(slots, first, model)
+        out[row : row + len(off) - 1] = -np.expm1(-np.maximum(row_sums(np.logaddexp(0, z), at), 0))
+        p = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+        hit = np.flatnonzero(p >= least)
+        owner = np.searchsorted(at, hit, side="right") - 1
+        parts.append((row + owner, hit - at[owner], words.start[first[hit]] - off[owner], words.end[first[hit + 1] - 1] - off[owner], p[hit]))
+    found = Found(*(np.concatenate([x[k] for x in parts]) if parts else np.zeros(0, dtype=np.int64 if k < 4 else np.float64) for k in range(5)))
+    return np.clip(out, 0.0, 1.0), found
+
+
+def score_texts(column: pa.Array, model: ToxicityModel) -> np.ndarray:
+    return score_and_locate(column, model)[0]
 
 
 def train(texts: list[str], labels: np.ndarray, rounds: int = 200, rate: float = 0.1, l2: float = 1e-5) -> ToxicityModel:
@@ -91,15 +115,16 @@ def train(texts: list[str], labels: np.ndarray, rounds: int = 200, rate: float =
     sentence_of = np.repeat(np.arange(sentences), np.diff(first))
     bag_of = np.repeat(np.arange(len(labels)), np.diff(at))
     size = 1 << BITS
-    seen = [np.unique(s * len(labels) + bag_of[sentence_of]) for s in slots]
+    word_bag = bag_of[sentence_of]
     n1, n0 = labels.sum(), len(labels) - labels.sum()
     keep = np.zeros(size, dtype=bool)
-    for pairs in seen:
+    for s in slots:
+        pairs = np.unique(s.astype(np.int64) * len(labels) + word_bag)
         in1 = np.bincount(pairs // len(labels), weights=labels[pairs % len(labels)], minlength=size)
         in0 = np.bincount(pairs // len(labels), minlength=size) - in1
         rate_all = np.clip((in1 + in0) / len(labels), 1e-9, 1 - 1e-9)
         keep |= (in1 / n1 - in0 / n0) / np.sqrt(rate_all * (1 - rate_all) * (1 / n1 + 1 / n0)) >= LEAST_Z
-    dense = np.where(keep, np.cumsum(keep), 0)  # 0 gathers the rare ones
+    dense = np.where(keep, np.cumsum(keep), 0).astype(np.int32)  # 0 gathers the rare ones
     slots = [dense[s] for s in slots]
     width = int(keep.sum()) + 1
     weight = np.where(labels > 0, 0.5 / labels.sum(), 0.5 / (len(labels) - labels.sum()))
@@ -129,8 +154,11 @@ def train(texts: list[str], labels: np.ndarray, rounds: int = 200, rate: float =
     return ToxicityModel(np.where(keep, w[dense], 0).astype(np.float32), float(b[0]), True)
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, held_out: Column, per_class: int) -> tuple[list[str], np.ndarray]:
-    """Texts and labels of at most `per_class` documents of each class, the first by a hash of doc_id."""
+MOST_BYTES = 24 << 20
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, held_out: Column, per_class: int, most_bytes: int = MOST_BYTES) -> tuple[list[str], np.ndarray]:
+    """Texts and labels of at most `per_class` documents of each class, the first by a hash of doc_id, whole texts of `most_bytes` a class in all; a text of over a quarter of that is not taken."""
     known = (
         labels.select("doc_id", F.col(target).cast("int").alias("y"))
         .filter(F.col("doc_id").isNotNull() & F.col("y").isin(0, 1) & ~held_out)
@@ -143,66 +171,51 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, held_out: C
         return [], np.zeros(0)
     chosen = docs.sparkSession.createDataFrame(sorted(ids.items()), "doc_id long, y int")
     # of rows that repeat a doc_id, however many, the greatest text by code point counts
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y").agg(F.max("text").alias("text")).collect()
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y").agg(F.max("text").alias("text")).withColumn("_long", F.coalesce(F.octet_length("text"), F.lit(0))).filter(F.col("_long") <= most_bytes // 4)
+    run = Window.partitionBy("y").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)  # over at most per_class rows
+    rows = rows.withColumn("_bytes", F.sum("_long").over(run)).filter(F.col("_bytes") <= most_bytes).collect()
     rows.sort(key=lambda r: r["doc_id"])
     return [r["text"] or "" for r in rows], np.array([r["y"] for r in rows], dtype=np.float64)
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = 1500) -> ToxicityModel:
-    """Learns from at most 2 * per_class labelled documents outside the held-out fifth."""
-    texts, y = labelled_sample(docs, labels, "toxic", crc_mod(F.col("doc_id"), 5) == 0, per_class)
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = 1500, most_bytes: int = MOST_BYTES) -> ToxicityModel:
+    """Learns from at most 2 * per_class labelled documents outside the held-out fifth, of at most 2 * most_bytes."""
+    texts, y = labelled_sample(docs, labels, "toxic", crc_mod(F.col("doc_id"), 5) == 0, per_class, most_bytes)
     return train(texts, y)
 
 
-def scorer(spark: SparkSession, model: ToxicityModel):
-    """A Column function from text to probability."""
+_SCORED = "struct<score double, sentences array<struct<sentence: long, start: long, end: long, score: double>>>"
+
+
+def scorer(spark: SparkSession, model: ToxicityModel, least: float = 0.5):
+    """A Column function from text to a struct: the probability, and the sentences whose own probability reaches `least`."""
     small_batches(spark)
     shared = spark.sparkContext.broadcast(model)
 
-    @F.arrow_udf("double")
+    @F.arrow_udf(_SCORED)
     def toxicity(text: pa.Array) -> pa.Array:
-        return pa.array(score_texts(text, shared.value), pa.float64())
+        score, found = score_and_locate(text, shared.value, least)
+        inside = pa.StructArray.from_arrays([pa.array(found.sentence, pa.int64()), pa.array(found.start, pa.int64()), pa.array(found.end, pa.int64()), pa.array(found.score, pa.float64())], names=["sentence", "start", "end", "score"])
+        at = np.searchsorted(found.row, np.arange(len(text) + 1)).astype(np.int32)
+        return pa.StructArray.from_arrays([pa.array(score, pa.float64()), pa.ListArray.from_arrays(pa.array(at), inside)], names=["score", "sentences"])
 
     return toxicity
 
 
 def locate(spark: SparkSession, docs: DataFrame, model: ToxicityModel, least: float = 0.5) -> DataFrame:
     """doc_id, sentence (number from 0), start, end (byte offsets of its words), score: sentences whose own probability reaches `least`."""
-    small_batches(spark)
-    shared = spark.sparkContext.broadcast(model)
-
-    def spans(batches):
-        for batch in batches:
-            for row, data, off in text_chunks(batch.column("text")):
-                if not shared.value.trained:
-                    continue
-                words, slots, first, at = _sentences(data, off)
-                p = 1 / (1 + np.exp(-np.clip(_logits(slots, first, shared.value), -40, 40)))
-                hit = np.flatnonzero(p >= least)
-                owner = np.searchsorted(at, hit, side="right") - 1
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column("doc_id").take(pa.array(row + owner)),
-                        pa.array(hit - at[owner], pa.int64()),
-                        pa.array(words.start[first[hit]] - off[owner], pa.int64()),
-                        pa.array(words.end[first[hit + 1] - 1] - off[owner], pa.int64()),
-                        pa.array(p[hit]),
-                    ],
-                    names=["doc_id", "sentence", "start", "end", "score"],
-                )
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(spans, "doc_id long, sentence long, start long, end long, score double")
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.explode(scorer(spark, model, least)(F.col("text"))["sentences"]).alias("_s"))
+    return found.select("doc_id", "_s.sentence", "_s.start", "_s.end", "_s.score")
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, per_class: int = 1500) -> DataFrame:
-    """doc_id, held_out, score, predicted for every row of docs."""
+    """doc_id, held_out, score, predicted, sentences (the offending ones: number, byte range, probability) for every row of docs."""
     toxicity = scorer(docs.sparkSession, fit(docs, labels, per_class))
-    return docs.select(
-        "doc_id", (crc_mod(F.col("doc_id"), 5) == 0).alias("held_out"), toxicity(F.col("text")).alias("score")
-    ).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    scored = docs.select("doc_id", (crc_mod(F.col("doc_id"), 5) == 0).alias("held_out"), toxicity(F.col("text")).alias("_s"))
+    return scored.select("doc_id", "held_out", "_s.score", (F.col("_s.score") >= 0.5).cast("int").alias("predicted"), "_s.sentences")
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, per_class: int = 1500) -> DataFrame:
     """The rows of docs, all columns, whose score is below 0.5."""
     toxicity = scorer(docs.sparkSession, fit(docs, labels, per_class))
-    return docs.filter(toxicity(F.col("text")) < 0.5)
+    return docs.filter(toxicity(F.col("text"))["score"] < 0.5)
