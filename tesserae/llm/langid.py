@@ -64,25 +64,51 @@ def _slots(data: np.ndarray, off: np.ndarray):
     return out
 
 
-def _profile(texts: list[str]) -> np.ndarray:
-    out = np.zeros((len(texts), (1 << BITS) + 1), dtype=np.float32)
-    for row, data, off in text_chunks(pc.utf8_lower(pa.array(texts, pa.large_string()))):
-        slots = _slots(data, off)
+@dataclass
+class Profiles:
+    """Sparse rows: slot, value, and where each row begins (one more than rows); slot 1 << BITS is the bias."""
+
+    slot: np.ndarray
+    value: np.ndarray
+    at: np.ndarray
+
+    def __len__(self) -> int:
+        return len(self.at) - 1
+
+    def rows(self, which: np.ndarray) -> Profiles:
+        size = np.diff(self.at)[which]
+        at = np.concatenate([[0], np.cumsum(size)])
+        where = np.repeat(self.at[:-1][which] - at[:-1], size) + np.arange(int(at[-1]))
+        return Profiles(self.slot[where], self.value[where], at)
+
+    def dot(self, w: np.ndarray) -> np.ndarray:
+        return row_sums(self.value * w[self.slot], self.at)
+
+    def weighted_sum(self, g: np.ndarray) -> np.ndarray:
+        return np.bincount(self.slot, weights=self.value * np.repeat(g, np.diff(self.at)), minlength=(1 << BITS) + 1)
+
+
+def _profile(texts: list[str]) -> Profiles:
+    slots, values, sizes = [], [], []
+    for _, data, off in text_chunks(pc.utf8_lower(pa.array(texts, pa.large_string()))):
+        found = _slots(data, off)
         for i in range(len(off) - 1):
-            x = sum(np.bincount(s[off[i] : off[i + 1]], minlength=(1 << BITS) + 1)[:-1] for s in slots)
-            out[row + i, :-1] = x / max(1, x.sum())
-    out[:, :-1] *= np.sqrt(1 << BITS)  # so that margins are of the order of one
-    out[:, -1] = 1
-    return out
+            x = sum(np.bincount(s[off[i] : off[i + 1]], minlength=(1 << BITS) + 1)[:-1] for s in found)
+            some = np.flatnonzero(x)
+            slots += [some.astype(np.int32), np.array([1 << BITS], dtype=np.int32)]
+            values += [(x[some] * (np.sqrt(1 << BITS) / max(1, x.sum()))).astype(np.float32), np.ones(1, dtype=np.float32)]  # margins of the order of one
+            sizes.append(len(some) + 1)
+    empty = lambda x, kind: np.concatenate(x) if x else np.zeros(0, dtype=kind)
+    return Profiles(empty(slots, np.int32), empty(values, np.float32), np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64))
 
 
-def _svm(x: np.ndarray, sign: np.ndarray, rounds: int = 120, rate: float = 0.05, l2: float = 1e-4) -> np.ndarray:
+def _svm(x: Profiles, sign: np.ndarray, rounds: int = 120, rate: float = 0.05, l2: float = 1e-4) -> np.ndarray:
     """Adam on the mean squared hinge loss of each side, sides weighing alike."""
     weight = np.where(sign > 0, 0.5 / max(1, (sign > 0).sum()), 0.5 / max(1, (sign < 0).sum()))
-    w, m, v = np.zeros(x.shape[1]), np.zeros(x.shape[1]), np.zeros(x.shape[1])
+    w, m, v = (np.zeros((1 << BITS) + 1) for _ in range(3))
     for t in range(1, rounds + 1):
-        slack = np.maximum(0, 1 - sign * (x @ w))
-        g = l2 * w - 2 * (x.T @ (weight * sign * slack))
+        slack = np.maximum(0, 1 - sign * x.dot(w))
+        g = l2 * w - 2 * x.weighted_sum(weight * sign * slack)
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
     return w
@@ -108,9 +134,10 @@ def train(texts: list[str], langs: list[str]) -> LanguageModel:
     model = LanguageModel(sorted(set(langs)))
     if not model.languages:
         return model
-    x = _profile(texts).astype(np.float64)
-    y = np.array([model.languages.index(v) for v in langs])
-    model.families = families_of(np.stack([x[y == k, :-1].mean(axis=0) for k in range(len(model.languages))]))
+    x = _profile(texts)
+    place = {v: k for k, v in enumerate(model.languages)}
+    y = np.array([place[v] for v in langs])
+    model.families = families_of(np.stack([x.weighted_sum((y == k) / max(1, (y == k).sum()))[:-1] for k in range(len(model.languages))]))
     home = np.zeros(len(model.languages), dtype=int)
     for k, group in enumerate(model.families):
         home[group] = k
@@ -118,9 +145,9 @@ def train(texts: list[str], langs: list[str]) -> LanguageModel:
     model.pairs = [p for group in model.families for p in combinations(group, 2)]
     columns = []
     for a, b in model.pairs:
-        rows = (y == a) | (y == b)
-        columns.append(_svm(x[rows], np.where(y[rows] == a, 1.0, -1.0)))
-    model.between = np.stack(columns, axis=1) if columns else np.zeros((x.shape[1], 0))
+        rows = np.flatnonzero((y == a) | (y == b))
+        columns.append(_svm(x.rows(rows), np.where(y[rows] == a, 1.0, -1.0)))
+    model.between = np.stack(columns, axis=1) if columns else np.zeros(((1 << BITS) + 1, 0))
     return model
 
 
@@ -176,15 +203,34 @@ def predict(column: pa.Array, model: LanguageModel) -> tuple[list[str], np.ndarr
     return names, score
 
 
-def fit(docs: DataFrame, per_language: int = 300) -> LanguageModel:
-    """Learns from at most per_language documents of each language, the first by a hash of doc_id, outside the held-out quarter."""
+SALTS = 64
+MOST_TEXTS, MOST_BYTES = 20_000, 64 << 20
+
+
+def fit(docs: DataFrame, per_language: int = 300, most_texts: int = MOST_TEXTS, most_bytes: int = MOST_BYTES) -> LanguageModel:
+    """Learns from at most per_language documents of each language, the first by a hash of doc_id, outside the held-out quarter.
+
+    Of many languages each has fewer, most_texts in all, and most_bytes / languages bytes of whole texts, none of them of over a quarter of that. The first by
+    hash are found in two steps, of a salted part of each language and then of the parts' results, so that a language of any size is split.
+    """
     known = docs.filter(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & (crc_mod(F.col("doc_id"), 4) != 2)).groupBy("doc_id").agg(F.min("lang").alias("lang"))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = {r["doc_id"]: r["lang"] for r in known.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= per_language).collect()}
+    known = known.withColumn("_h", F.xxhash64("doc_id"))
+    first = lambda rows, *by: rows.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy("_h", "doc_id"))).filter(F.col("_n") <= per_language).drop("_n")
+    ids = {r["doc_id"]: (r["lang"], r["_h"]) for r in first(first(known.withColumn("_part", F.pmod("_h", F.lit(SALTS))), "lang", "_part"), "lang").collect()}
     if not ids:
         return LanguageModel([])
-    chosen = docs.sparkSession.createDataFrame(sorted(ids.items()), "doc_id long, _lang string")  # languages x per_language rows
-    rows = docs.select("doc_id", "lang", "text").join(F.broadcast(chosen), "doc_id").filter("lang = _lang").groupBy("doc_id", "lang").agg(F.max("text").alias("text")).collect()
+    languages = {lang for lang, _ in ids.values()}
+    share, seen, chosen = max(1, most_texts // len(languages)), dict.fromkeys(languages, 0), []
+    for doc, (lang, _) in sorted(ids.items(), key=lambda x: (x[1][1], x[0])):
+        seen[lang] += 1
+        if seen[lang] <= share:
+            chosen.append((doc, lang))
+    chosen = docs.sparkSession.createDataFrame(sorted(chosen), "doc_id long, _lang string")  # at most most_texts rows
+    rows = docs.select("doc_id", "lang", "text").join(F.broadcast(chosen), "doc_id").filter("lang = _lang").groupBy("doc_id", "lang").agg(F.max("text").alias("text"))
+    room = most_bytes // len(languages)
+    rows = rows.withColumn("_long", F.coalesce(F.octet_length("text"), F.lit(0))).filter(F.col("_long") <= room // 4)
+    run = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0)  # over at most per_language rows
+    rows = rows.withColumn("_bytes", F.sum("_long").over(run)).filter(F.col("_bytes") <= room).collect()
     rows.sort(key=lambda r: r["doc_id"])
     return train([r["text"] or "" for r in rows], [r["lang"] for r in rows])
 
