@@ -3,9 +3,9 @@
 A text is described by statistics of its bytes, words and lines. Standardised over
 all documents, they pass through cosines of random projections, whose inner products
 approximate a Gaussian kernel. Each partition sums its normal equations over the
-labelled rows; the sums, whose size depends on the number of features alone, give
-the ridge solution. An isotonic fit over binned raw scores turns them into
-probabilities.
+labelled rows, fold by fold; the sums, whose size depends on the number of features alone, give
+the ridge solution, and one without each fold. An isotonic fit over binned raw scores turns them into
+probabilities; the raw scores it learns from are those of the solutions that haven't seen the row.
 
 Defined results: null and empty texts have the statistics 0 and get a score like any
 other. Repeated rows score alike. Null labels are ignored; of several labels of a
@@ -145,33 +145,42 @@ def fit(stats: DataFrame, labels: DataFrame, ridge: float = 1e-4) -> QualityMode
     moments = stats.select(*[F.struct(F.avg(F.col("stats")[k]).alias("m"), F.stddev_pop(F.col("stats")[k]).alias("s")).alias(f"f{k}") for k in range(len(NAMES))]).first()
     model = QualityModel(np.array([c["m"] or 0.0 for c in moments]), np.array([max(c["s"] or 0.0, 1e-6) for c in moments]))
     known = labels.select("doc_id", F.col("quality").cast("int").alias("y")).filter(F.col("y").isin(0, 1) & (crc_mod(F.col("doc_id"), 5) != 0)).groupBy("doc_id").agg(F.max("y").alias("y"))
-    rows = stats.join(known, "doc_id").select("stats", "y")
+    rows = stored(stats.join(known, "doc_id").select("stats", "y", crc_mod(F.col("doc_id"), 5).cast("int").alias("fold")), work_dir(spark, "quality") + "/labelled")
     size = FEATURES + 1
 
     def normal_equations(batches):
-        a, b = np.zeros((size, size)), np.zeros((size, 2))
+        sums: dict[int, np.ndarray] = {}
         for batch in batches:
             z = model.features(_matrix(batch))
-            y = np.asarray(batch.column("y"), dtype=np.float64)
-            a += z.T @ z
-            b += np.column_stack([z.T @ y, np.zeros(size)])
-            b[0, 1] += len(y)
-        if b[0, 1]:
-            both = np.column_stack([a, b])
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(size)), pa.array(list(both), pa.list_(pa.float64()))], names=["row", "sums"])
-
-    parts = rows.mapInArrow(normal_equations, "row long, sums array<double>")
-    summed = parts.groupBy("row").agg(*[F.sum(F.col("sums")[k]).alias(f"s{k}") for k in range(size + 2)]).orderBy("row")
-    both = np.array([r[1:] for r in summed.collect()], dtype=np.float64)  # FEATURES + 1 rows
-    if not len(both):
+            y, fold = np.asarray(batch.column("y"), dtype=np.float64), np.asarray(batch.column("fold"))
+            for k in np.unique(fold).tolist():
+                mine = z[fold == k]
+                part = np.column_stack([mine.T @ mine, mine.T @ y[fold == k], np.zeros(size)])
+                part[0, -1] = len(mine)
+                sums[k] = sums[k] + part if k in sums else part
+        for k, part in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(size, k)), pa.array(np.arange(size)), pa.array(list(part), pa.list_(pa.float64()))], names=["fold", "row", "sums"])
+
+    parts = rows.mapInArrow(normal_equations, "fold long, row long, sums array<double>")
+    summed = parts.groupBy("fold", "row").agg(*[F.sum(F.col("sums")[k]).alias(f"s{k}") for k in range(size + 2)])
+    folds: dict[int, np.ndarray] = {}
+    for r in summed.collect():  # FEATURES + 1 rows for each of four folds
+        folds.setdefault(r[0], np.zeros((size, size + 2)))[r[1]] = r[2:]
+    if not folds:
         return model
-    n = both[0, size + 1]
-    model.weights = np.linalg.solve(both[:, :size] + ridge * n * np.eye(size), both[:, size])
-    shared = spark.sparkContext.broadcast(model)
+    every = sum(folds.values())
+    solve = lambda s: np.linalg.solve(s[:, :size] + ridge * max(1.0, s[0, -1]) * np.eye(size), s[:, size])
+    model.weights = solve(every)
+    without = {k: solve(every - s) if len(folds) > 1 else model.weights for k, s in folds.items()}
+    shared = spark.sparkContext.broadcast((model, without))
 
     def binned(batches):
+        fitted, unseen = shared.value
         for batch in batches:
-            raw = shared.value.raw(_matrix(batch))
+            z, fold = fitted.features(_matrix(batch)), np.asarray(batch.column("fold"))
+            raw = np.zeros(len(z))
+            for k in np.unique(fold).tolist():
+                raw[fold == k] = z[fold == k] @ unseen[k]
             yield pa.RecordBatch.from_arrays([pa.array(np.clip(np.floor((raw + 0.5) * BINS / 2), 0, BINS - 1).astype(np.int64)), pa.array(raw), batch.column("y").cast(pa.float64())], names=["bin", "raw", "y"])
 
     bins = rows.mapInArrow(binned, "bin long, raw double, y double").groupBy("bin").agg(F.avg("raw").alias("x"), F.avg("y").alias("y"), F.count("y").alias("n")).collect()  # at most BINS rows

@@ -65,6 +65,22 @@ def test_toxicity(spark, docs, labels):
 
 
 @pytest.mark.skipif(not SF.exists(), reason="no test tables")
+def test_training_samples_are_bounded_in_bytes(spark):
+    rows = [(k, "x" * (50 if k % 3 else 1000), "ab"[k % 2], "s", 0) for k in range(60)]
+    docs, labels = spark.createDataFrame(rows, DOCS), spark.createDataFrame([(k, 0, k % 2) for k in range(60)], "doc_id long, quality int, toxic int")
+    texts, y = toxicity.labelled_sample(docs, labels, "toxic", F.lit(False), 30, 400)
+    assert all(len(t) == 50 for t in texts) and sum(map(len, texts)) <= 800 and len(texts) == 16 and y.sum() == 8
+    assert langid.fit(docs, 5, 4, 10_000).languages == ["a", "b"]
+    assert langid.fit(docs, 5, 4, 10).languages == []  # every text is too long
+
+
+@pytest.mark.skipif(not SF.exists(), reason="no test tables")
+def test_language_of_held_out_documents(spark):
+    sf = "/root/testdata/sf0.01"
+    got = queries()["op6_language"](spark, sf).filter("held_out").join(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang"), "doc_id").filter("lang IS NOT NULL").select("lang_pred", "lang").collect()
+    assert len(got) > 100 and sum(a == b for a, b in got) / len(got) >= 0.95
+
+
 @pytest.mark.parametrize("name, column, least", [("op1_toxicity", "toxic", 0.85), ("op3_quality", "quality", 0.9)])
 def test_held_out_accuracy(spark, name, column, least):
     sf = "/root/testdata/sf0.01"
@@ -72,6 +88,43 @@ def test_held_out_accuracy(spark, name, column, least):
     assert len(got) > 20 and sum(a == b for a, b in got) / len(got) >= least
 
 
+def test_toxicity_scores_are_the_noisy_or_of_sentences(spark):
+    """Brute force: sentences by a regular expression, one logit each from the model's weights, word by word."""
+    rng = random.Random(8)
+    clean = [" ".join(rng.choice("alpha beta gamma delta omega".split()) for _ in range(9)) for _ in range(60)]
+    model = toxicity.train([c + (". You vile idiot! " if k % 2 else ". ") + c for k, c in enumerate(clean)], np.arange(60) % 2)
+    texts = ["You vile idiot! Alpha beta.  Idiot?\nomega é. vile", "", None, "no end", "... !?", "a.b vile"]
+
+    def brute(text):
+        stay, found = 1.0, []
+        pieces = [(m.start(), m[0]) for m in re.finditer(r"[^\x20\x09-\x0D]+", text or "")]
+        sentences, last = [], -1
+        for at, word in pieces:
+            if last < 0 or re.search(r"[!.?\n]", (text or "")[last:at]):
+                sentences.append([])
+            sentences[-1].append((at, word))
+            last = at
+        for k, words in enumerate(sentences):
+            z = model.bias
+            for _, w in words:
+                data = np.frombuffer(w.encode(), dtype=np.uint8)
+                for h in toxicity.Words(data, np.array([0, len(data)])).hashes(*toxicity.CUTS):
+                    z += float(model.weights[int(h[0] >> np.uint64(64 - toxicity.BITS))])
+            p = 1 / (1 + np.exp(-z))
+            stay *= 1 - p
+            if p >= 0.5:
+                found.append((k, len((text or "")[: words[0][0]].encode()), len((text or "")[: words[-1][0]].encode()) + len(words[-1][1].encode())))
+        return 1 - stay, found
+
+    score, found = toxicity.score_and_locate(pa.array(texts), model)
+    for k, t in enumerate(texts):
+        want, where = brute(t)
+        assert score[k] == pytest.approx(want, abs=1e-6)
+        mine = found.row == k
+        assert list(zip(found.sentence[mine].tolist(), found.start[mine].tolist(), found.end[mine].tolist(), strict=True)) == where
+    assert len(found.row) >= 2
+
+
 def test_quality(spark, docs, labels):
     out = quality.score_documents(docs, labels).collect()
     assert len(out) == len(ROWS) and all(0 <= r["score"] <= 1 for r in out)
