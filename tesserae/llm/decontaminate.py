@@ -9,7 +9,8 @@ whole) is searched backwards, all phrases at once; occurrences are located by wa
 back to sampled suffix positions; and their spans are merged in each document.
 
 Separators order by position, so suffixes compare no further than the end of their
-run; run starts are sampled, so that no walk crosses one.
+run; run starts are sampled, so that no walk crosses one. Words are compared by 64-bit hashes; equal hashes of
+different words (2**-64 a pair) would count as one word.
 
 The benchmark travels in blocks of bounded size. There is one pass over the
 documents for each block, and documents never move between tasks.
@@ -433,3 +434,17 @@ def cut_contaminated(docs: DataFrame, benchmark: DataFrame, phrase: int = PHRASE
         if found.isEmpty():
             return out
         rest, k = _without_spans(rest, found), k + 1
+
+
+ORACLE_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+i AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE item_id IS NOT NULL),
+p AS (SELECT DISTINCT item_id, least(13, len(w)) AS k, array_to_string(w[a:a + least(13, len(w)) - 1], ' ') AS phrase FROM (SELECT *, unnest(range(1, len(w) - least(13, len(w)) + 2)) AS a FROM i WHERE len(w) > 0)),
+x AS (SELECT r, k, a, array_to_string(w[a:a + k - 1], ' ') AS phrase FROM (SELECT r, w, k, unnest(range(1, len(w) - k + 2)) AS a FROM d, (SELECT DISTINCT k FROM p) WHERE len(w) >= k)),
+h AS (SELECT x.r, x.a, x.k, p.item_id FROM x JOIN p ON x.k = p.k AND x.phrase = p.phrase),
+n AS (SELECT r, count(DISTINCT spot) AS n_hit FROM (SELECT r, unnest(range(a, a + k)) AS spot FROM h) GROUP BY r),
+g AS (SELECT r, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS names FROM h GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(names, '')) AS items_sha256,
+    coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN n USING (r) LEFT JOIN g USING (r)
+"""

@@ -579,3 +579,15 @@ def keep_one(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10) -> DataFr
     whole = F.struct(*docs.columns)
     one = by_rows(docs, copies, "left_semi").groupBy(F.col("doc_id").alias("_row_id"), text_key(F.col("text")).alias("_row_key")).agg(F.min_by(whole, F.to_json(whole)).alias("_row"))
     return out.unionByName(one.select("_row.*"))
+
+
+ORACLE_SQL = r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT r, shingle FROM (SELECT r, unnest(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS shingle FROM d)),
+n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+c AS (SELECT x.r AS a, y.r AS b, count(*) AS c FROM s x JOIN s y ON x.shingle = y.shingle AND x.r <> y.r GROUP BY ALL),
+l AS (SELECT a, b FROM c JOIN n p ON p.r = a JOIN n q ON q.r = b WHERE 100 * c >= 90 * (p.n + q.n - c)),
+t AS (SELECT r, r AS o FROM d UNION SELECT t.r, l.b FROM t JOIN l ON t.o = l.a)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, m.component_id FROM d LEFT JOIN n USING (r)
+JOIN (SELECT t.r, min(e.doc_id) AS component_id FROM t JOIN d e ON e.r = t.o GROUP BY t.r) m USING (r)
+"""

@@ -62,4 +62,6 @@ def oracle_sql() -> dict[str, str]:
         "op4_sharding": f"SELECT doc_id, ({sharding.oracle_table()})[{sharding.ORACLE_SLOT} + 1]::INT AS shard FROM documents",
         "op5_chat_format": chat_format.ORACLE_SQL,
         "op7_exact_dedup": exact_dedup.ORACLE_SQL,
+        "op8_decontamination": decontaminate.ORACLE_SQL,
+        "op9_jaccard_join": jaccard_join.ORACLE_SQL,
     }

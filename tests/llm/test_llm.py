@@ -134,6 +134,31 @@ def test_quality(spark, docs, labels):
     assert x.tolist() == [1, 2.5, 4] and y.tolist() == [0, 0.5, 1]
 
 
+def test_quality_statistics_and_scores_by_brute_force():
+    texts = ["Aa bb. Aa!\nAa bb. Aa!\nx", "", "é 12 | 34 \"q\"", "THE END of extraordinarilylong words of of"]
+    space = re.compile(r"[^\x20\x09-\x0D]+")
+    got = quality.statistics(pa.array(texts))
+    at = quality.NAMES.index
+    for row, t in zip(got, texts, strict=True):
+        raw, words = t.encode(), space.findall(t.translate(ASCII))
+        size, n = max(1, len(raw)), max(1, len(words))
+        lines = [tuple(w) for w in (space.findall(x.translate(ASCII)) for x in t.split("\n")) if w]
+        want = {
+            "upper": sum(65 <= b <= 90 for b in raw) / size, "lower": sum(97 <= b <= 122 for b in raw) / size, "digit": sum(48 <= b <= 57 for b in raw) / size, "wide": sum(b >= 128 for b in raw) / size, "full_stop": raw.count(b".") / size,
+            "log_bytes": np.log1p(len(raw)), "log_words": np.log1p(len(words)), "word_length": sum(len(w.encode()) for w in words) / n, "long_words": sum(len(w.encode()) > 14 for w in words) / n, "short_words": sum(len(w.encode()) < 3 for w in words) / n,
+            "again": sum(a == b for a, b in zip(words, words[1:], strict=False)) / n, "distinct_words": len(set(words)) / n, "distinct_lines": len(set(lines)) / max(1, len(lines)), "line_words": len(words) / max(1, len(lines)) / 100,
+        }
+        assert {k: pytest.approx(float(row[at(k)]), abs=1e-9) for k in want} == want
+    rng = np.random.default_rng(1)
+    model = quality.QualityModel(got.mean(axis=0), np.maximum(got.std(axis=0), 1e-6), rng.normal(size=quality.FEATURES + 1), np.array([-1.0, 0.0, 1.0]), np.array([0.0, 0.2, 1.0]))
+    draws = np.random.Generator(np.random.PCG64(7))
+    project, phase = draws.normal(size=(len(quality.NAMES), quality.FEATURES)) / np.sqrt(len(quality.NAMES)) * 0.7, draws.uniform(0, 2 * np.pi, quality.FEATURES)
+    for row, score in zip(got, model.score(got), strict=True):
+        x = np.clip((row - model.mean) / model.spread, -6, 6)
+        raw = sum(np.sqrt(2 / quality.FEATURES) * np.cos(x @ project[:, k] + phase[k]) * model.weights[k] for k in range(quality.FEATURES)) + model.weights[-1]
+        assert score == pytest.approx(np.clip(np.interp(raw, [-1, 0, 1], [0, 0.2, 1]), 0, 1))
+
+
 def test_statistics_do_not_depend_on_chunks(monkeypatch):
     texts = ["Aa bb. Aa!\nAa bb. Aa!\nx", None, "", "é 12 | 34", "q"]
     whole = quality.statistics(pa.array(texts))
@@ -257,6 +282,40 @@ def test_language(spark, docs):
     assert langid.predict_documents(none_of(docs)).count() == 0
 
 
+def test_language_votes_by_brute_force():
+    """Relative frequencies of byte trigrams and four-grams in a table, the family of the greatest margin, then votes."""
+    syllables = {"aa": "ou eau les", "ab": "ou eux lez", "ac": "ou eaz lex", "ba": "sch ung der", "bb": "sch ich den"}
+    rng = random.Random(6)
+    made = [(" ".join(rng.choice(s.split()) for _ in range(30)), k) for k, s in syllables.items() for _ in range(20)]
+    model = langid.train(*map(list, zip(*made, strict=True)))
+    texts = [t for t, _ in made[::7]] + ["Ou, EAU! les 12 lez é", "der den sch", "12"]
+    names, score = langid.predict(pa.array([*texts, texts[0] * 400]), model)
+
+    def slot(gram):
+        h = (int.from_bytes(gram, "big") * 0x9E3779B97F4A7C15 + len(gram)) * 0xD6E8FEB86659FD93 % 2**64
+        return h >> (64 - langid.BITS)
+
+    for text, name, sure in zip(texts, names, score, strict=False):
+        raw = bytes(b if 97 <= b <= 122 or b >= 128 else 32 for b in text.lower().encode())
+        grams = Counter(slot(raw[a : a + w]) for w in (3, 4) for a in range(len(raw) - w + 1) if raw[a : a + w].strip(b" "))
+        x = np.zeros((1 << langid.BITS) + 1)
+        for k, n in grams.items():
+            x[k] = n / grams.total() * np.sqrt(1 << langid.BITS)
+        x[-1] = 1
+        if not re.search("[a-z]", text.lower()):
+            assert name == "und" and sure == 0
+            continue
+        family = model.families[int(np.argmax(x @ model.family))]
+        wins, sums = Counter(), Counter()
+        for j, (a, b) in enumerate(model.pairs):
+            if a in family:
+                z = x @ model.between[:, j]
+                wins[a if z > 0 else b] += 1
+                sums[a] += z
+                sums[b] -= z
+        assert name == model.languages[max(family, key=lambda k: (wins[k], sums[k], -k))]
+
+
 def _dedup_brute(rows):
     norm = [(r[0], (r[1] or "").translate(ASCII)) for r in rows]
     groups = defaultdict(list)
@@ -544,6 +603,78 @@ def test_query_equals_its_sql(spark, name):
     assert sorted(str(tuple(r)) for r in df.select(*columns).collect()) == sorted(map(str, want))
 
 
+def _tables(tmp_path, spark, docs, labels, bench):
+    for name, df in (("documents", docs), ("labels", labels), ("benchmark", bench)):
+        df.coalesce(2).write.parquet(str(tmp_path / f"{name}.parquet"))
+    return str(tmp_path)
+
+
+def test_pipeline_on_odd_tables(spark, docs, tmp_path):
+    import corpus_pipeline
+
+    item = " ".join(f"w{k}" for k in range(20))
+    text = lambda of, n=60: " ".join(f"{of}{k}" for k in range(n))
+    extra = [(20, text("p") + " " + item, "en", "a", 0), (21, text("q"), "en", "a", 0), (22, text("q") + " more", "en", "b", 0), (21, text("q"), "en", "a", 0), (None, text("r"), None, None, None), (None, text("r"), None, None, None), (None, text("s") + " " + item, "en", "a", 0)]
+    mine = [c for c in docs.columns if c not in DOCS_NAMES]
+    more = spark.createDataFrame(extra, DOCS).select(*DOCS_NAMES, *[F.lit("mine").alias(c) for c in mine])
+    labels = spark.createDataFrame([(1, 1, 0), (None, None, 1)], "doc_id long, quality int, toxic int")
+    bench = spark.createDataFrame([(1, item), (None, "no id here"), (2, None)], "item_id long, text string")
+    path = _tables(tmp_path, spark, docs.unionByName(more), labels, bench)
+    out = corpus_pipeline.run(spark, path)
+    assert out.columns == [*docs.columns, "shard_"] and all(r[c] == "mine" for r in out.collect() for c in mine)
+    got = Counter((r["doc_id"], (r["text"] or "")[:4]) for r in out.collect())
+    # clean, one of each group of near copies (rows without words stay), no benchmark passage; each as often as its source's budget takes it
+    assert set(got) <= {(1, "The "), (3, ""), (4, ""), (None, "no i"), (None, ""), (5, " \n\t "[:4]), (6, "É é "), (7, "word"), (8, "x"), (21, "q0 q"), (None, "r0 r")}
+    assert {(3, ""), (4, ""), (None, "")} <= set(got) and max(got.values()) <= 3
+    assert (20, "p0 p") not in got and (None, "s0 s") not in got and (22, "q0 q") not in got and (2, "the ") not in got
+
+
+def test_pipeline_of_nothing(spark, docs, labels, tmp_path):
+    import corpus_pipeline
+
+    bench = spark.createDataFrame([(1, "a b c")], "item_id long, text string")
+    path = _tables(tmp_path, spark, none_of(docs), none_of(labels), none_of(bench))
+    out = corpus_pipeline.run(spark, path)
+    assert out.columns == [*docs.columns, "shard_"] and out.count() == 0
+
+
+@pytest.mark.skipif(not SF.exists(), reason="no test tables")
+def test_stages_against_brute_force(spark):
+    """Each stage on what its predecessor kept."""
+    import corpus_pipeline
+
+    docs, sf = spark.read.parquet(str(SF / "documents.parquet")), str(SF)
+    rows = lambda df: [(r["doc_id"], r["text"], r["source"]) for r in df.collect()]
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+    source = rows(docs)
+    scores = toxicity.score_texts(pa.array([t for _, t, _ in source], pa.large_string()), model)
+    calm = corpus_pipeline.drop_toxic(spark, docs, sf).cache()
+    assert sorted(rows(calm)) == sorted(r for r, s in zip(source, scores, strict=True) if s < 0.5) and 0 < calm.count() < docs.count()
+    one = corpus_pipeline.keep_one_of_near_copies(spark, calm, sf).cache()
+    near = _components_brute([r[:2] for r in rows(calm)], 5, 8, 10)
+    assert sorted(r[0] for r in rows(one)) == sorted(int(d) for d, n, c in near if n == 0 or d == c)
+    clean = corpus_pipeline.drop_contaminated(spark, one, sf).cache()
+    items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    left = [r for r, (_, h, _) in zip(rows(one), _leaks_brute([r[1] for r in rows(one)], items, 13), strict=True) if h == 0]
+    assert sorted(rows(clean)) == sorted(left)
+    mixed = rows(corpus_pipeline.mix_sources(spark, clean, sf))
+    # by hand: sources in order of their random keys, whole epochs, then up to the budget; a part of a document counts from half
+    total, target = _mix_brute([(d, t, s) for d, t, s in left])
+    want = Counter()
+    for s in total:
+        mine = sorted(((hashlib.md5(str(d).encode()).hexdigest(), d, len(re.findall(r"[^\x20\x09-\x0D]+", t))) for d, t, x in left if x == s))
+        budget = int(target[s] + 0.5)
+        epochs, rest = divmod(budget, total[s]) if total[s] else (0, 0)
+        for _, d, n in mine:
+            part = max(0, min(n, rest))
+            rest -= part
+            want[d] += int((epochs * n + part) / n + 0.5) if n else 1
+    assert Counter(d for d, _, _ in mixed) == +want
+    shards = corpus_pipeline.place_in_shards(spark, clean, sf).collect()
+    table = sharding.fill_table(sharding.shard_names())
+    assert len(shards) == len(left) and all(r["shard"] == table[int(hashlib.md5(str(r["doc_id"]).encode()).hexdigest()[:15], 16) % len(table)] for r in shards)
+
+
 @pytest.mark.skipif(not SF.exists(), reason="no test tables")
 def test_pipeline(spark):
     import corpus_pipeline
