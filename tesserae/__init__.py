@@ -6,10 +6,10 @@ from .operators.adapters import Adapter, conforms, drive, to_constraints, to_jso
 from .operators.instance import Maker, Instance, Layered, initialize, layer
 from .plans.bounds import Bound, effective_discrete, exclusive, to_bound
 from .plans.compiler import ProduceContext, Trace
-from .plans.kinds import OMITTED, Registry, Schema, registry
+from .plans.kinds import OMITTED, Registry, Schema, registry, whole_value
 
 __all__ = [
     "OMITTED", "Adapter", "Bound", "Custom", "EngineError", "Maker", "Instance", "Layered", "Logarithmic", "Multi", "Normal", "ProduceContext", "Registry",
     "Schema", "Skew", "Trace", "Triangular", "Uniform", "conforms", "drive", "effective_discrete", "exclusive", "initialize", "layer", "registry", "to_bound", "to_constraints",
-    "to_json_schema", "to_struct_type",
+    "to_json_schema", "to_struct_type", "whole_value",
 ]

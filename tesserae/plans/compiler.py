@@ -9,7 +9,6 @@ a presence column says how: value, null, undefined or omitted.
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column
@@ -207,7 +206,7 @@ def _integer(s, ctx, pin):
 
 def _sequence(s, ctx, pin):
     if ctx.sequence is None:
-        raise MissingOrdinalError("a sequence needs a dense ordinal: make(n), make_onto() a key, or a stream whose key is dense")
+        raise MissingOrdinalError("a sequence needs a dense ordinal: make(n), make_onto() a key, or a stream whose key is dense; and arrays and records around it need one length")
     return Out(ctx.sequence.cast("long"), T.LongType())
 
 
@@ -408,8 +407,10 @@ def _absent(s, ctx, pin):
     return Out(value, inner.dtype, pick(lambda n: own if n == "value" else F.lit(n)), undefined=s.kind != "nullable" or inner.undefined)
 
 
-def _deeper(ctx: Context, suffix: Column) -> Context:
-    return replace(ctx, ordinal=F.concat(ctx.ordinal, F.lit("."), suffix.cast("string")), sequence=None)
+def _deeper(ctx: Context, suffix: Column, each: int | None = None) -> Context:
+    """The context of an element; where every row has `each` of them, elements are numbered on from row to row."""
+    sequence = None if ctx.sequence is None or each is None else (ctx.sequence.cast("long") - 1) * F.lit(each) + suffix + F.lit(1)
+    return replace(ctx, ordinal=F.concat(ctx.ordinal, F.lit("."), suffix.cast("string")), sequence=sequence)
 
 
 def _element(out: Out) -> tuple[Column, T.DataType]:
@@ -428,7 +429,7 @@ def _array(s, ctx, pin):
     types: list[T.DataType] = []
 
     def element(i: Column) -> Column:
-        value, dtype = _element(compile_node(s.meta["inner"], _deeper(ctx.at("element"), i)))
+        value, dtype = _element(compile_node(s.meta["inner"], _deeper(ctx.at("element"), i, low if low == high else None)))
         types.append(dtype)
         return value
 
@@ -462,8 +463,8 @@ def _record(s, ctx, pin):
     types: list[T.DataType] = []
 
     def pair(i: Column) -> Column:
-        key = compile_node(s.meta["key"], _deeper(ctx.at("key"), i))
-        value, dtype = _element(compile_node(s.meta["value"], _deeper(ctx.at("value"), i)))
+        key = compile_node(s.meta["key"], _deeper(ctx.at("key"), i, low if low == high else None))
+        value, dtype = _element(compile_node(s.meta["value"], _deeper(ctx.at("value"), i, low if low == high else None)))
         types.append(dtype)
         return F.struct(key.value.cast("string").alias("k"), i.alias("i"), value.alias("v"))
 

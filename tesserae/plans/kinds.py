@@ -84,8 +84,23 @@ def check_fields(fields: dict) -> dict:
     return fields
 
 
+@dataclass(frozen=True)
+class Whole:
+    value: dict
+
+
+def whole_value(value: dict) -> Whole:
+    """Marks a value that takes its place whole where dictionaries are merged."""
+    return Whole(value)
+
+
 def deep_merge(a: dict, b: dict) -> dict:
-    return {**a, **{k: deep_merge(a[k], v) if isinstance(v, dict) and isinstance(a.get(k), dict) else v for k, v in b.items()}}
+    def merged(k, v):
+        if isinstance(v, Whole):
+            return v.value
+        return deep_merge(a[k], v) if isinstance(v, dict) and isinstance(a.get(k), dict) else v
+
+    return {**a, **{k: merged(k, v) for k, v in b.items()}}
 
 
 def to_schema(x) -> Schema:

@@ -25,8 +25,8 @@ from .operators.instance import caller_file, derive_clock, env_seed, initialize,
 from .plans.bounds import Bound, effective_discrete, epoch_ms, exclusive, length_range
 from .plans.compiler import Trace
 from .plans.enumeration import plan
-from .plans.kinds import OMITTED, contains_self, registry, terminate, violates_kind
-from .queries import CLOCK, C, E, O, P, among, at, lane, on, pick, prefix, then, u, whole
+from .plans.kinds import OMITTED, contains_self, registry, terminate, violates_kind, whole_value
+from .queries import CLOCK, C, O, P, among, at, lane, on, pick, prefix, then, u, whole
 from .sources.tables import read_table
 
 T = registry
@@ -323,7 +323,7 @@ def _instances(spark, sf_dir):
         "wrap ends": lambda: list(base.context.seed), "fork draws alike": lambda: first(base.fork(seed="k"), file="f") == first(base.fork(seed="k"), file="f"), "constructions differ": lambda: (lambda w: first(w, file="f") != first(w, file="f"))(base.fork()), "ordinals": ordinals,
         "pins": lambda: trace_of(base.Maker(number, clock=6, root="attributed", file="f", path=("p",), kind="number", ordinal=3)), "trace of a seed": lambda: trace_of(base.Maker(number, seed=layer("more"))), "replay": lambda: trace_of(base.Maker(number, trace=Trace(("z",), 1, "attributed", "f", ("p",), "number", 2))),
         "children": lambda: [list(built.children), list(built.children["a"].children), list(built.children["a"].children["element"].children), list(built.children["a"].children["element"].children["0"].children)], "rehydrate": lambda: [base.Maker(built).schema.kind, list(built.schema.meta["fields"])],
-        "registry extends": lambda: [sorted(T.extend({"mine": {"a": number}}).mine.__dir__()), hasattr(T, "mine")], "limit": lambda: base.combinatorial(T.enum.uniform(list(range(1024)))).count(),
+        "registry extends": lambda: [sorted(T.extend({"mine": {"a": number}}).mine.__dir__()), hasattr(T, "mine")], "registry replaces": lambda: [sorted(T.extend({"m": {"a": number, "b": number}}).extend({"m": more}).m.__dir__()) for more in ({"c": number}, whole_value({"c": number}))], "limit": lambda: base.combinatorial(T.enum.uniform(list(range(1024)))).count(),
     })
 
 
@@ -331,7 +331,7 @@ INSTANCES = {
     "encode": '[["a","é"],5,"unattributed",null,["x","0"],"enum",null]', "normalize_seed": '[["a"], ["a", "b"], ["a"]]', "env_seed": '["from env", ["from env"]]', "random_seed": "true", "layer": '["a", "b", "c"]', "clock given": "5", "clock seeded": "true", "clock of the wall": "true",
     "attribution none": "null", "attribution rooted": "dir/file.py", "attribution ascends": "../dir/file.py", "attribution by default": "true", "attribution of a URL": "/a b", "fork keeps its parent": '[["f"], 7, 1024, 9]', "wrap": '[["k", "deep"], ["k", "deep"], ["k", "deep"], ["a", "x"]]', "wrap ends": '["a"]',
     "fork draws alike": "true", "constructions differ": "true", "ordinals": "[0, 1, 0, 9, 2]", "pins": '[["a"],6,"attributed","f",["p"],"number",3]', "trace of a seed": '[["a","more"],5,"unattributed",null,[],"number",null]', "replay": '[["z"],1,"attributed","f",["p"],"number",2]',
-    "children": '[["a"], ["element"], ["0"], ["definition"]]', "rehydrate": '["object", ["a"]]', "registry extends": '[["a"], false]', "limit": "1024",
+    "children": '[["a"], ["element"], ["0"], ["definition"]]', "rehydrate": '["object", ["a"]]', "registry extends": '[["a"], false]', "registry replaces": '[["a", "b", "c"], ["c"]]', "limit": "1024",
 }
 
 
@@ -381,6 +381,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "q_root_optional_scalar": on("orders", O, lambda: T.undefinable(T.number.integer.whereby(0, 9))),
         "q_null_key": _null_key,
         "q_sequence_string": on("customer", "c_name", lambda: T.object({"n": T.number.integer.sequence()})),
+        "q_sequence_array": then(on("customer", C, lambda: T.object({"a": T.array(T.tuple([T.number.integer.sequence(), T.array(T.number.integer.sequence()).whereby(2)])).whereby(3)})), C, "a[1]._0 one", "a[2]._1[1] two"),
         "q_array_presence": then(on("customer", C, nested), C, "size(a) n", "size(filter(a, x -> x.presence = 'undefined')) undefined", "aggregate(a, 0L, (s, x) -> s + coalesce(x.value, 0L)) total", "size(filter(r, x -> x IS NULL)) nulls"),
         "q_custom_algorithm": _custom_algorithm,
         "q_xxhash64": _xxhash64,
@@ -443,6 +444,7 @@ def oracle_sql() -> dict[str, str]:
         "q_root_optional_scalar": f"SELECT {o}, {pick(undefinable, (1, 'NULL'), (1, whole(u('number.integer', 'definition', key=o), 0, 9)))} AS value, {pick(undefinable, (1, "'undefined'"), (1, "'value'"))} AS value__presence FROM orders",
         "q_null_key": f"SELECT CASE WHEN {o} % 5 <> 0 THEN {o} END AS k, {whole(u('number.integer', 'x', key=key), 0, 9)} AS x FROM orders",
         "q_sequence_string": "SELECT c_name, row_number() OVER (ORDER BY c_name) AS n FROM customer",
+        "q_sequence_array": f"SELECT {c}, (r - 1) * 3 + 2 AS one, ((r - 1) * 3 + 2) * 2 + 2 AS two FROM (SELECT {c}, row_number() OVER (ORDER BY {c}) AS r FROM customer)",
         "q_array_presence": f"SELECT {c}, {n_elements}::INT AS n, len(list_filter(range({n_elements}), lambda i: NOT ({there('i')})))::INT AS undefined, coalesce(list_sum(list_transform(list_filter(range({n_elements}), lambda i: {there('i')}), lambda i: {element('i')})), 0)::BIGINT AS total, len(list_filter(range(2), lambda i: {is_null('i')}))::INT AS nulls FROM customer",
         "q_custom_algorithm": f"SELECT {c}, {at(sha('number', ('x',), "'0'"), 0, 1)} AS x, array_to_string(list_transform(range(3), lambda i: chr({sha_char('i')})), '') AS s, floor({sha('bigint', ('b',), "'a0.0'")} * 4294967296.0::DOUBLE)::BIGINT + floor({sha('bigint', ('b',), "'a0.1'")} * 256.0::DOUBLE)::BIGINT * 4294967296 AS b FROM customer",
         "q_xxhash64": "SELECT count(*) AS n, count(*) AS inside, true AS even, count(*) AS digits FROM orders",

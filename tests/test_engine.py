@@ -205,3 +205,5 @@ def test_streams_make_the_same_rows(spark, world, tmp_path):
     assert sorted(tuple(r) for r in f.make_onto(spark.range(20), "id").collect()) == want
     with pytest.raises(errors.MissingOrdinalError):
         make_on_stream(f, stream, "id")
+    with pytest.raises(errors.MissingOrdinalError):
+        world.Maker(T.array(T.number.integer.sequence()).whereby((0, 2)), seed="st").make(1)
