@@ -4,17 +4,14 @@ A document's set holds the 64-bit hashes of its distinct word n-grams (a shorter
 document: its whole sequence). With d the size of the symmetric difference, a similarity of
 num/den or more means d <= (|x| + |y|)(den - num) / (den + num).
 
-Index. Sizes fall into classes, each as wide as a similar pair's sizes can differ.
-In a class the range of hashes is cut into positions, more than d can be, so that
-a similar pair agrees on the whole content of one position at least. A list of the
-index holds the sets with equal content at one position of one class; lists of one
-set are skipped. Positions are numerous enough that empty ones can be skipped as
-well; the rare sets with more empty positions than that are listed under empty
-positions too, which keeps the join exact.
+Index. All items have one order, in which those that are frequent in a sample of documents come last. Two similar sets share an item
+among the first size - ceil(size * num / den) + 1 of each, whatever the order. A list of the index holds the sets that have
+an item among these; lists of one set are skipped. As frequent items come last, a passage that many documents share
+lists a document only if little else is in it.
 
 Before any set travels, the members of a cell are compared by bitmaps: the parity of
-the number of hashes in each of 512 ranges. Two bitmaps differ in no more bits than
-their sets do, so a member whose bitmap is too far from all others leaves the cell.
+the number of items in each of 512 parts or more, twice as many as the set has items; a longer one is folded to a shorter one's length. Two bitmaps
+differ in no more bits than their sets do, so a member whose bitmap is too far from all others leaves the cell.
 
 Answers. The first set of a list leads it. A set joins the cell of each leader of its
 lists, so two similar sets meet in a cell. Within a cell members are compared with
@@ -40,7 +37,7 @@ different n-grams (2**-64 a pair) would count as one n-gram.
 
 from __future__ import annotations
 
-import math
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -54,6 +51,7 @@ from ._common import U64, Words, by_rows, mix, release, remove, row_sums, small_
 CELL_ROWS = 2048
 CELL_ITEMS = 2_000_000
 BITMAP = 512
+SAMPLE_ROWS, FREQUENT = 2048, 3
 LONG_LIST = 200_000  # rows
 SAMPLED = 64  # one node in so many tells which lists are long; this decides the plan, never a result
 MOST_BROADCAST = 1_000_000  # lists
@@ -84,66 +82,38 @@ def shingle_sets(data: np.ndarray, off: np.ndarray, n: int):
             yield grams[:0]
 
 
-class Positions:
-    """Size classes and the number of positions of each."""
-
-    def __init__(self, num: int, den: int, width: float = 1.3):
-        if not 0 < num <= den:
-            raise ValueError("the similarity must be above 0 and at most 1")
-        self.num, self.den, self.width = num, den, max(width, den / num)
-        self.low = [1]
-        self._edges: dict[int, tuple[int, int, np.ndarray]] = {}
-
-    def _reach(self, c: int) -> None:
-        while len(self.low) <= c + 2:
-            self.low.append(max(self.low[-1] + 1, math.ceil(self.low[-1] * self.width)))
-
-    def classes(self, size: int) -> list[int]:
-        """The set's own class, and the next if a similar set can be there."""
-        while self.low[-1] <= size:
-            self._reach(len(self.low))
-        own = int(np.searchsorted(self.low, size, side="right")) - 1
-        self._reach(own)
-        return [own, own + 1] if size * self.den >= self.num * self.low[own + 1] else [own]
-
-    def of(self, c: int) -> tuple[int, int, np.ndarray]:
-        """Positions of class c, how many may be empty, and the hashes at which they begin."""
-        if c not in self._edges:
-            self._reach(c)
-            high, least = self.low[c + 1] - 1, math.ceil(self.low[c] * self.num / self.den)
-            differ = 2 * high * (self.den - self.num) // (self.den + self.num)
-            spare, k = 0, differ + 1
-            for _ in range(30):
-                empty = k * math.exp(-max(1, least) / k)
-                more = math.ceil(empty + 4 * math.sqrt(empty)) if k > 1 else 0
-                if more <= spare:
-                    break
-                spare, k = more, differ + 1 + more
-            self._edges[c] = k, k - differ - 1, np.array([(j << 64) // k for j in range(1, k)], dtype=np.uint64)
-        return self._edges[c]
-
-    def signatures(self, s: np.ndarray) -> np.ndarray:
-        """One hash for each (class, position, content) under which the set is listed."""
-        total = np.zeros(len(s) + 1, dtype=np.uint64)
-        np.cumsum(mix(s + U64(0x5851F42D4C957F2D)), out=total[1:])
-        out = []
-        for c in self.classes(len(s)):
-            k, spare, edges = self.of(c)
-            cut = np.concatenate([[0], np.searchsorted(s, edges), [len(s)]])
-            content = total[cut[1:]] - total[cut[:-1]]
-            seed = U64((c * 0x9E3779B97F4A7C15 + 0x1234567) % (1 << 64))
-            sig = mix(mix(content + seed) + np.arange(k, dtype=np.uint64) * U64(0xD6E8FEB86659FD93))
-            empty = cut[1:] == cut[:-1]
-            out.append(sig if empty.sum() > spare else sig[~empty])
-        return np.concatenate(out)
+@dataclass
+class Order:
+    """One order of all items, the rarest first: items that a sample shows to be frequent come last, by frequency; all others by their hash."""
+
+    frequent: np.ndarray  # sorted
+    count: np.ndarray
+
+    def prefix(self, s: np.ndarray, num: int, den: int) -> np.ndarray:
+        """The items under which a set is listed: two similar sets share one of them, whatever the order."""
+        size = len(s) + num * len(s) // -den + 1  # size - ceil(size * num / den) + 1
+        if not len(self.frequent):
+            return s[:size]
+        place = np.minimum(np.searchsorted(self.frequent, s), len(self.frequent) - 1)
+        often = np.where(self.frequent[place] == s, self.count[place], 0)
+        return s[np.lexsort((s, often))[:size]]
 
 
 def bitmap(s: np.ndarray) -> np.ndarray:
-    """Whether each of BITMAP ranges holds an odd number of the set's hashes."""
-    odd = np.bincount((mix(s) >> U64(64 - BITMAP.bit_length() + 1)).astype(np.int64), minlength=BITMAP) & 1
+    """Whether each of some parts of the hash's range holds an odd number of the set's items; twice as many parts as items or more, a power of two."""
+    bits = max(BITMAP, 1 << (2 * len(s) - 1).bit_length())
+    odd = np.bincount((mix(s) & U64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
 
+def folded(maps: np.ndarray, width: int) -> np.ndarray:
+    """Bitmaps, one a row, as those of `width` words: the parity of two parts together is that of both."""
+    while maps.shape[1] > width:
+        half = maps.shape[1] // 2
+        maps = maps[:, :half] ^ maps[:, half:]
+    return maps
+
+
 def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
     at = np.concatenate([[0], np.cumsum([len(x) for x in arrays])]).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(arrays) if arrays else np.zeros(0, np.int64)))
@@ -285,32 +255,33 @@ class Cell:
         return self.links
 
 
-def _describe(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """doc_id, key, n_shingles, node, sigs, bits; of equal sets that a task meets again, the signatures come once."""
+def _describe(docs: DataFrame, n: int, num: int, den: int, order: Order) -> DataFrame:
+    """doc_id, key, n_shingles, node, listed (the items of the prefix), bits; of equal sets that a task meets again, the items come once."""
+    shared = docs.sparkSession.sparkContext.broadcast(order)  # see _order() for its bound
 
     def run(batches):
-        positions, seen = Positions(num, den), set()
+        order, seen = shared.value, set()
         for batch in batches:
             ids, keys = batch.column("doc_id"), batch.column("key")
             for row, data, off in text_chunks(batch.column("text")):
-                sizes, nodes, sigs, maps = [], [], [], []
+                sizes, nodes, listed, maps = [], [], [], []
                 for s in shingle_sets(data, off, n):
                     node = _node(s) if len(s) else None
                     sizes.append(len(s))
                     nodes.append(node)
-                    maps.append(bitmap(s) if node is not None else np.zeros(BITMAP // 64, np.int64))
+                    maps.append(bitmap(s) if node is not None else np.zeros(0, np.int64))
                     if node is None or node in seen:
-                        sigs.append(np.zeros(0, np.int64))
+                        listed.append(np.zeros(0, np.int64))
                     else:
                         if len(seen) >= 1_000_000:
                             seen.clear()  # then some come twice, which changes nothing
                         seen.add(node)
-                        sigs.append(positions.signatures(s).view(np.int64))
+                        listed.append(order.prefix(s, num, den).view(np.int64))
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(row, len(off) - 1), keys.slice(row, len(off) - 1), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), _lists(sigs), _lists(maps)], names=["doc_id", "key", "n_shingles", "node", "sigs", "bits"]
+                    [ids.slice(row, len(off) - 1), keys.slice(row, len(off) - 1), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), _lists(listed), _lists(maps)], names=["doc_id", "key", "n_shingles", "node", "listed", "bits"]
                 )
 
-    return docs.mapInArrow(run, "doc_id long, key long, n_shingles long, node long, sigs array<long>, bits array<long>")
+    return docs.mapInArrow(run, "doc_id long, key long, n_shingles long, node long, listed array<long>, bits array<long>")
 
 
 def _sets_of(docs: DataFrame, n: int) -> DataFrame:
@@ -376,22 +347,41 @@ def _star_links(members: DataFrame, num: int, den: int) -> DataFrame:
     return members.mapInArrow(lambda batches: _by_task(batches, "items", finish, ["a", "b"]), "a long, b long")
 
 
-def near_bitmaps(bits: np.ndarray, size: np.ndarray, side: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Which members' bitmaps and sizes allow a similar one; with two chunks, across them."""
+def near_bitmaps(maps: list[np.ndarray], size: np.ndarray, side: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Which members' bitmaps and sizes allow a similar one; with two chunks, across them. Pairs that short bitmaps leave are compared by whole ones."""
     cut = bool((side == 1).any())
-    out = np.zeros(len(bits), dtype=bool)
-    step = max(1, (1 << 21) // max(1, len(bits)))
-    for a in range(0, len(bits), step):
-        rows = slice(a, a + step)
-        differ = np.zeros((len(bits[rows]), len(bits)), dtype=np.int64)
-        for k in range(bits.shape[1]):
-            differ += np.bitwise_count(bits[rows, k, None] ^ bits[None, :, k])
-        ok = differ * (den + num) <= (size[rows, None] + size[None, :]) * (den - num)
-        ok &= (size[rows, None] * den >= num * size[None, :]) & (size[None, :] * den >= num * size[rows, None])
-        ok[np.arange(len(ok)), np.arange(a, a + len(ok))] = False
+    m = len(maps)
+    maps = [x.view(np.uint64) for x in maps]  # bits of signed numbers would be counted without the sign
+    width = np.array([len(x) for x in maps])
+    short = np.empty((m, BITMAP // 64), dtype=np.uint64)
+    whole = {int(w): (np.flatnonzero(width == w), np.stack([maps[k] for k in np.flatnonzero(width == w)])) for w in np.unique(width)}
+    at = np.empty(m, dtype=np.int64)  # a member's place among those of its width
+    for w, (which, rows) in whole.items():
+        short[which], at[which] = folded(rows, BITMAP // 64), np.arange(len(which))
+    allowed = lambda a, b: (size[a] + size[b]) * (den - num) // (den + num)
+    out = np.zeros(m, dtype=bool)
+    step = max(1, (1 << 21) // max(1, m))
+    for first in range(0, m, step):
+        rows = np.arange(first, min(first + step, m))
+        differ = np.zeros((len(rows), m - first), dtype=np.int32)
+        for k in range(short.shape[1]):
+            differ += np.bitwise_count(short[rows, k, None] ^ short[None, first:, k])
+        others = np.arange(first, m)
+        ok = differ <= allowed(rows[:, None], others[None, :])
+        ok &= (size[rows, None] * den >= num * size[None, first:]) & (size[None, first:] * den >= num * size[rows, None]) & (others[None, :] > rows[:, None])
         if cut:
-            ok &= side[rows, None] != side[None, :]
-        out[rows] = ok.any(axis=1)
+            ok &= side[rows, None] != side[None, first:]
+        a, b = np.nonzero(ok)
+        a, b = rows[a], others[b]
+        for wa in np.unique(width[a]).tolist():
+            for wb in np.unique(width[b[width[a] == wa]]).tolist():
+                some = np.flatnonzero((width[a] == wa) & (width[b] == wb))
+                w = min(wa, wb)
+                left, right = folded(whole[wa][1], w), folded(whole[wb][1], w)
+                for c in range(0, len(some), max(1, (1 << 22) // w)):
+                    x, y = a[some[c : c + max(1, (1 << 22) // w)]], b[some[c : c + max(1, (1 << 22) // w)]]
+                    near = np.bitwise_count(left[at[x]] ^ right[at[y]]).sum(axis=1, dtype=np.int64) <= allowed(x, y)
+                    out[x[near]] = out[y[near]] = True
     return out
 
 
@@ -399,8 +389,8 @@ def _near_members(members: DataFrame, num: int, den: int) -> DataFrame:
     """leader, node: the members that the bitmaps leave, and their leaders."""
 
     def finish(key, rows):
-        bits, side, size = (np.array([r[k] for r in rows.values()]) for k in range(3))
-        near = near_bitmaps(bits, size, side, num, den)
+        maps = [r[0] for r in rows.values()]
+        near = near_bitmaps(maps, np.array([r[2] for r in rows.values()], dtype=np.int64), np.array([r[1] for r in rows.values()]), num, den)
         return [(key[0], n) for n, ok in zip(rows, near.tolist(), strict=True) if ok or (n == key[0] and near.any())]
 
     return members.mapInArrow(lambda batches: _by_task(batches, "bits", finish, ["leader", "node"]), "leader long, node long").distinct()
@@ -448,19 +438,29 @@ def _dealt(cells: DataFrame, cell_rows: int, cell_items: int) -> DataFrame:
     return own.unionByName(heads)
 
 
+def _order(docs: DataFrame, n: int) -> Order:
+    """From about SAMPLE_ROWS rows at most: the items of FREQUENT sets or more. The sample decides how long lists are, never a result."""
+    rows = docs.count()
+    some = docs.filter(F.pmod(F.xxhash64("key", "doc_id"), F.lit(max(1, rows // SAMPLE_ROWS))) == 0).select("text") if rows > SAMPLE_ROWS else docs.select("text")
+    counts = _sets_of(some, n).select(F.explode("items").alias("item")).groupBy("item").count().filter(F.col("count") >= FREQUENT).toArrow()
+    item, count = np.asarray(counts.column("item")).view(np.uint64), np.asarray(counts.column("count"))
+    by = np.argsort(item)
+    return Order(item[by], count[by])
+
+
 def _led(base: DataFrame, top: str, long_list: int) -> DataFrame:
     """leader, node for each list of two sets or more; the rows of a very long list are not gathered."""
-    listed = base.filter(F.size("sigs") > 0).select("node", F.explode("sigs").alias("sig"))
-    some = base.filter((F.size("sigs") > 0) & (F.pmod(F.xxhash64("node"), F.lit(SAMPLED)) == 0)).select(F.explode("sigs").alias("sig"))
-    long = stored(some.groupBy("sig").count().filter(F.col("count") >= max(2, long_list // SAMPLED)).select("sig"), f"{top}/long")
+    listed = base.filter(F.size("listed") > 0).select("node", F.explode("listed").alias("item"))
+    some = base.filter((F.size("listed") > 0) & (F.pmod(F.xxhash64("node"), F.lit(SAMPLED)) == 0)).select(F.explode("listed").alias("item"))
+    long = stored(some.groupBy("item").count().filter(F.col("count") >= max(2, long_list // SAMPLED)).select("item"), f"{top}/long")
     n = long.count()
     few = F.broadcast if n <= MOST_BROADCAST else lambda df: df
-    lists = Window.partitionBy("sig")
-    rest = listed.join(few(long), "sig", "left_anti") if n else listed
+    lists = Window.partitionBy("item")
+    rest = listed.join(few(long), "item", "left_anti") if n else listed
     led = rest.withColumn("leader", F.min("node").over(lists)).withColumn("_last", F.max("node").over(lists))
     if n:
-        ends = listed.join(few(long), "sig", "left_semi").groupBy("sig").agg(F.min("node").alias("leader"), F.max("node").alias("_last"))
-        led = led.unionByName(listed.join(few(stored(ends, f"{top}/ends")), "sig"))
+        ends = listed.join(few(long), "item", "left_semi").groupBy("item").agg(F.min("node").alias("leader"), F.max("node").alias("_last"))
+        led = led.unionByName(listed.join(few(stored(ends, f"{top}/ends")), "item"))
     return led.filter("leader <> _last").select("leader", "node").distinct()
 
 
@@ -502,7 +502,7 @@ def _rows_in_components(docs: DataFrame, n: int, num: int, den: int, cell_rows:
     small_batches(spark)
     top = work_dir(spark, "jaccard")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", text_key(F.col("text")).alias("key"))
-    base = stored(_describe(docs, n, num, den), f"{top}/base")
+    base = stored(_describe(docs, n, num, den, _order(docs, n)), f"{top}/base")
 
     cells = stored(_led(base, top, long_list), f"{top}/cells")
     plain = stored(base.select("doc_id", "key", "n_shingles", "node"), f"{top}/plain")
@@ -519,8 +519,12 @@ def _rows_in_components(docs: DataFrame, n: int, num: int, den: int, cell_rows:
     marked = sized.withColumn("near", F.lit(False))
     if cut:
         lead = facts.select(F.col("node").alias("leader"), F.col("n_shingles").alias("_n"), F.col("bits").alias("_bits"))
-        differ = F.aggregate(F.zip_with("bits", "_bits", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda a, x: a + x)
-        able = differ * (den + num) <= (F.col("n_shingles") + F.col("_n")) * (den - num)
+        xor = lambda x, y: F.zip_with(x, y, lambda p, q: p.bitwiseXOR(q))
+        half = lambda x: xor(F.slice(x, F.lit(1), (F.size(x) / 2).cast("int")), F.slice(x, (F.size(x) / 2).cast("int") + 1, (F.size(x) / 2).cast("int")))
+        bits, _bits, wide, _wide = F.col("bits"), F.col("_bits"), F.size("bits"), F.size("_bits")
+        between = F.when(wide == _wide, xor(bits, _bits)).when(wide == 2 * _wide, xor(half(bits), _bits)).when(_wide == 2 * wide, xor(bits, half(_bits)))
+        differ = F.aggregate(between, F.lit(0), lambda a, x: a + F.bit_count(x))
+        able = F.coalesce(differ * (den + num) <= (F.col("n_shingles") + F.col("_n")) * (den - num), F.lit(True))
         members = sized.join(large.select("leader"), "leader", "left_semi").join(facts.select("node", "bits"), "node").join(lead, "leader")
         members = stored(members.select("leader", "node", "n_shingles", able.alias("near")), f"{top}/near-by-bitmap")
         marked = marked.join(large.select("leader"), "leader", "left_anti").unionByName(members)

@@ -487,6 +487,7 @@ def test_jaccard_join(spark, docs, monkeypatch, n, num, den, cell, long_list, br
     """Also with cells cut into chunks, and with lists led without gathering them."""
     monkeypatch.setattr(jaccard_join, "SAMPLED", 64 if long_list > 2 else 1)
     monkeypatch.setattr(jaccard_join, "MOST_BROADCAST", broadcast)
+    monkeypatch.setattr(jaccard_join, "SAMPLE_ROWS", 8192 if n == 3 else 20)
     rows = [(r[0], r[1]) for r in ROWS] + _near_copies(random.Random(n))
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("node", F.lit(1)).withColumn("leader", F.lit("x"))
     out = jaccard_join.jaccard_components(df, n, num, den, cell_rows=cell, long_list=long_list).collect()
@@ -547,17 +548,42 @@ def test_cells_skip_blocks_and_lose_no_link(num, den):
     assert skipped > 0 and compared < pairs  # the passage puts all members into a cell, but most pairs are never compared
 
 
+@pytest.mark.parametrize("num, den", [(90, 100), (8, 10), (2, 5)])
+def test_bitmaps_lose_no_similar_pair(num, den):
+    rng = np.random.default_rng(den)
+    for _ in range(40):
+        sets, side = [], []
+        for _ in range(rng.integers(1, 6)):
+            base = np.unique(rng.integers(0, 2**64, rng.integers(1, 1500), dtype=np.uint64))
+            for _ in range(rng.integers(1, 4)):
+                sets.append(np.union1d(base[rng.random(len(base)) > rng.random() * 0.3], rng.integers(0, 2**64, 1, dtype=np.uint64)))
+                side.append(int(rng.integers(0, 2)))
+        size, side = np.array([len(x) for x in sets]), np.array(side) if rng.random() < 0.5 else np.zeros(len(sets), dtype=int)
+        near = jaccard_join.near_bitmaps([jaccard_join.bitmap(x) for x in sets], size, side, num, den)
+        similar = lambda i, j: den * len(np.intersect1d(sets[i], sets[j])) >= num * len(np.union1d(sets[i], sets[j])) and (not side.any() or side[i] != side[j])
+        for i in range(len(sets)):
+            if any(similar(i, j) for j in range(len(sets)) if j != i):
+                assert near[i]
+    far = [np.unique(rng.integers(0, 2**64, 2000, dtype=np.uint64)) for _ in range(30)]
+    assert not jaccard_join.near_bitmaps([jaccard_join.bitmap(x) for x in far], np.array([len(x) for x in far]), np.zeros(30, dtype=int), 8, 10).any()
+
+
 def test_similar_sets_always_share_a_list():
     rng = np.random.default_rng(5)
-    for num, den in ((90, 100), (8, 10), (1, 2)):
-        positions = jaccard_join.Positions(num, den)
-        for _ in range(300):
-            x = np.unique(rng.integers(0, 2**64, rng.integers(1, 200), dtype=np.uint64))
+    for num, den in ((90, 100), (8, 10), (1, 2), (1, 1)):
+        frequent = np.unique(rng.integers(0, 2**64, 300, dtype=np.uint64))
+        order = jaccard_join.Order(frequent, rng.integers(4, 9, len(frequent)))
+        for k in range(400):
+            if k % 5 == 0:
+                order = jaccard_join.Order(frequent[:0], frequent[:0]) if k % 10 else jaccard_join.Order(frequent, rng.integers(4, 9, len(frequent)))
+            x = np.unique(np.concatenate([rng.integers(0, 2**64, rng.integers(1, 200), dtype=np.uint64), rng.choice(frequent, 30)]))
             y = x[rng.random(len(x)) > rng.random() * 0.3]
             y = np.union1d(y, rng.integers(0, 2**64, rng.integers(0, 1 + len(x) // 8), dtype=np.uint64))
             common = len(np.intersect1d(x, y))
             if common and den * common >= num * (len(x) + len(y) - common):
-                assert set(positions.signatures(x).tolist()) & set(positions.signatures(y).tolist())
+                assert set(order.prefix(x, num, den).tolist()) & set(order.prefix(y, num, den).tolist())
+            if common < len(x) and len(order.frequent):
+                assert np.isin(order.prefix(x, 999, 1000), frequent).sum() == 0  # rare ones first
 
 
 def test_token_counts_equal_the_tokenizers_library(spark, docs, monkeypatch):
