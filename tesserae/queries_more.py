@@ -9,6 +9,7 @@ from __future__ import annotations
 import json
 import os
 import re
+import uuid
 from collections.abc import Callable
 from datetime import datetime, timezone
 
@@ -28,6 +29,7 @@ from .plans.enumeration import plan
 from .plans.kinds import OMITTED, contains_self, registry, terminate, violates_kind, whole_value
 from .queries import CLOCK, C, O, P, among, at, lane, on, pick, prefix, then, u, whole
 from .sources.tables import read_table
+from .streaming.rate import make_on_stream
 
 T = registry
 
@@ -97,6 +99,16 @@ def _element_replay(spark, sf_dir):
     return again.make_onto(keys, "k")
 
 
+def _stream(spark, sf_dir):
+    """The same rows on a stream, whose keys are dense from 0, so that sequences are known as well."""
+    maker = _world_maker(spark, T.object({"x": T.number.integer.whereby(0, 9), "n": T.number.integer.sequence()}))
+    keys = read_table(spark, sf_dir, "customer").select(C)
+    stream = spark.readStream.schema(keys.schema).option("pathGlobFilter", "customer.parquet").parquet(sf_dir)
+    name = f"streamed_{uuid.uuid4().hex}"
+    make_on_stream(maker, stream, C, dense_from=0).writeStream.format("memory").queryName(name).trigger(availableNow=True).start().awaitTermination()
+    return spark.table(name)
+
+
 def _unchecked(spark, sf_dir):
     schema = T.object({"a": T.number.integer.whereby(0, 9), "o": T.optional(T.always("x"))})
     given = F.when(F.col(O) % 2 == 0, F.lit("given"))
@@ -396,6 +408,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "q_rehydrated": _rehydrated,
         "q_overridden_producer": _overridden_producer,
         "q_element_replay": _element_replay,
+        "q_stream": _stream,
         "q_unchecked_overrides": _unchecked,
         "q_wide_enum": _wide_enum,
         "q_wide_coverage": _wide_coverage,
@@ -459,6 +472,7 @@ def oracle_sql() -> dict[str, str]:
         "q_rehydrated": f"SELECT {o}, {whole(u('number.integer', 'inner', 'a', key=o), 0, 9)} AS a, {whole(u('number.integer', 'b', key=o), 0, 9)} AS b FROM orders",
         "q_overridden_producer": f"SELECT {c}, {u('object', key=c)} AS a, 'mine' AS z FROM customer",
         "q_element_replay": f"SELECT {c} || '.1' AS k, {whole(u('number.integer', 'element', key=f"{c} || '.1'"), 0, 99)} AS value FROM customer",
+        "q_stream": f"SELECT {c}, {whole(u('number.integer', 'x', key=c), 0, 9)} AS x, {c} + 1 AS n FROM customer",
         "q_unchecked_overrides": f"SELECT {o}, {whole(u('number.integer', 'a', key=o), 0, 9)} AS a, CASE WHEN {o} % 2 = 0 THEN 'given' ELSE {pick(u('optional', 'o', key=o), (1, 'NULL'), (1, 'NULL'), (1, "'x'"))} END AS o, CASE WHEN {o} % 2 = 0 THEN 'value' ELSE {pick(u('optional', 'o', key=o), (1, "'omitted'"), (1, "'undefined'"), (1, "'value'"))} END AS o__presence FROM orders",
         "q_wide_enum": f"SELECT {o}, (1000 + floor({u('enum', 'e', key=o)} * 5000.0::DOUBLE))::BIGINT AS e, {weighed} AS w FROM orders",
         "q_wide_coverage": "SELECT 5000::BIGINT AS rows, 5000::BIGINT AS members, 2500::BIGINT AS \"true\", 12497500::BIGINT AS total",
