@@ -12,7 +12,7 @@ Separators order by position, so suffixes compare no further than the end of the
 run; run starts are sampled, so that no walk crosses one. Words are compared by 64-bit hashes; equal hashes of
 different words (2**-64 a pair) would count as one word.
 
-The benchmark travels in blocks of bounded size. There is one pass over the
+The benchmark travels in blocks of bounded size, of which the driver and the executors hold one at a time. There is one pass over the
 documents for each block, and documents never move between tasks.
 
 Defined results: null and empty texts have no words and no hits. Items without words
@@ -25,9 +25,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -318,8 +320,8 @@ class Shard:
 _SCHEMA = "doc_id long, n_words long, key long, starts array<long>, ends array<long>, items array<long>"
 
 
-def _pass(docs: DataFrame, block: Block) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(block)  # at most BLOCK_WORDS words and their phrases
+def _pass(docs: DataFrame, shared: Broadcast) -> DataFrame:
+    """One pass over docs with a block: at most BLOCK_WORDS words and their phrases."""
 
     def run(batches):
         shard = Shard(shared.value)
@@ -346,9 +348,16 @@ def _merge(a, b):
 def _spans(docs: DataFrame, benchmark: DataFrame, phrase: int, block_words: int) -> DataFrame:
     """What removal_spans() gives, with the key of the row's text."""
     small_batches(docs.sparkSession)
-    passes = [_pass(docs, b) for b in blocks(benchmark, phrase, block_words)]
-    if len(passes) == 1:
-        return passes[0]
+    share = docs.sparkSession.sparkContext.broadcast
+    found = blocks(benchmark, phrase, block_words)
+    first, second = next(found), next(found, None)
+    if second is None:
+        return _pass(docs, share(first))
+    top, passes = work_dir(docs.sparkSession, "passes"), []
+    for b in chain((first, second), found):
+        shared = share(b)
+        passes.append(stored(_pass(docs, shared), f"{top}/{len(passes)}"))
+        shared.destroy()
     # the same row comes once from each pass; equal rows have equal results, so they are merged together and counted
     every = passes[0]
     for p in passes[1:]:

@@ -216,6 +216,7 @@ def test_sharding(spark, docs):
                 owner[slot] = k
                 turn += 1
             assert owner == table
+    assert sharding.place(none_of(docs)).count() == 0
     before, after = sharding.fill_table(sharding.shard_names(8), 997), sharding.fill_table(sharding.shard_names(9), 997)
     assert sum(a != b for a, b in zip(before, after, strict=True)) < 997 * 0.35
     out = sharding.place(docs)
@@ -280,6 +281,11 @@ def test_language(spark, docs):
     assert len(out) == len(ROWS) and all(0 <= r["score"] <= 1 for r in out) and {r["lang_pred"] for r in out if r["doc_id"] in (3, 4, 5)} == {"und"}
     assert {r["lang_pred"] for r in langid.predict_documents(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
     assert langid.predict_documents(none_of(docs)).count() == 0
+    again = [(k, t, c, "s", 0) for k, (t, c) in enumerate(zip(texts, langs, strict=True))] + [(1, texts[0], "zz", "s", 0), (1, texts[0], None, "s", 0), (None, texts[0], "zz", "s", 0)]
+    df = spark.createDataFrame(again, DOCS)  # of a repeated doc_id the first lang counts
+    assert langid.fit(df, 50).languages == sorted(syllables) and langid.fit(df.filter("doc_id IS NULL")).languages == []
+    a, b = (sorted(map(str, langid.predict_documents(x, 7).collect())) for x in (df, df.orderBy(F.desc("text")).repartition(5)))
+    assert a == b
 
 
 def test_language_votes_by_brute_force():
