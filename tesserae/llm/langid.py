@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._common import U64, crc_mod, row_sums, small_batches, text_chunks
+from ._common import U64, crc_mod, row_sums, small_batches, stored, text_chunks, work_dir
 
 BITS = 13
 UNKNOWN = "und"
@@ -203,20 +203,21 @@ def predict(column: pa.Array, model: LanguageModel) -> tuple[list[str], np.ndarr
     return names, score
 
 
-SALTS = 64
 MOST_TEXTS, MOST_BYTES = 20_000, 64 << 20
 
 
 def fit(docs: DataFrame, per_language: int = 300, most_texts: int = MOST_TEXTS, most_bytes: int = MOST_BYTES) -> LanguageModel:
     """Learns from at most per_language documents of each language, the first by a hash of doc_id, outside the held-out quarter.
 
-    Of many languages each has fewer, most_texts in all, and most_bytes / languages bytes of whole texts, none of them of over a quarter of that. The first by
-    hash are found in two steps, of a salted part of each language and then of the parts' results, so that a language of any size is split.
+    Of many languages each has fewer, most_texts in all, and most_bytes / languages bytes of whole texts, none of them of over a quarter of that.
+    A language's size tells below which hash about twice as many are as are wanted; only those rows are ordered, however many the language has.
     """
     known = docs.filter(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & (crc_mod(F.col("doc_id"), 4) != 2)).groupBy("doc_id").agg(F.min("lang").alias("lang"))
-    known = known.withColumn("_h", F.xxhash64("doc_id"))
-    first = lambda rows, *by: rows.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy("_h", "doc_id"))).filter(F.col("_n") <= per_language).drop("_n")
-    ids = {r["doc_id"]: (r["lang"], r["_h"]) for r in first(first(known.withColumn("_part", F.pmod("_h", F.lit(SALTS))), "lang", "_part"), "lang").collect()}
+    known = stored(known.withColumn("_h", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))), work_dir(docs.sparkSession, "languages"))
+    below = known.groupBy("lang").agg(F.count(F.lit(1)).alias("_rows")).select("lang", ((2 * per_language + 50) / F.col("_rows") * float(1 << 40)).alias("_below"))
+    order = Window.partitionBy("lang").orderBy("_h", "doc_id")
+    first = known.join(below, "lang").filter(F.col("_h") < F.col("_below")).withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= per_language)
+    ids = {r["doc_id"]: (r["lang"], r["_h"]) for r in first.collect()}
     if not ids:
         return LanguageModel([])
     languages = {lang for lang, _ in ids.values()}
@@ -229,7 +230,7 @@ def fit(docs: DataFrame, per_language: int = 300, most_texts: int = MOST_TEXTS,
     rows = docs.select("doc_id", "lang", "text").join(F.broadcast(chosen), "doc_id").filter("lang = _lang").groupBy("doc_id", "lang").agg(F.max("text").alias("text"))
     room = most_bytes // len(languages)
     rows = rows.withColumn("_long", F.coalesce(F.octet_length("text"), F.lit(0))).filter(F.col("_long") <= room // 4)
-    run = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0)  # over at most per_language rows
+    run = Window.partitionBy("lang").orderBy(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)), "doc_id").rowsBetween(Window.unboundedPreceding, 0)  # over at most per_language rows
     rows = rows.withColumn("_bytes", F.sum("_long").over(run)).filter(F.col("_bytes") <= room).collect()
     rows.sort(key=lambda r: r["doc_id"])
     return train([r["text"] or "" for r in rows], [r["lang"] for r in rows])
