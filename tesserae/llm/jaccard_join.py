@@ -7,7 +7,8 @@ num/den or more means d <= (|x| + |y|)(den - num) / (den + num).
 Index. All items have one order, in which those that are frequent in a sample of documents come last. Two similar sets share an item
 among the first size - ceil(size * num / den) + 1 of each, whatever the order. A list of the index holds the sets that have
 an item among these; lists of one set are skipped. As frequent items come last, a passage that many documents share
-lists a document only if little else is in it.
+lists a document only if little else is in it. Where lists turn out long by items that the sample didn't show, these are added to the
+frequent ones and the lists made again.
 
 Before any set travels, the members of a cell are compared by bitmaps: the parity of
 the number of items in each of 512 parts or more, twice as many as the set has items; a longer one is folded to a shorter one's length. Two bitmaps
@@ -49,9 +50,10 @@ from pyspark.sql.window import Window
 from ._common import U64, Words, by_rows, mix, release, remove, row_sums, small_batches, stored, text_chunks, text_key, work_dir
 
 CELL_ROWS = 2048
-CELL_ITEMS = 2_000_000
+CELL_ITEMS = 1_000_000
 BITMAP = 512
 SAMPLE_ROWS, FREQUENT = 2048, 3
+REFINED, REFINEMENTS = 20_000, 2  # rows of a list beyond which its item is taken for frequent
 LONG_LIST = 200_000  # rows
 SAMPLED = 64  # one node in so many tells which lists are long; this decides the plan, never a result
 MOST_BROADCAST = 1_000_000  # lists
@@ -89,6 +91,14 @@ class Order:
     frequent: np.ndarray  # sorted
     count: np.ndarray
 
+    def knowing(self, items: np.ndarray, counts: np.ndarray) -> Order:
+        """With further frequent items, after those that are known."""
+        new = ~np.isin(items, self.frequent)
+        item = np.concatenate([self.frequent, items[new]])
+        count = np.concatenate([self.count, counts[new] + int(self.count.max(initial=0))])
+        by = np.argsort(item)
+        return Order(item[by], count[by])
+
     def prefix(self, s: np.ndarray, num: int, den: int) -> np.ndarray:
         """The items under which a set is listed: two similar sets share one of them, whatever the order."""
         size = len(s) + num * len(s) // -den + 1  # size - ceil(size * num / den) + 1
@@ -360,7 +370,7 @@ def near_bitmaps(maps: list[np.ndarray], size: np.ndarray, side: np.ndarray, num
         short[which], at[which] = folded(rows, BITMAP // 64), np.arange(len(which))
     allowed = lambda a, b: (size[a] + size[b]) * (den - num) // (den + num)
     out = np.zeros(m, dtype=bool)
-    step = max(1, (1 << 21) // max(1, m))
+    step = max(1, (1 << 19) // max(1, m))
     for first in range(0, m, step):
         rows = np.arange(first, min(first + step, m))
         differ = np.zeros((len(rows), m - first), dtype=np.int32)
@@ -378,8 +388,9 @@ def near_bitmaps(maps: list[np.ndarray], size: np.ndarray, side: np.ndarray, num
                 some = np.flatnonzero((width[a] == wa) & (width[b] == wb))
                 w = min(wa, wb)
                 left, right = folded(whole[wa][1], w), folded(whole[wb][1], w)
-                for c in range(0, len(some), max(1, (1 << 22) // w)):
-                    x, y = a[some[c : c + max(1, (1 << 22) // w)]], b[some[c : c + max(1, (1 << 22) // w)]]
+                at_once = max(1, (1 << 19) // w)
+                for c in range(0, len(some), at_once):
+                    x, y = a[some[c : c + at_once]], b[some[c : c + at_once]]
                     near = np.bitwise_count(left[at[x]] ^ right[at[y]]).sum(axis=1, dtype=np.int64) <= allowed(x, y)
                     out[x[near]] = out[y[near]] = True
     return out
@@ -441,13 +452,31 @@ def _dealt(cells: DataFrame, cell_rows: int, cell_items: int) -> DataFrame:
 def _order(docs: DataFrame, n: int) -> Order:
     """From about SAMPLE_ROWS rows at most: the items of FREQUENT sets or more. The sample decides how long lists are, never a result."""
     rows = docs.count()
-    some = docs.filter(F.pmod(F.xxhash64("key", "doc_id"), F.lit(max(1, rows // SAMPLE_ROWS))) == 0).select("text") if rows > SAMPLE_ROWS else docs.select("text")
+    some = docs.select("text") if rows <= SAMPLE_ROWS else docs.select("text").sample(SAMPLE_ROWS / rows, 7)
     counts = _sets_of(some, n).select(F.explode("items").alias("item")).groupBy("item").count().filter(F.col("count") >= FREQUENT).toArrow()
     item, count = np.asarray(counts.column("item")).view(np.uint64), np.asarray(counts.column("count"))
     by = np.argsort(item)
     return Order(item[by], count[by])
 
 
+def _described(docs: DataFrame, n: int, num: int, den: int, top: str) -> DataFrame:
+    """_describe(), again with a better order while it has lists of over REFINED rows by items that the order doesn't know as frequent (they come last then)."""
+    order = _order(docs, n)
+    for k in range(REFINEMENTS + 1):
+        base = stored(_describe(docs, n, num, den, order), f"{top}/base-{k}")
+        some = base.filter((F.size("listed") > 0) & (F.pmod(F.xxhash64("node"), F.lit(SAMPLED)) == 0)).select(F.explode("listed").alias("item"))
+        long = stored(some.groupBy("item").count().filter(F.col("count") >= max(2, REFINED // SAMPLED)), f"{top}/frequent-{k}")
+        if k == REFINEMENTS or not 0 < long.count() <= MOST_BROADCAST:
+            return base
+        found = long.toArrow()
+        better = order.knowing(np.asarray(found.column("item")).view(np.uint64), np.asarray(found.column("count")))
+        if len(better.frequent) == len(order.frequent):
+            return base
+        order = better
+        remove(docs.sparkSession, f"{top}/base-{k}")
+    return base
+
+
 def _led(base: DataFrame, top: str, long_list: int) -> DataFrame:
     """leader, node for each list of two sets or more; the rows of a very long list are not gathered."""
     listed = base.filter(F.size("listed") > 0).select("node", F.explode("listed").alias("item"))
@@ -502,13 +531,14 @@ def _rows_in_components(docs: DataFrame, n: int, num: int, den: int, cell_rows:
     small_batches(spark)
     top = work_dir(spark, "jaccard")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", text_key(F.col("text")).alias("key"))
-    base = stored(_describe(docs, n, num, den, _order(docs, n)), f"{top}/base")
+    base = _described(docs, n, num, den, top)
 
     cells = stored(_led(base, top, long_list), f"{top}/cells")
     plain = stored(base.select("doc_id", "key", "n_shingles", "node"), f"{top}/plain")
     facts = stored(base.filter("node IS NOT NULL").groupBy("node", "n_shingles").agg(F.min(F.struct("doc_id", "key")).alias("one"), F.first("bits").alias("bits")), f"{top}/facts")
     base = None
-    remove(spark, f"{top}/base")
+    for k in range(REFINEMENTS + 1):
+        remove(spark, f"{top}/base-{k}")
     release(spark)
     size = facts.select("node", "n_shingles")
 
