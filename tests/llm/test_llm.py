@@ -347,6 +347,15 @@ def test_exact_dedup(spark, docs, tmp_path, monkeypatch, digest, broadcast):
     assert sum(r["kept"] for r in out) == groups
 
 
+def test_exact_dedup_without_a_keeper(spark, docs, tmp_path):
+    path = str(tmp_path / "d")
+    docs.write.parquet(path)
+    state = exact_dedup.run_stream(exact_dedup.document_stream(spark, path), locator=F.lit("gone"))
+    out = exact_dedup.deduplicate(spark.read.parquet(path), state, locator=F.col("_metadata.file_path")).collect()
+    want, groups = _dedup_brute(ROWS)
+    assert _dedup_rows(out) == want and sum(r["kept"] for r in out) == groups
+
+
 def test_exact_dedup_goes_on_from_its_state(spark, docs, tmp_path):
     more = [(9, "NO ID HERE", "en", "b", 10), (10, "new", "en", "b", 3), (1, "The cat sat on the mat.", "en", "a", 23)]
     path, state = str(tmp_path / "d"), str(tmp_path / "state")
@@ -493,8 +502,6 @@ def test_jaccard_join(spark, docs, monkeypatch, n, num, den, cell, long_list, br
     """Also with cells cut into chunks, and with lists led without gathering them."""
     monkeypatch.setattr(jaccard_join, "SAMPLED", 64 if long_list > 2 else 1)
     monkeypatch.setattr(jaccard_join, "MOST_BROADCAST", broadcast)
-    monkeypatch.setattr(jaccard_join, "SAMPLE_ROWS", 8192 if n == 3 else 20)
-    monkeypatch.setattr(jaccard_join, "REFINED", 2)  # lists are made again with a better order
     rows = [(r[0], r[1]) for r in ROWS] + _near_copies(random.Random(n))
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("node", F.lit(1)).withColumn("leader", F.lit("x"))
     out = jaccard_join.jaccard_components(df, n, num, den, cell_rows=cell, long_list=long_list).collect()
@@ -577,20 +584,15 @@ def test_bitmaps_lose_no_similar_pair(num, den):
 
 def test_similar_sets_always_share_a_list():
     rng = np.random.default_rng(5)
-    for num, den in ((90, 100), (8, 10), (1, 2), (1, 1)):
-        frequent = np.unique(rng.integers(0, 2**64, 300, dtype=np.uint64))
-        order = jaccard_join.Order(frequent, rng.integers(4, 9, len(frequent)))
-        for k in range(400):
-            if k % 5 == 0:
-                order = jaccard_join.Order(frequent[:0], frequent[:0]) if k % 10 else jaccard_join.Order(frequent[::2], rng.integers(4, 9, len(frequent[::2]))).knowing(frequent, np.full(len(frequent), 5))
-            x = np.unique(np.concatenate([rng.integers(0, 2**64, rng.integers(1, 200), dtype=np.uint64), rng.choice(frequent, 30)]))
+    for num, den in ((90, 100), (8, 10), (1, 2)):
+        positions = jaccard_join.Positions(num, den)
+        for _ in range(300):
+            x = np.unique(rng.integers(0, 2**64, rng.integers(1, 200), dtype=np.uint64))
             y = x[rng.random(len(x)) > rng.random() * 0.3]
             y = np.union1d(y, rng.integers(0, 2**64, rng.integers(0, 1 + len(x) // 8), dtype=np.uint64))
             common = len(np.intersect1d(x, y))
             if common and den * common >= num * (len(x) + len(y) - common):
-                assert set(order.prefix(x, num, den).tolist()) & set(order.prefix(y, num, den).tolist())
-            if common < len(x) and len(order.frequent):
-                assert np.isin(order.prefix(x, 999, 1000), frequent).sum() == 0  # rare ones first
+                assert set(positions.signatures(x).tolist()) & set(positions.signatures(y).tolist())
 
 
 def test_token_counts_equal_the_tokenizers_library(spark, docs, monkeypatch):
