@@ -204,6 +204,7 @@ def predict(column: pa.Array, model: LanguageModel) -> tuple[list[str], np.ndarr
 
 
 MOST_TEXTS, MOST_BYTES = 20_000, 64 << 20
+MOST_BROADCAST = 100_000
 
 
 def fit(docs: DataFrame, per_language: int = 300, most_texts: int = MOST_TEXTS, most_bytes: int = MOST_BYTES) -> LanguageModel:
@@ -216,7 +217,9 @@ def fit(docs: DataFrame, per_language: int = 300, most_texts: int = MOST_TEXTS,
     known = stored(known.withColumn("_h", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))), work_dir(docs.sparkSession, "languages"))
     below = known.groupBy("lang").agg(F.count(F.lit(1)).alias("_rows")).select("lang", ((2 * per_language + 50) / F.col("_rows") * float(1 << 40)).alias("_below"))
     order = Window.partitionBy("lang").orderBy("_h", "doc_id")
-    first = known.join(below, "lang").filter(F.col("_h") < F.col("_below")).withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= per_language)
+    below = stored(below, work_dir(docs.sparkSession, "language-cuts"))
+    few = F.broadcast if below.count() <= MOST_BROADCAST else lambda df: df  # languages; joined where they are, the rows of one don't meet before they are few
+    first = known.join(few(below), "lang").filter(F.col("_h") < F.col("_below")).withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= per_language)
     ids = {r["doc_id"]: (r["lang"], r["_h"]) for r in first.collect()}
     if not ids:
         return LanguageModel([])
