@@ -361,10 +361,11 @@ def _schema_of(name: str, locale: dict[str, str]) -> tuple[Schema, str]:
 def builder(name: str, locale: dict[str, str] | None = None) -> Callable[..., Schema]:
     def build(**options) -> Schema:
         schema, dtype = _schema_of(name, locale or {})
-        tried = Draw(0, locale, options)
-        tried.value(name, Stream("", F.lit("0")))  # options are checked when the schema is built
-        if unknown := sorted(set(options) - tried.used):
-            raise TypeError(f"{name} has no option {', '.join(unknown)}")
+        if options:  # checked when the schema is built
+            tried = Draw(0, locale, options)
+            tried.value(name, Stream("", F.lit("0")))
+            if unknown := sorted(set(options) - tried.used):
+                raise TypeError(f"{name} has no option {', '.join(unknown)}")
         return schema.as_(lambda c: Draw(c.clock, locale, options).value(name, c.random), dtype, **HINTS.get(name, {}))
 
     return build

@@ -13,7 +13,7 @@ state's locator, under its identifier, is compared with the text of each hit. On
 hits are moved: their rows are found by a 64-bit hash of the text, broadcast where the hashes
 are few (HITS_BROADCAST), joined otherwise. The texts of a large group are spread by a salt, and
 the locator's text goes to each part once. A hit whose bytes differ isn't a copy; such
-rows are grouped by their text itself.
+rows, and those whose locator leads to no text any more, are grouped by their text itself.
 
 Defined results: null text counts as empty. Repeated rows (equal doc_id and text)
 are copies of which one row stays. Null doc_id is below every other. An empty table
@@ -105,7 +105,7 @@ def deduplicate(docs: DataFrame, state: DataFrame, digest=sha256_digest, locator
     texts = stored(moved.join(hit, "digest").withColumn("part", (F.rand(1) * F.col("parts")).cast("int")), f"{top}/texts")
     keeper = texts.filter(F.col("doc_id").eqNullSafe(F.col("keep_id")) & F.col("at").eqNullSafe(F.col("keep_at"))).groupBy("digest", "parts").agg(F.min("t").alias("kt"))
     keeper = keeper.select("digest", "kt", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    clash = stored(texts.join(keeper, ["digest", "part"]).filter(F.col("t") != F.col("kt")).select("digest").distinct(), f"{top}/clash")
+    clash = stored(texts.join(keeper, ["digest", "part"], "left").filter(~F.col("t").eqNullSafe(F.col("kt"))).select("digest").distinct(), f"{top}/clash")
     if clash.isEmpty():
         remove(spark, f"{top}/texts")
         final = rows.select("row", "doc_id", "keep_id", F.col("seen").alias("group_size"), "text_sha256")

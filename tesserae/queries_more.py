@@ -359,8 +359,9 @@ def _schemas(spark, sf_dir):
         "vocabulary date": V.date.past(), "vocabulary object": V.science.unit(), "vocabulary tuple": V.location.nearbyGPSCoordinate(), "vocabulary pattern": V.database.mongodbObjectId(), "vocabulary channels": V.color.rgb.channels(), "vocabulary bigint": V.number.bigInt(), "vocabulary boolean": V.datatype.boolean(), "use": V.use.string(lambda c: F.lit("k")),
     }
     rows = {k: (lambda s: lambda: drive(JsonSchema(), s))(s) for k, s in cases.items()}
-    rows["unknown among the vocabulary"] = lambda: [n for n in names() if to_json_schema(builder(n)()) == {}]
-    rows["hinted entries"] = lambda: sum(any(k in to_json_schema(builder(n)()) for k in ("format", "pattern")) for n in names() if builder(n)().kind == "string")
+    entries = {n: to_json_schema(builder(n)()) for n in names()}
+    rows["unknown among the vocabulary"] = lambda: [n for n, j in entries.items() if j == {}]
+    rows["hinted entries"] = lambda: sum(j.get("type") == "string" and j.get("format", "date-time") != "date-time" or "pattern" in j for j in entries.values())
     rows["violates_kind"] = lambda: [violates_kind(*x) for x in (("number", 1), ("number", "1"), ("string", 1), ("boolean", 0), ("array", [1]), ("object", []), ("enum", object()), ("null", None), ("date", 5), ("bigint", True))]
     rows["bounds"] = lambda: [effective_discrete(Bound(1, True), Bound(4, True)), effective_discrete(Bound(0.5), Bound(2.5)), length_range(3), length_range({"max": 2}), unit_position(5, 0, 10)]
     rows["terminate"] = lambda: [terminate(T.array(T.boolean()).whereby(2)).meta["high"], terminate(tree.meta["body"]).meta["fields"]["k"].meta["high"], contains_self(tree.meta["body"]), contains_self(tree)]
