@@ -269,12 +269,16 @@ def test_chat_digests(spark):
     assert got[0]["formatted_chars"] == len(chat_format.render([(r, t) for _, _, r, t in long]))
 
 
-def test_language(spark, docs):
+def test_language(spark, docs, monkeypatch):
     syllables = {"aa": "ou eau les", "ab": "ou eux lez", "ba": "sch ung der", "bb": "sch ich den"}
     rng = random.Random(2)
     texts, langs = zip(*[(" ".join(rng.choice(s.split()) for _ in range(40)), k) for k, s in syllables.items() for _ in range(30)], strict=True)
     model = langid.train(list(texts), list(langs))
     assert sorted(map(sorted, model.families)) == [[0, 1], [2, 3]]
+    with monkeypatch.context() as m:
+        m.setattr(langid, "DENSE", 0)  # as with many languages
+        sparse = langid.train(list(texts), list(langs))
+    assert sparse.families == model.families and np.allclose(sparse.between, model.between, atol=1e-2) and np.allclose(sparse.family, model.family, atol=1e-2)
     names, score = langid.predict(pa.array([*texts, None, "", "12 !", "Ω"]), model)
     assert sum(a == b for a, b in zip(names, langs, strict=False)) >= 0.95 * len(langs) and names[-4:-1] == ["und"] * 3 and names[-1] != "und"
     out = langid.predict_documents(docs).collect()
