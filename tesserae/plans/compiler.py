@@ -288,7 +288,8 @@ def _date(s, ctx, pin):
 def code_point(x: Column, ascii_only: bool) -> Column:
     if ascii_only:
         return F.char(x)
-    return F.decode(F.unhex(F.lpad(F.hex(x), 8, "0")), "UTF-32")
+    # a first U+FEFF is a byte order mark, which decoding drops; a second one is a character
+    return F.decode(F.unhex(F.concat(F.lit("0000FEFF"), F.lpad(F.hex(x), 8, "0"))), "UTF-32")
 
 
 def _from_ranges(ranges, u: Column) -> Column:

@@ -207,3 +207,8 @@ def test_streams_make_the_same_rows(spark, world, tmp_path):
         make_on_stream(f, stream, "id")
     with pytest.raises(errors.MissingOrdinalError):
         world.Maker(T.array(T.number.integer.sequence()).whereby((0, 2)), seed="st").make(1)
+
+
+def test_a_byte_order_mark_is_a_character(world):
+    (one,) = rows(world.Maker(T.object({"s": T.string.whereby(3, {((0xFEFF, 0xFEFF),): 1})}), seed="bom"), 1)
+    assert one["s"] == "\ufeff" * 3
