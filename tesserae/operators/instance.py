@@ -248,13 +248,17 @@ class Maker:
         return self._select(rows.toDF(name), [], lambda raw: self.compile(row, row + 1, overrides, pin, validate, raw))
 
     def make_onto(self, df: DataFrame, key: str, overrides: dict | None = None, keep: list[str] | None = None, validate: bool = True) -> DataFrame:
-        """A row for each row of df, drawn by its key, which should be unique: rows of one key are alike, null keys too. `keep` names columns to keep, the key if unset."""
+        """A row for each row of df, drawn by its key, which should be unique: rows of one key are alike, null keys too. `keep` names columns to keep, the key if unset.
+
+        Rows are dealt over all cores first: a table of keys may be one small file, which one task would read, while making its rows is long work.
+        """
         taken = [*df.columns, *self.names()]
         row, rank = _fresh(["_row", "_rank"], taken)
         sequence = None
         if _has_sequence(self.schema):
             df = with_dense_rank(df, key, rank)
             sequence = F.col(rank)
+        df = dealt(df)
         kept = keep if keep is not None else [key]
         return self._select(df.withColumn(row, F.col(f"`{key}`")), kept, lambda raw: self.compile(F.col(row), sequence, overrides, None, validate, raw))
 
@@ -273,6 +277,14 @@ def _fresh(names: list[str], taken: list[str]):
     return out[0] if len(out) == 1 else out
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """The rows in turn over at least two partitions a core; those of a stream as they come."""
+    if df.isStreaming:
+        return df
+    spark = df.sparkSession
+    return df.repartition(max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+
 def _has_sequence(s: Schema) -> bool:
     return s.kind == "sequence" or any(_has_sequence(c) for c in children(s))
 

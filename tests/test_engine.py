@@ -209,6 +209,13 @@ def test_streams_make_the_same_rows(spark, world, tmp_path):
         world.Maker(T.array(T.number.integer.sequence()).whereby((0, 2)), seed="st").make(1)
 
 
+def test_keys_of_one_partition_are_made_over_all_cores(spark, world):
+    keys = spark.range(0, 400, 1, 1)
+    made = world.Maker(T.object({"x": T.number()}), seed="dealt").make_onto(keys, "id")
+    parts = [r["n"] for r in made.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n")).collect()]
+    assert len(parts) >= spark.sparkContext.defaultParallelism and max(parts) <= 2 * 400 / len(parts) and sum(parts) == 400
+
+
 def test_a_byte_order_mark_is_a_character(world):
     (one,) = rows(world.Maker(T.object({"s": T.string.whereby(3, {((0xFEFF, 0xFEFF),): 1})}), seed="bom"), 1)
     assert one["s"] == "\ufeff" * 3
