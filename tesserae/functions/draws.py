@@ -37,7 +37,7 @@ def to_algorithm(given) -> Algorithm:
 
 def _eight_digits(digest: Column, i: int | Column) -> Column:
     place = F.lit(8 * i + 1) if isinstance(i, int) else (i * 8 + 1).cast("int")
-    return F.conv(F.substring(digest, place, F.lit(8)), 16, 10).cast("double") / F.lit(SPAN)
+    return F.conv(F.substring(digest, place, F.lit(8)), 16, 10).cast("long").cast("double") / F.lit(SPAN)
 
 
 def _half(digest: Column, i: int | Column) -> Column:
@@ -59,15 +59,14 @@ def driver_draw(key: str) -> float:
 class Stream:
     """Draws of one leaf. `key(k)` names a draw; `next()` is for producers and numbers them itself."""
 
-    def __init__(self, prefix: str, ordinal: Column, algorithm: Algorithm = md5_draw, sub: Column | None = None):
+    def __init__(self, prefix: str, ordinal: Column, algorithm: Algorithm = md5_draw, sub: str | None = None):
         self.prefix, self.ordinal, self.algorithm, self.iterations = prefix, ordinal, algorithm, 0
         self.sub = sub
 
     def key(self, k: str | int | Column) -> Column:
-        k = F.lit(str(k)) if not isinstance(k, Column) else k.cast("string")
-        if self.sub is not None:
-            k = F.concat(self.sub, F.lit("."), k)
-        return F.concat(F.lit(self.prefix + "#"), self.ordinal, F.lit("#"), k)
+        before = "#" if self.sub is None else f"#{self.sub}."
+        end = [F.lit(before), k.cast("string")] if isinstance(k, Column) else [F.lit(f"{before}{k}")]
+        return F.concat(F.lit(self.prefix + "#"), self.ordinal, *end)
 
     def u(self, k: str | int | Column = 0) -> Column:
         return self.algorithm(self.key(k))
@@ -77,7 +76,7 @@ class Stream:
         return self.algorithm.digest(self.key(k))
 
     def under(self, sub: str) -> Stream:
-        return Stream(self.prefix, self.ordinal, self.algorithm, F.lit(sub) if self.sub is None else F.concat(self.sub, F.lit("." + sub)))
+        return Stream(self.prefix, self.ordinal, self.algorithm, sub if self.sub is None else f"{self.sub}.{sub}")
 
     def next(self) -> Column:
         self.iterations += 1
