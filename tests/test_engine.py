@@ -219,3 +219,8 @@ def test_keys_of_one_partition_are_made_over_all_cores(spark, world):
 def test_a_byte_order_mark_is_a_character(world):
     (one,) = rows(world.Maker(T.object({"s": T.string.whereby(3, {((0xFEFF, 0xFEFF),): 1})}), seed="bom"), 1)
     assert one["s"] == "\ufeff" * 3
+
+
+def test_a_byte_order_mark_beside_characters_of_two_units(world):
+    made = rows(world.Maker(T.object({"s": T.string.whereby(2, {((0xFEFF, 0xFEFF), (0x1F600, 0x1F600)): 1})}), seed="bom"), 40)
+    assert {len(r["s"].encode("utf-16-be")) for r in made} == {4} and "\ufeff" * 2 in {r["s"] for r in made}
