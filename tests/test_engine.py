@@ -11,7 +11,7 @@ from tesserae.functions.vocabulary import builder, names, vocabulary
 from tesserae.operators.adapters import JsonSchema, conforms, drive
 from tesserae.operators.instance import derive_clock, relativize, with_dense_rank
 from tesserae.plans.bounds import Bound, effective_discrete
-from tesserae.plans.compiler import Trace
+from tesserae.plans.compiler import Trace, code_point
 from tesserae.plans.kinds import registry as T
 from tesserae.streaming.rate import make_on_stream
 
@@ -224,3 +224,9 @@ def test_a_byte_order_mark_is_a_character(world):
 def test_a_byte_order_mark_beside_characters_of_two_units(world):
     made = rows(world.Maker(T.object({"s": T.string.whereby(2, {((0xFEFF, 0xFEFF), (0x1F600, 0x1F600)): 1})}), seed="bom"), 40)
     assert {len(r["s"].encode("utf-16-be")) for r in made} == {4} and "\ufeff" * 2 in {r["s"] for r in made}
+
+
+def test_every_code_point_is_its_character(spark):
+    made = spark.range(0x110000).filter("id NOT BETWEEN 55296 AND 57343").select("id", code_point(F.col("id"), False).alias("c"))
+    wrong = [r["id"] for r in made.collect() if r["c"] != chr(r["id"])]
+    assert wrong == []
