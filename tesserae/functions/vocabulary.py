@@ -144,6 +144,7 @@ HINTS: dict[str, dict[str, str]] = {
     "finance.bic": {"pattern": "^[A-Z]{6}[A-Z0-9]{2}([A-Z0-9]{3})?$"}, "finance.creditCardCVV": {"pattern": "^[0-9]{3,4}$"},
 }
 _CLASSES = {"#": "0123456789", "?": "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "*": "abcdefghijklmnopqrstuvwxyz", "~": "abcdefghijklmnopqrstuvwxyz0123456789", "&": "0123456789abcdef", "^": "ABCDEFGHJKLMNPRSTUVWXYZ0123456789"}
+_PIECE = r"\{[^}]+\}|\\.|([#?*~&^])\1*|[^{\\#?*~&^]+"  # of a template
 _DAY = 86_400_000
 # fixed values: the letters of vehicle numbers as digits, and the weights of their places
 _VIN_FROM, _VIN_TO, _VIN_WEIGHTS = "ABCDEFGHJKLMNPRSTUVWXYZ", "12345678123457923456789", (8, 7, 6, 5, 4, 3, 2, 10, 0, 9, 8, 7, 6, 5, 4, 3, 2)
@@ -173,8 +174,16 @@ def _one(words: list, u: Column) -> Column:
     return F.get(constant_array(words), F.floor(u * F.lit(float(len(words)))).cast("int"))
 
 
+def _place(letters: str, u: Column) -> Column:
+    return F.floor(u * F.lit(float(len(letters)))).cast("int")
+
+
+def _letter(letters: str, place: Column) -> Column:
+    return F.substring(F.lit(letters), place + 1, F.lit(1))
+
+
 def _characters(letters: str, count: int, stream: Stream) -> list[Column]:
-    return [F.substring(F.lit(letters), F.floor(stream.u(i) * F.lit(float(len(letters)))).cast("int") + 1, F.lit(1)) for i in range(count)]
+    return [_letter(letters, _place(letters, stream.u(i))) for i in range(count)]
 
 
 def _whole(a: int, b: int, u: Column) -> Column:
@@ -189,32 +198,40 @@ def _real(a: float, b: float, digits: int, u: Column) -> Column:
     return F.round(F.lit(float(a)) + u * F.lit(float(b) - float(a)), digits)
 
 
-def _bound(x: Column, make: Callable[[Column], Column]) -> Column:
-    """make(x), x being evaluated once."""
-    return F.get(F.transform(F.array(x), make), F.lit(0))
-
-
-def _weighted_sum(x: Column, weights) -> Column:
-    return sum((F.substring(x, k + 1, 1).cast("int") * F.lit(w) for k, w in enumerate(weights)), F.lit(0))
-
+def _checked(rule: str, text: str, stream: Stream) -> Column:
+    """A template of characters alone, with its check digits: a sum over what each place adds, by the number drawn for it."""
+    drawn = []  # the letters of a place, and which of them it is; or a letter that is given
+    for i, piece in enumerate(re.finditer(_PIECE, text)):
+        letters, below = _CLASSES.get(piece[0][0]), stream.under(str(i))
+        drawn += [(letters, _place(letters, below.u(j))) for j in range(len(piece[0]))] if letters else [(c, None) for c in piece[0]]
+    chars = [F.lit(letters) if place is None else _letter(letters, place) for letters, place in drawn]
+    n = len(drawn)
+
+    def total(adds: Callable[[int, str], int]) -> Column:
+        out, given = [], 0
+        for k, (letters, place) in enumerate(drawn):
+            table = [adds(k, c) for c in letters]
+            if place is None:
+                given += table[0]
+            elif table == [table[1] * d for d in range(len(table))]:
+                out.append(place * F.lit(table[1]))
+            else:
+                out.append(F.get(constant_array(table), place))
+        return sum(out, F.lit(given))
 
-def _checked(rule: str, payload: Column, n: int) -> Column:
-    """The payload of n characters, with its check digits."""
     last = lambda total: F.pmod(F.lit(10) - F.pmod(total, F.lit(10)), F.lit(10)).cast("string")
     if rule == "luhn":
-        doubled = lambda x, k: F.substring(x, k + 1, 1).cast("int") * 2
-        def total(x):
-            return sum((F.when(doubled(x, k) > 9, doubled(x, k) - 9).otherwise(doubled(x, k)) if (n - k) % 2 else F.substring(x, k + 1, 1).cast("int") for k in range(n)), F.lit(0))
-        return _bound(payload, lambda x: F.concat(x, last(total(x))))
+        doubled = (0, 2, 4, 6, 8, 1, 3, 5, 7, 9)
+        return F.concat(*chars, last(total(lambda k, c: doubled[int(c)] if (n - k) % 2 else int(c))))
     if rule in ("isbn", "upc", "aba"):
         cycle = {"isbn": (1, 3), "upc": (3, 1), "aba": (3, 7, 1)}[rule]
-        return _bound(payload, lambda x: F.concat(x, last(_weighted_sum(x, [cycle[k % len(cycle)] for k in range(n)]))))
-    if rule == "iban":
-        rest = lambda x: F.lit(98) - (F.concat(x, F.lit("131400")).cast("decimal(38,0)") % F.lit(97).cast("decimal(38,0)")).cast("int")
-        return _bound(payload, lambda x: F.concat(F.lit("DE"), F.lpad(rest(x).cast("string"), 2, "0"), x))
+        return F.concat(*chars, last(total(lambda k, c: int(c) * cycle[k % len(cycle)])))
+    if rule == "iban":  # the number, the country's letters as digits and two zeros, modulo 97
+        rest = F.lit(98) - F.pmod(total(lambda k, c: int(c) * pow(10, n - k + 5, 97)) + F.lit(131400), F.lit(97))
+        return F.concat(F.lit("DE"), F.lpad(rest.cast("string"), 2, "0"), *chars)
     if rule == "vin":
-        digit = lambda x: F.pmod(_weighted_sum(F.translate(x, _VIN_FROM, _VIN_TO), _VIN_WEIGHTS), F.lit(11))
-        return _bound(payload, lambda x: F.concat(F.substring(x, 1, 8), F.when(digit(x) == 10, F.lit("X")).otherwise(digit(x).cast("string")), F.substring(x, 10, 8)))
+        digit = F.pmod(total(lambda k, c: int(c.translate(str.maketrans(_VIN_FROM, _VIN_TO))) * _VIN_WEIGHTS[k]), F.lit(11)).cast("int")
+        return F.concat(*chars[:8], _letter("0123456789X", digit), *chars[9:])
     raise UnknownKindError(f"no check digits {rule}", kind=rule)
 
 
@@ -244,7 +261,7 @@ class Draw:
 
     def template(self, text: str, stream: Stream) -> Column:
         parts = []
-        for i, piece in enumerate(re.finditer(r"\{[^}]+\}|\\.|([#?*~&^])\1*|[^{\\#?*~&^]+", text)):
+        for i, piece in enumerate(re.finditer(_PIECE, text)):
             token, below = piece[0], stream.under(str(i))
             if token[0] == "{":
                 fixed = self.given(token[1:-1])
@@ -320,7 +337,7 @@ class Draw:
                 below = Draw(self.clock, self.locale)  # the count is this entry's alone
                 return F.concat_ws(sep, *[below.value(entry, stream.under(str(i))) for i in range(count)])
             case "check":
-                return _checked(args[0], self.template(args[1], stream), len(args[1]))
+                return _checked(args[0], args[1], stream)
         return _one(rule.split("|"), stream.u())
 
 

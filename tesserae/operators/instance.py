@@ -204,8 +204,7 @@ class Maker:
             known = {k: v for k, v in overrides.items() if k in schema.meta["fields"] and k not in RESERVED}
             schema = replace(schema, meta={**schema.meta, "fixed": {**schema.meta.get("fixed", {}), **known}}, produce=schema.produce)
         check_size(schema)
-        key = F.coalesce(ordinal.cast("string"), F.lit(NULL_KEY))
-        return compile_node(schema, Context(replace(self.trace, kind=None), key, sequence, self.algorithm, raw=raw), pin)
+        return compile_node(schema, Context(replace(self.trace, kind=None), _ordinal_text(ordinal), sequence, self.algorithm, raw=raw), pin)
 
     def _select(self, df: DataFrame, kept: list[str], compiled) -> DataFrame:
         """df with its kept columns and those that compiled(raw) makes; the types of computed fields are checked on the analysed plan."""
@@ -258,9 +257,9 @@ class Maker:
         if _has_sequence(self.schema):
             df = with_dense_rank(df, key, rank)
             sequence = F.col(rank)
-        df = dealt(df)
+        df = dealt(df.withColumn(row, _ordinal_text(F.col(f"`{key}`"))))  # a column of its own, as every draw reads it
         kept = keep if keep is not None else [key]
-        return self._select(df.withColumn(row, F.col(f"`{key}`")), kept, lambda raw: self.compile(F.col(row), sequence, overrides, None, validate, raw))
+        return self._select(df, kept, lambda raw: self.compile(F.col(row), sequence, overrides, None, validate, raw))
 
     def names(self) -> list[str]:
         return [*self.schema.meta.get("fields", {})] if self.schema.kind == "object" else ["value"]
@@ -277,6 +276,10 @@ def _fresh(names: list[str], taken: list[str]):
     return out[0] if len(out) == 1 else out
 
 
+def _ordinal_text(ordinal: Column) -> Column:
+    return F.coalesce(ordinal.cast("string"), F.lit(NULL_KEY))
+
+
 def dealt(df: DataFrame) -> DataFrame:
     """The rows in turn over at least two partitions a core; those of a stream as they come."""
     if df.isStreaming:

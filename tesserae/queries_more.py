@@ -195,7 +195,7 @@ def _shapes(spark, sf_dir):
     every = [n for n in names() if head_of(n) not in ("word", "enum")]
     flat = lambda n: n.replace(".", "_")
     wide = _world_maker(spark, T.object({flat(n): builder(n)() for n in every})).make_onto(read_table(spark, sf_dir, "customer"), C)
-    ok = lambda n: F.col(flat(n)).rlike(f"^(?:{TEXT[n]})$") if n in TEXT else F.expr(f"element_at(transform(array({flat(n)}), v -> ({TRUTH[n]})), 1)")
+    ok = lambda n: F.col(flat(n)).rlike(f"^(?:{TEXT[n]})$") if n in TEXT else F.expr(re.sub(r"\bv\b", flat(n), TRUTH[n]))
     counts = wide.agg(*[F.count_if(ok(n)).alias(flat(n)) for n in every])
     return counts.select(F.explode(F.array(*[F.struct(F.lit(n).alias("entry"), F.col(flat(n)).alias("n")) for n in every])).alias("x")).select("x.entry", "x.n")
 

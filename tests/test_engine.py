@@ -230,3 +230,10 @@ def test_every_code_point_is_its_character(spark):
     made = spark.range(0x110000).filter("id NOT BETWEEN 55296 AND 57343").select("id", code_point(F.col("id"), False).alias("c"))
     wrong = [r["id"] for r in made.collect() if r["c"] != chr(r["id"])]
     assert wrong == []
+
+
+def test_check_digits_take_no_function_of_higher_order(spark, world):
+    schema = T.object({n.replace(".", "_"): builder(n)() for n in ("commerce.isbn", "finance.creditCardNumber", "finance.iban", "vehicle.vin")})
+    made = world.Maker(schema, seed="digits").make_onto(spark.range(40), "id")
+    assert "lambda" not in made._jdf.queryExecution().optimizedPlan().toString()  # they are evaluated uncompiled, with all draws inside
+    assert all(int(r["finance_iban"][4:] + "1314" + r["finance_iban"][2:4]) % 97 == 1 for r in made.collect())
