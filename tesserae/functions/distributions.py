@@ -108,6 +108,10 @@ def constant_array(values: list) -> Column:
     return F.from_json(F.lit(json.dumps(values, ensure_ascii=False)), f"array<{kind}>")
 
 
+def one_of(words: list, u: Column) -> Column:
+    return F.get(constant_array(words), F.floor(u * F.lit(float(len(words)))).cast("int"))
+
+
 def at(u: Column, low: float, high: float) -> Column:
     """Never forms high - low, which could overflow."""
     return (F.lit(1.0) - u) * F.lit(float(low)) + u * F.lit(float(high))

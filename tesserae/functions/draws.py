@@ -18,11 +18,15 @@ SPAN = 4294967296.0
 
 @dataclass(frozen=True)
 class Algorithm:
-    """digest(key) is one hash, from which lane(hash, i) takes `lanes` independent draws."""
+    """digest(key) is one hash, from which lane(hash, i) takes `lanes` independent draws.
+
+    Of hashes that sort as their draw 0 does, cut(k, n) is what sorts after exactly those whose draw times n is below k, for 0 < k <= n.
+    """
 
     digest: Callable[[Column], Column]
     lane: Callable[[Column, int | Column], Column]
     lanes: int = 1
+    cut: Callable[[int, int], str] | None = None
 
     def __call__(self, key: Column) -> Column:
         return self.lane(self.digest(key), 0)
@@ -40,13 +44,18 @@ def _eight_digits(digest: Column, i: int | Column) -> Column:
     return F.conv(F.substring(digest, place, F.lit(8)), 16, 10).cast("long").cast("double") / F.lit(SPAN)
 
 
+def _digits_cut(k: int, n: int) -> str:
+    """A digest with the same eight digits is the longer text, so it sorts after them; g after all digits."""
+    return f"{-(-k * 2**32 // n):08x}" if k < n else "g"
+
+
 def _half(digest: Column, i: int | Column) -> Column:
     high = F.shiftrightunsigned(digest, 32)
     low = digest.bitwiseAND(F.lit(0xFFFFFFFF).cast("long"))
     return (F.when(i == 0, high).otherwise(low) if isinstance(i, Column) else (low if i else high)).cast("double") / F.lit(SPAN)
 
 
-md5_draw = Algorithm(lambda key: F.md5(key.cast("binary")), _eight_digits, 4)  # the default: also computable, bit by bit, by other SQL engines
+md5_draw = Algorithm(lambda key: F.md5(key.cast("binary")), _eight_digits, 4, _digits_cut)  # the default: also computable, bit by bit, by other SQL engines
 xxhash_draw = Algorithm(lambda key: F.xxhash64(key), _half, 2)  # the fast path
 ALGORITHMS: dict[str, Algorithm] = {"md5": md5_draw, "xxhash64": xxhash_draw}
 
@@ -59,14 +68,15 @@ def driver_draw(key: str) -> float:
 class Stream:
     """Draws of one leaf. `key(k)` names a draw; `next()` is for producers and numbers them itself."""
 
-    def __init__(self, prefix: str, ordinal: Column, algorithm: Algorithm = md5_draw, sub: str | None = None):
+    def __init__(self, prefix: str | Column, ordinal: Column, algorithm: Algorithm = md5_draw, sub: str | None = None):
         self.prefix, self.ordinal, self.algorithm, self.iterations = prefix, ordinal, algorithm, 0
         self.sub = sub
 
     def key(self, k: str | int | Column) -> Column:
         before = "#" if self.sub is None else f"#{self.sub}."
         end = [F.lit(before), k.cast("string")] if isinstance(k, Column) else [F.lit(f"{before}{k}")]
-        return F.concat(F.lit(self.prefix + "#"), self.ordinal, *end)
+        start = [self.prefix, F.lit("#")] if isinstance(self.prefix, Column) else [F.lit(self.prefix + "#")]
+        return F.concat(*start, self.ordinal, *end)
 
     def u(self, k: str | int | Column = 0) -> Column:
         return self.algorithm(self.key(k))

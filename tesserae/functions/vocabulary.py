@@ -30,10 +30,10 @@ from pyspark.sql import functions as F
 
 from ..errors import EmptyRangeError, NoActiveScopeError, UnknownKindError
 from ..plans.bounds import epoch_ms
-from ..plans.compiler import ProduceContext
+from ..plans.compiler import ProduceContext, WordProducer
 from ..plans.kinds import Schema
 from ..plans.kinds import registry as T
-from .distributions import constant_array
+from .distributions import constant_array, one_of
 from .draws import Stream
 
 RULES: dict[str, dict[str, str]] = {
@@ -160,8 +160,8 @@ def rule_of(name: str, locale: dict[str, str] | None = None) -> str:
     return _PRIVATE[method] if module == "_" else (locale or {}).get(name) or RULES[module][method]
 
 
-def head_of(name: str) -> str:
-    head = rule_of(name).split(" ")[0]
+def head_of(name: str, locale: dict[str, str] | None = None) -> str:
+    head = rule_of(name, locale).split(" ")[0]
     return head if head in _HEADS else "word"
 
 
@@ -170,10 +170,6 @@ def words_of(name: str, locale: dict[str, str] | None = None) -> list[str]:
     return rule_of(name, locale).removeprefix("enum ").split("|")
 
 
-def _one(words: list, u: Column) -> Column:
-    return F.get(constant_array(words), F.floor(u * F.lit(float(len(words)))).cast("int"))
-
-
 def _place(letters: str, u: Column) -> Column:
     return F.floor(u * F.lit(float(len(letters)))).cast("int")
 
@@ -294,12 +290,12 @@ class Draw:
             case "=":
                 return self.template(rest, stream)
             case "enum":
-                return _one(rest.split("|"), stream.u())
+                return one_of(rest.split("|"), stream.u())
             case "pick":
-                return _one([int(x) for x in rest.split("|")], stream.u()).cast("long")
+                return one_of([int(x) for x in rest.split("|")], stream.u()).cast("long")
             case "object":
                 u = stream.u()
-                return F.struct(*[_one(words.split("|"), u).cast(t).alias(k) for k, t, words in _fields(rest)])
+                return F.struct(*[one_of(words.split("|"), u).cast(t).alias(k) for k, t, words in _fields(rest)])
             case "int":
                 return _whole(int(number(0)), int(number(1)), stream.u())
             case "big":
@@ -338,7 +334,7 @@ class Draw:
                 return F.concat_ws(sep, *[below.value(entry, stream.under(str(i))) for i in range(count)])
             case "check":
                 return _checked(args[0], args[1], stream)
-        return _one(rule.split("|"), stream.u())
+        return one_of(rule.split("|"), stream.u())
 
 
 def _fields(rest: str) -> list[tuple[str, str, str]]:
@@ -383,6 +379,8 @@ def builder(name: str, locale: dict[str, str] | None = None) -> Callable[..., Sc
             tried.value(name, Stream("", F.lit("0")))
             if unknown := sorted(set(options) - tried.used):
                 raise TypeError(f"{name} has no option {', '.join(unknown)}")
+        if head_of(name, locale) in ("word", "enum"):
+            return schema.as_(WordProducer(tuple(words_of(name, locale))), dtype, **HINTS.get(name, {}))
         return schema.as_(lambda c: Draw(c.clock, locale, options).value(name, c.random), dtype, **HINTS.get(name, {}))
 
     return build

@@ -21,10 +21,10 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..errors import ClashingNameError, CombinatorialLimitExceededError, InvalidAttributionRootError, InvalidClockError, InvalidCombinatorialLimitError, TraceKindMismatchError, UnknownKindError
-from ..functions.distributions import bounds_below, constant_array
-from ..functions.draws import Algorithm, DriverStream, driver_draw, md5_draw, shuffled, to_algorithm
+from ..functions.distributions import MANY, bounds_below, constant_array
+from ..functions.draws import Algorithm, DriverStream, Stream, driver_draw, md5_draw, shuffled, to_algorithm
 from ..plans.bounds import MAX_TIME, epoch_ms
-from ..plans.compiler import Context, Out, Trace, check_size, check_types, compile_node, has_computed
+from ..plans.compiler import Context, Out, Trace, WordProducer, check_size, check_types, compile_node, has_computed
 from ..plans.enumeration import plan
 from ..plans.kinds import MAX_SAFE, RESERVED, Schema, check_overrides, children, registry, to_schema
 
@@ -261,6 +261,35 @@ class Maker:
         kept = keep if keep is not None else [key]
         return self._select(df, kept, lambda raw: self.compile(F.col(row), sequence, overrides, None, validate, raw))
 
+    def words_onto(self, df: DataFrame, key: str, field: str = "field", value: str = "value") -> DataFrame:
+        """What make_onto() makes of an object whose fields are words of lists, turned: a row for each row of df and each field.
+
+        The names of streams and the lists are data that one expression draws from; an expression for each field is more code than the JVM compiles well.
+        """
+        fields, fixed = self.schema.meta.get("fields", {}), self.schema.meta.get("fixed", {})
+        if other := [k for k, s in fields.items() if not isinstance(s.produce, WordProducer) or k in fixed]:
+            raise UnknownKindError(f"not drawn from a list of words: {', '.join(other)}", kind=fields[other[0]].kind)
+        if not fields or self.schema.produce is not None:
+            raise UnknownKindError("only objects that have fields can be turned", kind=self.schema.kind)
+        row, list_ = _fresh(["_row", "_list"], [key, field, value])
+        most, cut = max(len(s.produce.words) for s in fields.values()), self.algorithm.cut
+        lists = [
+            {"field": k, "prefix": replace(self.trace, path=(*self.trace.path, k), kind=s.kind).encode(), "words": list(s.produce.words), "cuts": [cut(i + 1, len(s.produce.words)) for i in range(len(s.produce.words))] if cut else []}
+            for k, s in fields.items()
+        ]
+        table = F.from_json(F.lit(json.dumps(lists, ensure_ascii=False)), "array<struct<field:string,prefix:string,words:array<string>,cuts:array<string>>>")
+        rows = dealt(df.select(F.col(f"`{key}`"), _ordinal_text(F.col(f"`{key}`")).alias(row)))
+        each = rows.select(f"`{key}`", row, F.explode(table).alias(list_))
+        at = F.col(list_)
+        stream = Stream(at["prefix"], F.col(row), self.algorithm)
+        if cut and most <= MANY:  # told from the digest as it is; of each list, the last cut is above all
+            digest, word = stream.digest(0), F
+            for i in range(most):
+                word = word.when(digest < F.get(at["cuts"], F.lit(i)), F.get(at["words"], F.lit(i)))
+        else:
+            word = F.get(at["words"], F.floor(stream.u() * F.size(at["words"])).cast("int"))
+        return each.select(f"`{key}`", at["field"].alias(field), word.alias(value))
+
     def names(self) -> list[str]:
         return [*self.schema.meta.get("fields", {})] if self.schema.kind == "object" else ["value"]
 

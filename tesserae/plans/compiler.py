@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import ComputeResultMismatchError, DetachedComputeError, DetachedSelfError, EmptyRangeError, MissingOrdinalError, PlanTooLargeError, UnknownKindError
-from ..functions.distributions import MANY, constant_array, sampler, weighted, weighted_index
+from ..functions.distributions import MANY, constant_array, one_of, sampler, weighted, weighted_index
 from ..functions.draws import Algorithm, Stream, md5_draw
 from .bounds import MAX_TIME, constrain_continuous, epoch_ms
 from .kinds import OMITTED, OUTCOMES, Schema, children, contains_self
@@ -56,6 +56,16 @@ class ProduceContext:
     clock: int
 
 
+@dataclass(frozen=True)
+class WordProducer:
+    """Produces one of the words, all alike, by the stream's first draw."""
+
+    words: tuple[str, ...]
+
+    def __call__(self, context: ProduceContext) -> Column:
+        return one_of(list(self.words), context.random.u())
+
+
 @dataclass
 class Context:
     trace: Trace

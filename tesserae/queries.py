@@ -14,7 +14,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.distributions import Custom, Logarithmic, Multi, Normal, Skew, Triangular
+from .functions.distributions import Custom, Logarithmic, Multi, Normal, Skew, Triangular, constant_array
 from .functions.draws import Stream, shuffle_column
 from .functions.vocabulary import builder, head_of, names, vocabulary, words_of
 from .operators.adapters import conforms
@@ -155,9 +155,10 @@ def _replay(spark, sf_dir):
 def _vocabulary_counts(spark, sf_dir):
     every = [n for n in names() if head_of(n) in ("word", "enum")]
     schema = T.object({n.replace(".", "_"): builder(n)() for n in every})
-    wide = world(spark).Maker(schema, seed="q").make_onto(read_table(spark, sf_dir, "part"), P)
-    pairs = F.array(*[F.struct(F.lit(n).alias("entry"), F.col(n.replace(".", "_")).alias("value")) for n in every])
-    return wide.select(F.explode(pairs).alias("x")).groupBy("x.entry", "x.value").agg(F.count(F.lit(1)).alias("n"))
+    drawn = world(spark).Maker(schema, seed="q").words_onto(read_table(spark, sf_dir, "part"), P)
+    counts = drawn.groupBy("field", "value").agg(F.count(F.lit(1)).alias("n"))
+    place = F.array_position(constant_array([*schema.meta["fields"]]), F.col("field")) - 1
+    return counts.select(F.get(constant_array(every), place.cast("int")).alias("entry"), "value", "n")
 
 
 def _tree():

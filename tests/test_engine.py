@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 
 from tesserae import OMITTED, Custom, Logarithmic, Multi, Normal, Skew, Triangular, errors, exclusive, initialize, layer, to_constraints, to_json_schema
 from tesserae.functions.distributions import normal_cdf
+from tesserae.functions.draws import md5_draw
 from tesserae.functions.vocabulary import builder, names, vocabulary
 from tesserae.operators.adapters import JsonSchema, conforms, drive
 from tesserae.operators.instance import derive_clock, relativize, with_dense_rank
 from tesserae.plans.bounds import Bound, effective_discrete
-from tesserae.plans.compiler import Trace, code_point
+from tesserae.plans.compiler import Trace, WordProducer, code_point
 from tesserae.plans.kinds import registry as T
+from tesserae.queries import queries
 from tesserae.streaming.rate import make_on_stream
 
 
@@ -237,3 +239,30 @@ def test_check_digits_take_no_function_of_higher_order(spark, world):
     made = world.Maker(schema, seed="digits").make_onto(spark.range(40), "id")
     assert "lambda" not in made._jdf.queryExecution().optimizedPlan().toString()  # they are evaluated uncompiled, with all draws inside
     assert all(int(r["finance_iban"][4:] + "1314" + r["finance_iban"][2:4]) % 97 == 1 for r in made.collect())
+
+
+def test_fields_of_words_turned_are_those_of_the_wide_form(spark, world):
+    entries = ("word.noun", "date.month", "person.zodiacSign", "internet.protocol", "person.firstName")  # lists of 2 to 12 words
+    keys = spark.range(0, 300).select(F.when(F.col("id") != 7, F.col("id")).alias("id"))  # a null key too
+    for algorithm in ("md5", "xxhash64", lambda key: F.pmod(F.hash(key), F.lit(1000)) / F.lit(1000.0)):
+        maker = world.fork(algorithm=algorithm).Maker(T.object({n.replace(".", "_"): builder(n)() for n in entries}), seed="turned")
+        wide, turned = maker.make_onto(keys, "id"), maker.words_onto(keys, "id")
+        want = sorted((str(r["id"]), f, r[f]) for r in wide.collect() for f in wide.columns[1:])
+        assert sorted((str(r["id"]), r["field"], r["value"]) for r in turned.collect()) == want
+    long = world.Maker(T.object({"w": T.string.as_(WordProducer(tuple(map(str, range(40))))), "v": T.string.as_(WordProducer(("only",)))}), seed="turned")
+    want = sorted((r["id"], f, r[f]) for r in long.make_onto(spark.range(200), "id").collect() for f in ("v", "w"))
+    assert sorted(tuple(r) for r in long.words_onto(spark.range(200), "id").collect()) == want
+    with pytest.raises(errors.UnknownKindError):
+        world.Maker(T.object({"w": builder("word.noun")().as_(lambda c: F.lit("x"))})).words_onto(spark.range(1), "id")
+
+
+def test_cuts_of_digests_tell_the_places_that_draws_tell(spark):
+    near = {(n, min(max(k * 2**32 // n + d, 0), 2**32 - 1)) for n in range(1, 17) for k in range(n + 1) for d in (-1, 0, 1)}
+    digests = spark.createDataFrame([(n, f"{x:08x}" + tail) for n, x in near for tail in ("0" * 24, "f" * 24)], "n int, d string")
+    made = digests.select("n", "d", F.floor(md5_draw.lane(F.col("d"), 0) * F.col("n")).alias("place")).collect()
+    assert all(r["place"] == next(k for k in range(r["n"]) if r["d"] < md5_draw.cut(k + 1, r["n"])) for r in made)
+
+
+def test_counting_words_takes_one_expression_for_all_entries(spark):
+    counts = queries()["q_vocab_words"](spark, "/root/testdata/sf0.001")
+    assert counts._jdf.queryExecution().analyzed().toString().count("md5(") <= 16  # as many as the longest list has words, not one for each entry
