@@ -497,8 +497,15 @@ def _together(members: DataFrame, column: str) -> DataFrame:
     return members.repartition("leader", "i", "j").sortWithinPartitions("leader", "i", "j").select("leader", "i", "j", "side", "node", "n_shingles", column)
 
 
+def _are_stars(links: DataFrame) -> bool:
+    """Whether no node is the upper end (a) of two links, nor of one while it is a lower end (b): then each lower end is the least node of its component."""
+    ends = links.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionAll(links.select("b", F.lit(0), F.lit(1)))
+    most = ends.groupBy("node").agg((F.sum("up") + F.max("down")).alias("n")).agg(F.max("n")).first()[0]
+    return most is None or most < 2
+
+
 def connected_components(links: DataFrame, top: str) -> DataFrame:
-    """node, component (its least node) from links a, b, by large-star and small-star rounds until nothing changes; each is written to `top`."""
+    """node, component (its least node) from links a, b, by large-star and small-star rounds until only stars are left; each is written to `top`."""
     spark = links.sparkSession
 
     def stars(pairs: DataFrame, large: bool) -> DataFrame:
@@ -510,18 +517,12 @@ def connected_components(links: DataFrame, top: str) -> DataFrame:
             return joined.filter("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
         return joined.select(F.col("v").alias("a"), F.col("m").alias("b")).unionAll(least.select(F.col("u").alias("a"), F.col("m").alias("b"))).filter("a <> b").distinct()
 
-    now = stored(links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{top}/links-0")
-    before, k = None, 0
-    while True:  # each round that changes a link lowers an end of it, so the rounds end
+    now, k = stored(links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{top}/links-0"), 0
+    while not _are_stars(now):  # each round that changes a link lowers an end of it, and one that changes none has met stars, so the rounds end
         k += 1
-        big = stars(now, True)
-        new = stored(stars(big, False), f"{top}/links-{k}")
-        mark = new.select(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0)).alias("h")).first()
+        now = stored(stars(stars(now, True), False), f"{top}/links-{k}")
         remove(spark, f"{top}/links-{k - 1}")
-        now = new
-        if tuple(mark) == before:
-            break
-        before = tuple(mark)
+        release(spark)
     return now.select(F.col("a").alias("node"), F.col("b").alias("component"))
 
 

@@ -5,8 +5,8 @@ its words' hashed features; the document's probability is the noisy-or of its
 sentences, 1 - prod(1 - p). Weights are trained from document labels alone and
 then also locate the sentences that made a document toxic.
 
-Training texts are a sample of the labelled documents, bounded in rows and in bytes (see labelled_sample); nothing else
-that the driver holds grows with the data.
+Training texts are a sample of the labelled documents, bounded in rows and in bytes (see labelled_sample). One task on an
+executor trains on them; the driver gets no text, only the weights that aren't 0.
 
 Defined results: null and empty texts have no sentence and score 0. Repeated rows
 score alike. Labels that are null are ignored; of several labels of a document the
@@ -157,8 +157,8 @@ def train(texts: list[str], labels: np.ndarray, rounds: int = 200, rate: float =
 MOST_BYTES = 24 << 20
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, held_out: Column, per_class: int, most_bytes: int = MOST_BYTES) -> tuple[list[str], np.ndarray]:
-    """Texts and labels of at most `per_class` documents of each class, the first by a hash of doc_id, whole texts of `most_bytes` a class in all; a text of over a quarter of that is not taken."""
+def _labelled_rows(docs: DataFrame, labels: DataFrame, target: str, held_out: Column, per_class: int, most_bytes: int) -> DataFrame | None:
+    """doc_id, y, text of the documents that labelled_sample() names; None if no document is labelled."""
     known = (
         labels.select("doc_id", F.col(target).cast("int").alias("y"))
         .filter(F.col("doc_id").isNotNull() & F.col("y").isin(0, 1) & ~held_out)
@@ -168,20 +168,40 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, held_out: C
     picked = known.filter("y = 1").orderBy(*order).limit(per_class).unionAll(known.filter("y = 0").orderBy(*order).limit(per_class))
     ids = {r["doc_id"]: r["y"] for r in picked.collect()}  # at most 2 * per_class numbers
     if not ids:
-        return [], np.zeros(0)
+        return None
     chosen = docs.sparkSession.createDataFrame(sorted(ids.items()), "doc_id long, y int")
     # of rows that repeat a doc_id, however many, the greatest text by code point counts
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y").agg(F.max("text").alias("text")).withColumn("_long", F.coalesce(F.octet_length("text"), F.lit(0))).filter(F.col("_long") <= most_bytes // 4)
     run = Window.partitionBy("y").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)  # over at most per_class rows
-    rows = rows.withColumn("_bytes", F.sum("_long").over(run)).filter(F.col("_bytes") <= most_bytes).collect()
-    rows.sort(key=lambda r: r["doc_id"])
+    return rows.withColumn("_bytes", F.sum("_long").over(run)).filter(F.col("_bytes") <= most_bytes).select("doc_id", "y", "text")
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, held_out: Column, per_class: int, most_bytes: int = MOST_BYTES) -> tuple[list[str], np.ndarray]:
+    """Texts and labels of at most `per_class` documents of each class, the first by a hash of doc_id, whole texts of `most_bytes` a class in all; a text of over a quarter of that is not taken."""
+    found = _labelled_rows(docs, labels, target, held_out, per_class, most_bytes)
+    rows = sorted(found.collect(), key=lambda r: r["doc_id"]) if found is not None else []
     return [r["text"] or "" for r in rows], np.array([r["y"] for r in rows], dtype=np.float64)
 
 
+def _train_rows(batches):
+    """One row: the model that train() gives for all rows of the batches, in order of doc_id."""
+    rows = [r for b in batches for r in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "y")), strict=True)]
+    rows.sort(key=lambda r: r[0])
+    model = train([r[1] or "" for r in rows], np.array([r[2] for r in rows], dtype=np.float64))
+    slots = np.flatnonzero(model.weights).astype(np.int32)
+    yield pa.RecordBatch.from_pydict({"slots": pa.array([slots.tobytes()], pa.binary()), "weights": pa.array([model.weights[slots].tobytes()], pa.binary()), "bias": [model.bias], "trained": [model.trained]})
+
+
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = 1500, most_bytes: int = MOST_BYTES) -> ToxicityModel:
-    """Learns from at most 2 * per_class labelled documents outside the held-out fifth, of at most 2 * most_bytes."""
-    texts, y = labelled_sample(docs, labels, "toxic", crc_mod(F.col("doc_id"), 5) == 0, per_class, most_bytes)
-    return train(texts, y)
+    """Learns from at most 2 * per_class labelled documents outside the held-out fifth, of at most 2 * most_bytes, in one task."""
+    small_batches(docs.sparkSession)
+    rows = _labelled_rows(docs, labels, "toxic", crc_mod(F.col("doc_id"), 5) == 0, per_class, most_bytes)
+    found = rows.repartition(1).mapInArrow(_train_rows, "slots binary, weights binary, bias double, trained boolean").first() if rows is not None else None
+    model = train([], np.zeros(0))
+    if found is not None:
+        model.weights[np.frombuffer(found["slots"], np.int32)] = np.frombuffer(found["weights"], np.float32)
+        model.bias, model.trained = found["bias"], found["trained"]
+    return model
 
 
 _SCORED = "struct<score double, sentences array<struct<sentence: long, start: long, end: long, score: double>>>"

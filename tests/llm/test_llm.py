@@ -1,4 +1,5 @@
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -12,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tesserae.llm import chat_format, decontaminate, exact_dedup, jaccard_join, langid, mixing, quality, sharding, token_count, toxicity
-from tesserae.llm._common import text_chunks
+from tesserae.llm._common import crc_mod, text_chunks, work_dir
 from tesserae.llm.queries import oracle_sql, queries
 
 SF = Path("/root/testdata/sf0.001")
@@ -64,6 +65,24 @@ def test_toxicity(spark, docs, labels):
         assert texts == ["c", ""] and y.tolist() == [1, 0]
 
 
+def test_toxicity_is_trained_by_a_task_and_not_by_the_driver(spark, monkeypatch):
+    rng = random.Random(5)
+    clean = [" ".join(rng.choice("alpha beta gamma delta omega".split()) for _ in range(12)) + "." for _ in range(80)]
+    docs = spark.createDataFrame([(k, c + (" You vile idiot. " if k % 2 else " ") + c) for k, c in enumerate(clean)] + [(80, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(81)], "doc_id long, toxic int")
+    texts, y = toxicity.labelled_sample(docs, labels, "toxic", crc_mod(F.col("doc_id"), 5) == 0, 1500)
+    real, driver = toxicity.train, os.getpid()
+    whole = real(texts, y)
+
+    def train(texts, labels):
+        assert os.getpid() != driver or not len(texts), "the driver holds the texts"
+        return real(texts, labels)
+
+    monkeypatch.setattr(toxicity, "train", train)
+    model = toxicity.fit(docs, labels)
+    assert model.trained and model.bias == whole.bias and whole.weights.any() and (model.weights == whole.weights).all()
+
+
 @pytest.mark.skipif(not SF.exists(), reason="no test tables")
 def test_training_samples_are_bounded_in_bytes(spark):
     rows = [(k, "x" * (50 if k % 3 else 1000), "ab"[k % 2], "s", 0) for k in range(60)]
@@ -518,6 +537,29 @@ def test_jaccard_join_of_nothing_and_keep_one(spark, docs):
     assert kept.columns == docs.columns and sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(["1", "3", "4", "None", "None", "5", "6", "7", "8"])
 
 
+def test_components_take_no_round_once_there_are_stars_only(spark, monkeypatch):
+    rng, written, real = random.Random(7), [], jaccard_join.stored
+    monkeypatch.setattr(jaccard_join, "stored", lambda df, path: written.append(path) or real(df, path))
+
+    def components(links):
+        written.clear()
+        df = spark.createDataFrame(links, "a long, b long")
+        return {r["node"]: r["component"] for r in jaccard_join.connected_components(df, work_dir(spark, "components")).collect()}
+
+    assert components([]) == {} and components([(1, 1)]) == {}
+    assert components([(9, 1), (1, 9), (1, 7), (5, 4), (3, 3)]) == {9: 1, 7: 1, 5: 4} and len(written) == 1  # stars from the first
+    assert components([(1, 3), (2, 3)]) == {3: 1, 2: 1} and len(written) == 2  # two lower ends
+    assert components([(1, 2), (2, 3)]) == {3: 1, 2: 1} and len(written) == 2  # an upper end that is a lower one
+    chain = list(range(40))
+    rng.shuffle(chain)
+    links = list(zip(chain, chain[1:])) + [(rng.randrange(100, 160), rng.randrange(100, 160)) for _ in range(40)]
+    least = {v: v for pair in links for v in pair}
+    for _ in least:
+        for a, b in links:
+            least[a] = least[b] = min(least[a], least[b])
+    assert components(links) == {v: c for v, c in least.items() if v != c}
+
+
 def test_row_decisions_with_null_and_repeated_ids(spark):
     text = lambda of, n=40: " ".join(f"{of}{k}" for k in range(n))
     a, b, c, d = (text(x) for x in "abcd")
