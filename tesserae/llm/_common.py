@@ -17,12 +17,14 @@ import uuid
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 U64 = np.uint64
 CHUNK = 1 << 20
 BATCH_BYTES = 32 << 20
+TRIM = "systemTrimNativeHeap"  # a command of newer JVMs, on Linux
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -169,12 +171,26 @@ def remove(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def give_back(spark: SparkSession) -> str | None:
+    """Has the driver's JVM return to the system what its native code has freed and the C library keeps; what the JVM says, or None if it has no such command."""
+    jvm = spark._jvm
+    server = jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer()
+    invoke = next(m for m in jvm.java.lang.Class.forName("javax.management.MBeanServer").getMethods() if m.getName() == "invoke")
+    args = spark.sparkContext._gateway.new_array(jvm.java.lang.Object, 4)
+    args[0], args[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), TRIM
+    try:
+        return invoke.invoke(server, args)
+    except Py4JJavaError:
+        return None
+
+
 def release(spark: SparkSession) -> None:
-    """Lets Spark's cleaner drop shuffle files that no live frame needs: it acts on what both garbage collectors have freed."""
+    """Lets Spark's cleaner drop shuffle files that no live frame needs: it acts on what both garbage collectors have freed. The driver's freed memory goes back to the system."""
     for _ in range(2):
         gc.collect()
         spark._jvm.System.gc()
         time.sleep(0.3)
+    give_back(spark)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

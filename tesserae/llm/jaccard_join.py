@@ -605,6 +605,7 @@ def keep_one(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10) -> DataFr
     rows = _rows_in_components(docs, n, num, den, CELL_ROWS, CELL_ITEMS, LONG_LIST).filter("n_shingles > 0")
     listed = rows.groupBy("doc_id", "key").agg(F.first("first").alias("first"), F.count(F.lit(1)).alias("n")).filter("NOT first OR n > 1")
     listed = stored(listed, f"{work_dir(docs.sparkSession, 'kept')}/listed")
+    release(docs.sparkSession)
     out = by_rows(docs, listed.select("doc_id", "key"), "left_anti")
     copies = listed.filter("first").select("doc_id", "key")
     if copies.isEmpty():

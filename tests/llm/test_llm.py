@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tesserae.llm import chat_format, decontaminate, exact_dedup, jaccard_join, langid, mixing, quality, sharding, token_count, toxicity
+from tesserae.llm import _common, chat_format, decontaminate, exact_dedup, jaccard_join, langid, mixing, quality, sharding, token_count, toxicity
 from tesserae.llm._common import crc_mod, text_chunks, work_dir
 from tesserae.llm.queries import oracle_sql, queries
 
@@ -537,6 +537,17 @@ def test_jaccard_join_of_nothing_and_keep_one(spark, docs):
     assert kept.columns == docs.columns and sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(["1", "3", "4", "None", "None", "5", "6", "7", "8"])
 
 
+def test_the_driver_gives_freed_memory_back(spark, monkeypatch):
+    said = []
+    monkeypatch.setattr(jaccard_join, "stored", lambda df, path, real=jaccard_join.stored: said.append(None) or real(df, path))
+    monkeypatch.setattr(_common, "give_back", lambda spark, real=_common.give_back: said.append(real(spark)))
+    jaccard_join.connected_components(spark.createDataFrame([(1, 2), (2, 3)], "a long, b long"), work_dir(spark, "components"))
+    assert len(said) == 3 and (said[2] is None or "RSS" in said[2])  # two writes, and a release after the round
+    monkeypatch.undo()
+    monkeypatch.setattr(_common, "TRIM", "noSuchCommand")
+    assert _common.give_back(spark) is None  # a JVM without it goes on
+
+
 def test_components_take_no_round_once_there_are_stars_only(spark, monkeypatch):
     rng, written, real = random.Random(7), [], jaccard_join.stored
     monkeypatch.setattr(jaccard_join, "stored", lambda df, path: written.append(path) or real(df, path))
